@@ -24,7 +24,7 @@ CUT = "\0"
 UNSURE = {True: f"{CUT}|[{SPACE}][{SPACE}]", False: CUT}
 WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Chunks that a worker remembers; beyond it the cache starts anew (results don't change).
-CACHED = 500_000
+CACHED = 1_000_000
 #: Words that go through the library as one line.
 LINE = 400
 #: Texts are worked on in groups of about so many characters.
@@ -96,18 +96,9 @@ class Encoder:
             self._learn(new)
             get = self.known.get
             ids = [get(c) if i is None else i for c, i in zip(distinct, ids, strict=True)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table = np.frombuffer(b"".join(ids), "<u4")
-        first = np.cumsum(size) - size
-        k = flat.indices.to_numpy()
-        n = size[k]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0)
-        at += np.repeat(first[k] - (ends - n), n)
-        data = table[at].tobytes() if len(table) else b""
-        bound = 4 * np.concatenate([[0], ends])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
-        bound = bound.tolist()
-        out = [data[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
+        each = list(map(ids.__getitem__, flat.indices.to_numpy().tolist()))
+        bound = (chunks.offsets.to_numpy() - chunks.offsets[0].as_py()).tolist()
+        out = [b"".join(each[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)]
         for t, e in zip(whole, self.inner.encode_batch([texts[int(t)].as_py() for t in whole], add_special_tokens=False), strict=True):
             out[t] = array("I", e.ids).tobytes()
         return out

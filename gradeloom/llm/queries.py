@@ -58,6 +58,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(docs, SHARDS, [*SHARDS, 1.0]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.warc import archive, keys_of, look_up
+
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    directory, _ = archive(pages)
+    read = look_up(spark, directory, keys_of(pages))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeloom.llm.token_files import token_table
 
@@ -66,6 +75,23 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: A conversation whose texts are control strings of a template.
+CONFLICT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.chat import chat_digests
+
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return chat_digests(turns.union(spark.createDataFrame(CONFLICT, "conv_id long, turn long, role string, text string")))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.fingerprints import edited_pairs
+
+    return edited_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict:
     own = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     if importlib.util.find_spec("corpus_pipeline"):
@@ -75,5 +101,33 @@ def queries() -> dict:
     return own
 
 
+SQL = {
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS payload_digest,
+                   CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes
+            FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+        FROM g""",
+    "op9_chat": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (
+            SELECT *, regexp_replace(text, '(<\\*\|im_start\|>|<\\*\|im_end\|>|<\\*\|endoftext\|>|<\\*\|startoftext\|>|<\\*s>|<\\*/s>|<\\*unk>|<\\*pad>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>)', '?\1', 'g') AS shown
+            FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('<|im_start|>') + length(role) + 1 + length(shown) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
