@@ -23,14 +23,13 @@ import codecs
 import hashlib
 import json
 import re
-import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import batch, file_system, shared_dir, written
+from gradeloom.llm.shared import NewFile, batch, file_system, shared_dir, written
 
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = (START, END, "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -128,16 +127,13 @@ def write_chat(turns: DataFrame, path: str) -> DataFrame:
     """Writes formatted conversations to files; returns each one's file and byte range."""
 
     def run(batches):
-        out, at, own, conv, index = None, 0, "", (), [[], [], [], []]
+        out, at, conv, index = None, 0, (), [[], [], [], []]
         task = TaskContext.get()
         file = f"{path}/chat-{task.partitionId():06d}.txt"
         for b in batches:
             for conv_id, segment in zip(b.column("conv_id").to_pylist(), b.column("segment").to_pylist(), strict=True):
                 if out is None:
-                    files, final = file_system(file)
-                    files.create_dir(final.rpartition("/")[0], recursive=True)
-                    own = f"{final}.{uuid.uuid4().hex}.part"
-                    out = files.open_output_stream(own)
+                    out = NewFile(file)
                 if conv != (conv_id,):
                     conv = (conv_id,)
                     for column, x in zip(index, (conv_id, file, at, 0), strict=True):
@@ -148,7 +144,6 @@ def write_chat(turns: DataFrame, path: str) -> DataFrame:
                 index[3][-1] += len(data)
         if out is not None:
             out.close()
-            files.move(own, final)  # whole or not at all
             yield batch(INDEX, index)
 
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "segment")]

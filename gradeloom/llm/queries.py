@@ -39,6 +39,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeloom.llm.language import held_out, identify
 

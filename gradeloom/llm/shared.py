@@ -56,14 +56,31 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class NewFile:
+    """A file that appears whole or not at all, so a lost or a repeated task does no harm."""
+
+    def __init__(self, uri: str):
+        self.files, self.path = file_system(uri)
+        self.files.create_dir(os.path.dirname(self.path), recursive=True)
+        self.own = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.out = self.files.open_output_stream(self.own)
+        self.write = self.out.write
+
+    def close(self) -> None:
+        self.out.close()
+        self.files.move(self.own, self.path)
+
+
 def write_file(uri: str, data: bytes) -> None:
-    """The file appears whole or not at all, so that a repeated or a lost task does no harm."""
-    files, path = file_system(uri)
-    files.create_dir(os.path.dirname(path), recursive=True)
-    own = f"{path}.{uuid.uuid4().hex}.part"
-    with files.open_output_stream(own) as out:
-        out.write(data)
-    files.move(own, path)
+    out = NewFile(uri)
+    out.write(data)
+    out.close()
+
+
+def exists(files, path: str) -> bool:
+    from pyarrow import fs
+
+    return files.get_file_info(path).type == fs.FileType.File
 
 
 def read_range(files, path: str, start: int, length: int) -> bytes:

@@ -19,7 +19,6 @@ import bisect
 import hashlib
 import json
 import re
-import uuid
 import zlib
 from urllib.parse import quote, urlsplit
 
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import batch, file_system, read_range, shared_dir, write_file, written
+from gradeloom.llm.shared import NewFile, batch, file_system, read_range, shared_dir, write_file, written
 
 REVISIT = 1000
 LINES = 3000
@@ -125,10 +124,7 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
             columns: list[list] = [[] for _ in CAPTURE]
             for page_id, row, url, data, digest, size, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "row", "url", "payload", "digest", "size", "refers")), strict=True):
                 if out is None:
-                    files, final = file_system(file)
-                    files.create_dir(final.rpartition("/")[0], recursive=True)
-                    own = f"{final}.{uuid.uuid4().hex}.part"
-                    out = files.open_output_stream(own)
+                    out = NewFile(file)
                 member = gz(record(page_id, row, url, digest, size, data, refers))
                 out.write(member)
                 for column, x in zip(columns, (url_key(url), page_id, row, file, at, len(member)), strict=True):
@@ -137,7 +133,6 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
             yield batch(CAPTURE, columns)
         if out is not None:
             out.close()
-            files.move(own, final)
 
     return written(joined.mapInArrow(run, CAPTURES))
 
