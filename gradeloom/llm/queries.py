@@ -39,6 +39,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.jaccard import similar
+
+    found, _ = similar(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeloom.llm.neighbours import nearest
 
