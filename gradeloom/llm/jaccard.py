@@ -37,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.components import components
@@ -394,8 +394,8 @@ def _chosen(n: int, table):
 
 
 def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): doc_id, n_shingles, node and component of each of ``docs`` (doc_id,
-    text); and links between nodes that, with their transitive closure, are all links there are."""
+    """(documents, links): doc_id, n_shingles, uid, node, component and component_id of each of
+    ``docs`` (doc_id, text); and links between nodes that, with their transitive closure, are all links there are."""
     spark: SparkSession = docs.sparkSession
     t = Threshold(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.xxhash64("doc_id", "text"))
@@ -435,6 +435,28 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> t
     firsts = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(named, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
-    firsts = firsts.join(least, "component").select(F.col("node").alias("_node"), "component_id")
+    firsts = firsts.join(least, "component").select(F.col("node").alias("_node"), "component", "component_id")
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node", "uid").join(firsts, F.col("node") == F.col("_node"), "left")
-    return out.select("doc_id", "n_shingles", "node", "uid", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), links
+    return out.select("doc_id", "n_shingles", "node", "uid", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), links
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The columns of ``docs`` (doc_id, text and others) without near duplicates: of each
+    component the row with the least doc_id stays (then the least hash of its text), once.
+    Rows without words are linked with nothing and stay."""
+    found, _ = similar(docs, words, num, den)
+    # a row's place among its component's; a null doc_id comes after all others
+    rank = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("uid"))
+    linked = found.where(F.col("node").isNotNull())
+    # by node first: a component's copies are brought together where they lie
+    kept = linked.groupBy("component").agg(F.min(rank).alias("kept"))
+    kept = kept.select(F.col("kept.uid").alias("uid"), F.lit(True).alias("once"))
+    empty = found.where(F.col("node").isNull()).select("uid", F.lit(False).alias("once")).distinct()
+    columns = docs.columns
+    stay = docs.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    both = kept.unionByName(empty).withColumnRenamed("uid", "_uid")
+    stay = stay.join(both, "_uid")
+    once = Window.partitionBy("_uid").orderBy(F.lit(0))
+    # rows repeated whole: all but one go
+    stay = stay.withColumn("_number", F.row_number().over(once))
+    return stay.where(~F.col("once") | (F.col("_number") == 1)).select(*columns)

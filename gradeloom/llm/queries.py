@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,12 +106,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
-    if importlib.util.find_spec("corpus_pipeline"):
-        import corpus_pipeline
-
-        own["pipeline"] = corpus_pipeline.run
-    return own
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 SQL = {
