@@ -170,7 +170,7 @@ def stated_answer(text: Column) -> Column:
 
 def fenced_json(text: Column) -> Column:
     """What a fenced code block holds, or the text itself."""
-    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), F.trim(text))
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit("")), F.trim(text))
 
 
 def file_name(url: Column) -> Column:

@@ -55,7 +55,11 @@ def merged_into(df: DataFrame, key: str, target, other, texts: list[str], lists:
     """Two rows become one: texts joined by a line end, lists one after the other."""
     pair = df.where(F.col(key).isin(target, other)).withColumn("_n", F.when(F.col(key) == target, 0).otherwise(1))
     ordered = F.array_sort(F.collect_list(F.struct("_n", *texts, *lists)))
-    one = pair.agg(F.count(F.lit(1)).alias("_rows"), *[F.array_join(F.transform(ordered, lambda r, c=c: r[c]), "\n").alias(c) for c in texts], *[F.flatten(F.transform(ordered, lambda r, c=c: r[c])).alias(c) for c in lists])
+
+    def values(c: str) -> Column:
+        return F.transform(ordered, lambda r: r[c])
+
+    one = pair.agg(F.count(F.lit(1)).alias("_rows"), *[F.array_join(values(c), "\n").alias(c) for c in texts], *[F.flatten(values(c)).alias(c) for c in lists])
     out = df.where(F.col(key) != other)
     new = one.select(F.lit(target).alias("_k"), *[F.col(c).alias(f"_{c}") for c in (*texts, *lists)])
     joined = out.join(new, F.col(key) == F.col("_k"), "left")
