@@ -122,27 +122,37 @@ def linked(ids: DataFrame) -> DataFrame:
     return before.select("doc_id", "n", F.col("before.doc_id").alias("before"), F.col("before.n").alias("before_n"), F.col("before.chars").alias("before_chars"))
 
 
+def _key(doc_id: str, prefix: str = "") -> dict[str, Column]:
+    """A doc_id as two columns that are never null, so one dealing serves all that follows."""
+    return {f"{prefix}id": F.coalesce(doc_id, F.lit(0)), f"{prefix}null": F.col(doc_id).isNull()}
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with chars, sketch (packed), and of the next document its
-    sketch and its first chars / 2 code points."""
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.select("doc_id", text.alias("text"))
+    """``docs`` (doc_id, text) with n_chars, sketch (packed), and of the next document its
+    sketch and its first n_chars / 2 code points.
+
+    Texts are dealt once by doc_id; what the document before needs of them, once more.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("chars"))
-    links = linked(ids).select(F.col("doc_id").alias("_id"), "before", "before_n", "before_chars", F.col("n").alias("of"))
-    own = docs.withColumn("sketch", packed(sketch(F.col("text"))))
-    joined = own.join(links, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    links = linked(ids).select(*[c.alias(k) for k, c in (_key("doc_id") | _key("before", "to_")).items()], "before_n", "before_chars")
+    # both sides of the last join need the same columns of this, so one dealing serves both
+    own = docs.select(*[c.alias(k) for k, c in _key("doc_id").items()], "text", packed(sketch(F.col("text"))).alias("sketch"))
     # equal doc_ids are told apart by their number
-    number = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    joined = joined.withColumn("number", F.when(F.col("of") == 1, F.lit(1)).otherwise(F.row_number().over(number)))
+    number = Window.partitionBy("id", "null").orderBy(F.xxhash64("text"), "text")
+    own = own.withColumn("number", F.row_number().over(number))
+    joined = own.join(links, ["id", "null"])
     first = F.col("number") == 1
     nexts = joined.select(
-        F.when(first, F.col("before")).otherwise(F.col("doc_id")).alias("_to"),
-        F.when(first, F.col("before_n")).otherwise(F.col("number") - 1).alias("_to_number"),
+        *[F.when(first, F.col(f"to_{c}")).otherwise(F.col(c)).alias(f"to_{c}") for c in ("id", "null")],
+        F.when(first, F.col("before_n")).otherwise(F.col("number") - 1).alias("to_number"),
         F.when(first, F.substring("text", F.lit(1), F.floor(F.col("before_chars") / 2).cast("int"))).otherwise(F.col("text")).alias("next_text"),
         F.col("sketch").alias("next_sketch"),
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_to")) & (F.col("number") == F.col("_to_number"))
-    return joined.join(nexts, same).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "sketch", "next_text", "next_sketch")
+    # the number is no join key: rows stay where they were dealt by id
+    same = (F.col("id") == F.col("to_id")) & (F.col("null") == F.col("to_null")) & (F.col("number") - F.col("to_number") == 0)
+    doc_id = F.when(~F.col("null"), F.col("id")).alias("doc_id")
+    return own.join(nexts, same).select(doc_id, "text", F.length("text").cast("long").alias("n_chars"), "sketch", "next_text", "next_sketch")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
