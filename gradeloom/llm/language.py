@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeloom.llm.shared import hold
+
 SAMPLE = 200
 LEARNT = 40_000
 #: Symbols of the automata: the commonest letters, a space, and one for all others.
@@ -62,7 +64,7 @@ def codes(text: str) -> np.ndarray:
 class Parser:
     """Suffix automata of all languages in one table of moves.
 
-    ``moves[state * symbols + symbol]`` is the next state times 2, plus 1 if a phrase ended:
+    ``moves[state * symbols + symbol]`` is the next state times 2, plus 1 if a phrase begins:
     then the move is the one that the automaton's start makes.
     """
 
@@ -78,13 +80,16 @@ class Parser:
         for name in self.names:
             table = self.automaton(self.symbol(texts[name]).tolist())
             n = len(table) // self.symbols
-            start = table[: self.symbols].copy()
-            start[start < 0] = 0
+            # one more state, n, where no phrase is open: a text starts there, and a symbol that
+            # the language doesn't have, a phrase of its own, leads there
+            first = table[: self.symbols].copy()
+            first[first < 0] = n
+            table = np.concatenate([table, np.full(self.symbols, -1)])
             broken = table < 0
-            table[broken] = np.tile(start, n)[broken]
+            table[broken] = np.tile(first, n + 1)[broken]
             tables.append(((table + at) * 2 + broken).astype(np.int32))
-            self.starts.append(at)
-            at += n
+            self.starts.append(at + n)
+            at += n + 1
         self.moves = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.sizes = np.array([max(2, len(texts[n])) for n in self.names], float)
 
@@ -169,7 +174,7 @@ class Parser:
             np.right_shift(move, 1, out=move)
             np.multiply(move, np.int32(self.symbols), out=move)
             state[:, :n] = move
-        return (count + 1).T
+        return count.T
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         symbols = [self.symbol(t) if t else np.zeros(0, np.uint8) for t in texts]
@@ -195,6 +200,7 @@ _PARSERS: dict[str, Parser] = {}
 
 def parser(texts: dict[str, str]) -> Parser:
     """This worker's parser of the learned texts, built once."""
+    hold("language", _PARSERS.clear)
     key = hashlib.sha256(repr(sorted(texts.items())).encode()).hexdigest()
     if key not in _PARSERS:
         _PARSERS.clear()
