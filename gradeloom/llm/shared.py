@@ -111,3 +111,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+_HELD: list = ["", lambda: None]
+
+
+def hold(owner: str, drop) -> None:
+    """Python workers outlive a stage: what one operator keeps in them (``drop`` lets go of it)
+    goes when another operator begins."""
+    if _HELD[0] != owner:
+        _HELD[1]()
+        _HELD[:] = [owner, drop]
