@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from gradeloom.llm.shared import hold
+
 #: Unicode's White_Space property, spelled out.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Parts texts before they are cut; texts that have it are encoded whole.
@@ -23,24 +25,26 @@ CUT = "\0"
 #: Where white space belongs to the ids, texts with a run of it are encoded whole.
 UNSURE = {True: f"{CUT}|[{SPACE}][{SPACE}]", False: CUT}
 WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-#: Chunks that a worker remembers; beyond it the cache starts anew (results don't change).
-CACHED = 1_000_000
+#: Chunks that a worker remembers: those seen again, and those seen once, lately.  Beyond its
+#: bound either part starts anew (results don't change).
+SEEN_AGAIN, SEEN_ONCE = 400_000, 250_000
 #: Words that go through the library as one line.
 LINE = 400
 #: Texts are worked on in groups of about so many characters.
-GROUP = 8_000_000
+GROUP = 4_000_000
 
 
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, keeps_space: bool, cached: int = CACHED):
+    def __init__(self, path: str, keeps_space: bool, memory: float = 1.0):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.keeps_space = keeps_space
-        self.cached = cached
-        self.known: dict[str, bytes] = {"": b""}
+        self.again, self.once_most, self.group = (int(memory * n) for n in (SEEN_AGAIN, SEEN_ONCE, GROUP))
+        self.known: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
         vocabulary = self.inner.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # what a token takes of the text, or whether it ends a word
@@ -49,8 +53,8 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Chunks that are one word go through the library many at a time: their ids are told
         apart by the bytes that each id stands for, or by the ids that end a word."""
-        known = self.known
-        known[""] = b""
+        found = self.once
+        found[""] = b""
         new = [c for c in new if c]
         words = [c for c in new if (c[0] == " " and WORD(c, 1) if self.keeps_space else WORD(c))]
         if words:
@@ -61,11 +65,11 @@ class Encoder:
             ends = 4 * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(each)) + 1)
             data, start = ids.tobytes(), 0
             for c, end in zip(words, ends.tolist(), strict=True):
-                known[c] = data[start:end]
+                found[c] = data[start:end]
                 start = end
-        rest = [c for c in new if c not in known]
+        rest = [c for c in new if c not in found]
         for c, e in zip(rest, self.inner.encode_batch(rest, add_special_tokens=False), strict=True):
-            known[c] = array("I", e.ids).tobytes()
+            found[c] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null and empty texts have none."""
@@ -73,7 +77,7 @@ class Encoder:
         begin = size = 0
         for k, text in enumerate(texts):
             size += len(text or "")
-            if size > GROUP or k + 1 == len(texts):
+            if size > self.group or k + 1 == len(texts):
                 out += self._group(pa.array([t or "" for t in texts[begin : k + 1]], pa.large_string()))
                 begin, size = k + 1, 0
         return out
@@ -88,14 +92,18 @@ class Encoder:
         flat = pc.dictionary_encode(chunks.flatten())
         distinct = flat.dictionary.to_pylist()
         ids = list(map(self.known.get, distinct))
-        new = [c for c, i in zip(distinct, ids, strict=True) if i is None]
-        if new:
-            if len(self.known) + len(new) > self.cached:
+        at = [k for k, i in enumerate(ids) if i is None]
+        if at:
+            again = {distinct[k]: i for k in at if (i := self.once.get(distinct[k])) is not None}
+            if len(self.known) + len(again) > self.again:
                 self.known.clear()
-                self.known[""] = b""
-            self._learn(new)
-            get = self.known.get
-            ids = [get(c) if i is None else i for c, i in zip(distinct, ids, strict=True)]
+            self.known.update(again)
+            if len(self.once) + len(at) > self.once_most:
+                self.once.clear()
+            self._learn([distinct[k] for k in at if distinct[k] not in again])
+            for k in at:
+                c = distinct[k]
+                ids[k] = again[c] if c in again else self.once[c]
         each = list(map(ids.__getitem__, flat.indices.to_numpy().tolist()))
         bound = (chunks.offsets.to_numpy() - chunks.offsets[0].as_py()).tolist()
         out = [b"".join(each[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)]
@@ -107,8 +115,11 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> Encoder:
-    """This worker's encoder of a vocabulary file."""
-    if (path, keeps_space) not in _ENCODERS:
-        _ENCODERS[path, keeps_space] = Encoder(path, keeps_space)
-    return _ENCODERS[path, keeps_space]
+def encoder(path: str, keeps_space: bool, memory: float = 1.0) -> Encoder:
+    """This worker's encoder of a vocabulary file; ``memory`` scales what it remembers and how
+    much text it works on at a time."""
+    hold("bpe", _ENCODERS.clear)
+    key = (path, keeps_space, memory)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
