@@ -84,8 +84,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeloom.llm.token_files import token_table
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    read = token_table(docs, tokenizer("word_bpe_49k.json"))
-    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_table(docs, tokenizer("word_bpe_49k.json"), digest=True)
 
 
 #: A conversation whose texts are control strings of a template.
