@@ -123,3 +123,7 @@ def encoder(path: str, keeps_space: bool, memory: float = 1.0) -> Encoder:
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    _ENCODERS.clear()

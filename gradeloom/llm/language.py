@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm.shared import hold
+from gradeloom.llm.shared import hold, tidy
 
 SAMPLE = 200
-LEARNT = 40_000
+LEARNT = 24_000
 #: Symbols of the automata: the commonest letters, a space, and one for all others.
 SYMBOLS = 64
 SEGMENT = 512
@@ -242,4 +242,4 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
                 names, scores = own.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -18,6 +18,8 @@ Rows with a size of 0 stay in the result with 0 taken.
 from __future__ import annotations
 
 import math
+import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm.shared import n_words, written
+from gradeloom.llm.shared import n_words, trim, written
 
 #: Words of a shard, as long as that makes no more than so many shards.
 SHARD_WORDS = 250_000
@@ -109,13 +111,15 @@ def taken(sizes: np.ndarray, quota: int, blocks: int, seed: int) -> tuple[np.nda
     return until(ends) - until(ends - sizes), bounds, times
 
 
-def mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: int = 3, block: int = 32, seed: int = SEED, spans: bool = False, counted: bool = False) -> DataFrame:
+def mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: int = 3, block: int = 32, seed: int = SEED, spans: bool = False, counted: bool = False, texts: bool = False) -> DataFrame:
     """``docs`` (doc_id, source, text) with size, source_size, target and taken.  ``counted``:
     in place of text, docs has size and _key, what their seeded order goes by.
 
     Sources, by code point and null last, weigh ``cycle``, repeating.  With ``spans`` there
     is also an array of (start, end, times): words [start, end) are taken so many times.
+    With ``texts`` the rows are the mix itself, as mixed_texts() has it.
     """
+    columns = docs.columns
     spark = docs.sparkSession
     if not counted:
         docs = docs.withColumns({"size": n_words(F.col("text")), "_key": F.xxhash64(F.lit(seed), "doc_id", "text")})
@@ -155,7 +159,10 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: int = 3, bl
     schema.add("taken", T.LongType())
     if spans:
         schema.add("spans", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end", "times")])))
+    if texts:
+        schema = T.StructType([placed.schema[c] for c in columns])
     names_out = schema.names
+    spans = spans or texts
 
     def cell(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
@@ -179,47 +186,43 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: int = 3, bl
                             own.append((s, e, t))
                 found.append([dict(zip(("start", "end", "times"), x, strict=True)) for x in own])
             left["spans"] = found
-        return left[names_out]
+        out = _texts(left, columns) if texts else left[names_out]
+        if texts and random.random() < 0.1:  # what pandas leaves behind in a worker is mostly texts
+            trim()
+        return out
 
     return placed.groupBy("_source", "_shard").cogroup(plan.groupBy("_source", "_shard")).applyInPandas(cell, schema)
 
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _texts(taken_: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    got = []
+    for row in taken_.to_dict("records"):
+        own = [(int(x["start"]), int(x["end"]), int(x["times"])) for x in row["spans"]]
+        for time in range(max((t for *_, t in own), default=0)):
+            runs: list[list[int]] = []
+            for start, end, t in own:
+                if t <= time:
+                    continue
+                if runs and runs[-1][1] == start:
+                    runs[-1][1] = end
+                else:
+                    runs.append([start, end])
+            text = row["text"]
+            if runs != [[0, row["size"]]]:
+                at = [m.span() for m in WORD.finditer(text)]
+                text = "\n".join(text[at[s][0] : at[e - 1][1]] for s, e in runs)
+            new = {c: row[c] for c in columns} | {"text": text}
+            if "n_chars" in new and not pd.isna(new["n_chars"]):
+                new["n_chars"] = len(text)
+            got.append(new)
+    return pd.DataFrame(got, columns=columns)
 
 
 def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a row for each time that any words of a
     document are taken, its text cut to the words that this time covers (the whole text,
     byte for byte, where that is all of them).  Rows of which nothing is taken go."""
-    import re
-
-    columns = docs.columns
-    out = mix(docs, spans=True, **how)
-    schema = T.StructType([f for f in docs.schema])
-    word = re.compile(WORD)
-
-    def emit(batches):
-        for pdf in batches:
-            got = []
-            for row in pdf.to_dict("records"):
-                own = [(int(x["start"]), int(x["end"]), int(x["times"])) for x in row["spans"]]
-                for time in range(max((t for *_, t in own), default=0)):
-                    runs: list[list[int]] = []
-                    for start, end, t in own:
-                        if t <= time:
-                            continue
-                        if runs and runs[-1][1] == start:
-                            runs[-1][1] = end
-                        else:
-                            runs.append([start, end])
-                    text = row["text"]
-                    if runs != [[0, row["size"]]]:
-                        at = [m.span() for m in word.finditer(text)]
-                        text = "\n".join(text[at[s][0] : at[e - 1][1]] for s, e in runs)
-                    new = {c: row[c] for c in columns} | {"text": text}
-                    if "n_chars" in new and not pd.isna(new["n_chars"]):
-                        new["n_chars"] = len(text)
-                    got.append(new)
-            yield pd.DataFrame(got, columns=columns)
-
-    return out.select(*[F.col(c) for c in dict.fromkeys([*columns, "text", "size", "spans"])]).mapInPandas(emit, schema)
+    return mix(docs, texts=True, **how)

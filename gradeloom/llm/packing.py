@@ -18,15 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.bpe import encoder
-from gradeloom.llm.shared import batch, written
+from gradeloom.llm.bpe import encoder, forget
+from gradeloom.llm.shared import batch, small_batches, tidy, written
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()), ("open", pa.bool_())])
 DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, open boolean"
 #: Pieces in open bins that one task of a later level takes.
 PER_TASK = 100_000
 #: Bytes of ids in a batch handed back.
-BATCH = 8_000_000
+BATCH = 4_000_000
 
 
 def classes(capacity: int) -> list[int]:
@@ -92,16 +92,17 @@ class Bins:
         return out
 
 
-def _first(path: str, keeps_space: bool, end_id: int, capacity: int):
+def _first(path: str, keeps_space: bool, end_id: int, capacity: int, memory: float):
     lengths = classes(capacity)
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
         bins = Bins(capacity, 0, TaskContext.get().partitionId())
-        encode = encoder(path, keeps_space).encode
+        encode = encoder(path, keeps_space, memory).encode
+        rows = max(64, int(4096 * memory))
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
                 texts = part.column("text").to_pylist()
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
                     ids += end
@@ -115,7 +116,7 @@ def _first(path: str, keeps_space: bool, end_id: int, capacity: int):
             bins.close(pieces, is_open=True)
         yield bins.taken()
 
-    return run
+    return tidy(run, forget if memory < 1 else lambda: None)
 
 
 def _later(level: int, last: bool, capacity: int):
@@ -136,13 +137,16 @@ def _later(level: int, last: bool, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = True, end_id: int = 0, capacity: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = True, end_id: int = 0, capacity: int = 1024, memory: float = 1.0) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text) with their place in sequences of ``capacity``.
 
     Returns doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian
-    unsigned 32-bit); a sequence's pieces lie gapless from offset 0.
+    unsigned 32-bit); a sequence's pieces lie gapless from offset 0.  ``memory`` below 1 makes
+    workers remember less of the tokenizer's work, and nothing once a task is done.
     """
-    table = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_first(tokenizer, keeps_space, end_id, capacity), DDL))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with small_batches(docs.sparkSession):
+        table = written(docs.mapInArrow(_first(tokenizer, keeps_space, end_id, capacity, memory), DDL))
     done = [table.where(~F.col("open"))]
     level, before = 1, None
     while True:

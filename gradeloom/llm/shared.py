@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -56,6 +59,18 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While it holds, Python workers get so many rows at a time: for what is run inside it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class NewFile:
     """A file that appears whole or not at all, so a lost or a repeated task does no harm."""
 
@@ -122,3 +137,23 @@ def hold(owner: str, drop) -> None:
     if _HELD[0] != owner:
         _HELD[1]()
         _HELD[:] = [owner, drop]
+        trim()
+
+
+def trim() -> None:
+    """What is freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run, drop=lambda: None):
+    """A task's function that leaves little behind in a worker that idles after it."""
+
+    def tidied(batches):
+        yield from run(batches)
+        drop()
+        trim()
+
+    return tidied
