@@ -40,7 +40,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their place in sequences of 1024."""
-    return pack(docs.select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
+    # executors' heaps have grown in the stages before: less is left for Python
+    return pack(docs.select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), memory=0.15)
 
 
 STAGES = [("language id", language), ("near duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
