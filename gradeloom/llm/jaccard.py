@@ -41,10 +41,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.components import components
-from gradeloom.llm.shared import batch, mixed, written
+from gradeloom.llm.shared import batch, mixed, small_batches, tidy, trim, written
 
 #: Sets of one task's block; a group with more is dealt out in pairs of blocks.
-TILE = 2048
+TILE = 512
 #: Members of a list whose possible pairs are told apart one by one; longer lists are one star.
 LIST = 256
 #: Of the hash range, the part whose shingles are ordered by frequency.
@@ -53,7 +53,8 @@ REGION = np.uint64(2**62)
 SMALL = 64
 #: Bytes of the frequency table, least and most.
 SLOTS = (2**20, 2**27)
-WORDS_KNOWN = 2_000_000
+#: Words whose hashes a worker remembers.
+WORDS_KNOWN = 300_000
 MULTIPLIERS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -174,7 +175,7 @@ def _sets(n: int, t: Threshold):
                     seen.add(node)
                 yield batch(schema, [part.column("uid").to_pylist(), part.column("doc_id").to_pylist(), sizes, nodes, own])
 
-    return run
+    return tidy(run, _WORDS.clear)
 
 
 def _hash_prefixes(t: Threshold):
@@ -245,7 +246,7 @@ def _postings(t: Threshold, levels, light: int):
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([k.view(np.int64) for k in keys], nodes, sizes, places)], schema=POSTING)
 
-    return run
+    return tidy(run)
 
 
 def _star(nodes: np.ndarray, n: np.ndarray, place: np.ndarray, t: Threshold, long: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +311,7 @@ def _lists(t: Threshold):
         if held is not None and len(links := stars(*held, long=long)):
             yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 class _Forest:
@@ -329,10 +330,13 @@ class _Forest:
         return a != b
 
 
-def links_within(sets: list[np.ndarray], t: Threshold, cells: int = 8_000_000) -> list[tuple[int, int]]:
+def links_within(sets: list[np.ndarray], t: Threshold, cells: int = 2_000_000) -> list[tuple[int, int]]:
     """Links that connect what any similar pairs of these sets connect."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     n = np.array([len(sets[i]) for i in order], np.int64)
+    # counts of ordinary sets are exact in half the memory
+    real, whole = (np.float32, np.int32) if n.max(initial=0) < 10_000_000 else (np.float64, np.int64)
+    n = n.astype(whole)
     forest, out = _Forest(len(order)), []
     flat = np.concatenate([sets[i] for i in order])
     _, name, often = np.unique(flat, return_inverse=True, return_counts=True)
@@ -351,18 +355,18 @@ def links_within(sets: list[np.ndarray], t: Threshold, cells: int = 8_000_000) -
             columns, rows = wider, rows + 1
         place = np.full(width, -1, np.int64)
         place[columns] = np.arange(len(columns))
-        left = np.zeros((rows - at, len(columns)), np.float32)
+        left = np.zeros((rows - at, len(columns)), real)
         for k in range(at, rows):
             left[k - at, place[names[k]]] = 1
         until = int(np.searchsorted(n, t.largest(n[rows - 1]), "right"))
         step = max(1, cells // max(1, len(columns)))
         for c in range(at, until, step):
             stop = min(until, c + step)
-            right = np.zeros((stop - c, len(columns)), np.float32)
+            right = np.zeros((stop - c, len(columns)), real)
             for k in range(c, stop):
                 own = place[names[k]]
                 right[k - c, own[own >= 0]] = 1
-            both = (left @ right.T).astype(np.int64)
+            both = (left @ right.T).astype(whole)
             union = n[at:rows, None] + n[None, c:stop] - both
             for a, b in zip(*np.nonzero(t.den * both >= t.num * union), strict=True):
                 if a + at != b + c and forest.join(int(a + at), int(b + c)):
@@ -390,7 +394,7 @@ def _chosen(n: int, table):
                 seen.update(int(uid[i]) for i in rows)
                 yield batch(schema, [[int(uid[i]) for i in rows], [shingle_set(x, n).tobytes() for x in texts]])
 
-    return run
+    return tidy(run, _WORDS.clear)
 
 
 def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -399,7 +403,8 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> t
     spark: SparkSession = docs.sparkSession
     t = Threshold(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.xxhash64("doc_id", "text"))
-    rows = written(docs.select("uid", "doc_id", "text").mapInArrow(_sets(words, t), "uid long, doc_id long, n int, node long, own binary"))
+    with small_batches(spark, 2000):
+        rows = written(docs.select("uid", "doc_id", "text").mapInArrow(_sets(words, t), "uid long, doc_id long, n int, node long, own binary"))
     own = rows.where(F.col("own").isNotNull())
     table, length = frequency_levels(own.select("n", "own").mapInArrow(_hash_prefixes(t), "key long"))
     sizes = {r["n"]: r["count"] for r in own.where(F.col("n") < SMALL).groupBy("n").count().collect()}
@@ -428,9 +433,12 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> t
         part = part.drop_duplicates("node")
         node = part["node"].to_numpy()
         found = links_within([np.frombuffer(x, np.uint64) for x in part["shingles"]], t)
+        if len(part) > 200:
+            trim()
         return pd.DataFrame({"a": [node[a] for a, _ in found], "b": [node[b] for _, b in found]}, dtype="int64")
 
-    links = written(meeting.groupBy("group", "i", "j").applyInPandas(meet, "a long, b long"))
+    with small_batches(spark, 2000):
+        links = written(meeting.groupBy("group", "i", "j").applyInPandas(meet, "a long, b long"))
     named = components(links)
     firsts = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(named, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
