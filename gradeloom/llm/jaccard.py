@@ -44,7 +44,7 @@ from gradeloom.llm.components import components
 from gradeloom.llm.shared import batch, mixed, small_batches, tidy, trim, written
 
 #: Sets of one task's block; a group with more is dealt out in pairs of blocks.
-TILE = 512
+TILE = 1024
 #: Members of a list whose possible pairs are told apart one by one; longer lists are one star.
 LIST = 256
 #: Of the hash range, the part whose shingles are ordered by frequency.
