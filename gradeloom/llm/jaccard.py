@@ -278,13 +278,13 @@ def _star(nodes: np.ndarray, n: np.ndarray, place: np.ndarray, t: Threshold, lon
 def _lists(t: Threshold):
     """Links of the stars of each key's list; rows come sorted by key, size and node."""
 
-    def stars(key, node, n, place, long=None):
+    def stars(key, node, n, place, long=()):
         if len(key):
             same = np.concatenate([[False], (key[1:] == key[:-1]) & (node[1:] == node[:-1])])
             key, node, n, place = (x[~same] for x in (key, node, n, place))
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
         size = np.diff(np.concatenate([start, [len(key)]]))
-        found = [_star(node[s : s + c], n[s : s + c], place[s : s + c], t, key[s] == long) for s, c in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True)]
+        found = [_star(node[s : s + c], n[s : s + c], place[s : s + c], t, key[s] in long) for s, c in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True)]
         if not found:
             return np.zeros((0, 2), np.int64)
         return np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
@@ -301,14 +301,15 @@ def _lists(t: Threshold):
             key = now[0][-1]
             last = int(np.argmax(now[0] == key))
             if len(now[0]) - last > 8 * LIST:
-                links = stars(*now, long=key)
+                # the rest of the list that was a star before may be in this batch, too
+                links = stars(*now, long=(long, key))
                 held, long = [x[-1:] for x in now], key
             else:
-                links = stars(*(x[:last] for x in now), long=long)
+                links = stars(*(x[:last] for x in now), long=(long,))
                 held = [x[last:] for x in now]
             if len(links):
                 yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
-        if held is not None and len(links := stars(*held, long=long)):
+        if held is not None and len(links := stars(*held, long=(long,))):
             yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
     return tidy(run)

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,41 @@ def test_long_lists_and_tiles(spark, monkeypatch):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("rows", [50, 100, 150, 10_000])
+def test_lists_go_on_in_the_next_batch(monkeypatch, rows):
+    """Whatever the batches, members of a list that may be similar stay connected: also those
+    of a long list of which a few come in a batch that ends in another long list."""
+    monkeypatch.setattr(J, "LIST", 8)
+    t = J.Threshold(85, 100)
+    rng = random.Random(rows)
+    for _ in range(20):
+        members, node = [], 0
+        for key in range(12):
+            for _ in range(rng.choice([3, 30, 70, 103, 104, 180])):
+                n = rng.randrange(90, 110)
+                members.append((key, n, node, rng.randrange(int(t.prefix(n)))))
+                node += 1
+        members.sort()
+        columns = [np.array(c, d) for c, d in zip(zip(*[(k, m, n, p) for k, n, m, p in members]), (np.int64, np.int64, np.int32, np.int32))]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[at : at + rows]) for c in columns], schema=J.POSTING) for at in range(0, len(members), rows)]
+        up = list(range(node))
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for out in J._lists(t)(iter(batches)):
+            for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                up[top(a)] = top(b)
+        for i, (k, n, a, p) in enumerate(members):
+            for k2, m, b, q in members[i + 1 :]:
+                if k2 != k:
+                    break
+                if m <= t.largest(n) and min(n - p, m - q) >= t.both(n, m):
+                    assert top(a) == top(b), (k, a, b)
+
+
 def test_links_are_links(spark, rows):
     links = check(spark, rows, 5, 80, 100)
     assert links.count() >= 1
