@@ -118,5 +118,17 @@ def faults(b: Column, width: Column, height: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def source_page(pages: list[Column], page_range: Column) -> Column:
+    """The first of these pages that is neither null nor 0, else the range's first, else 1."""
+    return F.coalesce(*[F.nullif(p, F.lit(0)) for p in (*pages, F.get(page_range, F.lit(0)))], F.lit(1))
+
+
+def source_highlight(box_: Column, page: Column) -> Column:
+    """Where a viewer shows a question's source; null if the box has not four numbers."""
+    size = lambda k: F.greatest(F.lit(1.0), box_[k + 2] - box_[k])
+    own = F.struct(F.greatest(F.lit(1), page).alias("page"), box_[0].alias("x"), box_[1].alias("y"), size(0).alias("width"), size(1).alias("height"))
+    return F.when(F.size(box_) == 4, own)
+
+
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.functions import geometry as G
 from gradeloom.functions import text as X
 from gradeloom.functions.numeric import count_if
 
@@ -66,3 +69,67 @@ def coverage(boxes: DataFrame, key: list[str], area: float) -> DataFrame:
     """The part of an area that boxes take, at most all of it."""
     own = F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
     return boxes.groupBy(*key).agg(F.least(F.lit(1.0), F.round(own / F.lit(area), 4)).alias("coverage"))
+
+
+def shared_owners(questions: DataFrame) -> DataFrame:
+    """page and shared: whether an image or a visual has more than one owner among the page's
+    questions (page, image_refs, visual_refs: structs of id and bbox)."""
+    images = F.transform(F.coalesce("image_refs", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("None")))
+    visuals = F.filter(F.transform("visual_refs", lambda v: v["id"].cast("string")), lambda x: x != "")
+    owned = questions.select("page", F.explode(F.concat(images, F.coalesce(visuals, F.array().cast("array<string>")))).alias("ref"))
+    return owned.groupBy("page", "ref").agg(F.count(F.lit(1)).alias("n")).groupBy("page").agg(F.bool_or(F.col("n") > 1).alias("shared"))
+
+
+def vision_pages(pages: DataFrame, blocks: DataFrame, questions: DataFrame, visuals: DataFrame, least: float = 0.75) -> DataFrame:
+    """Each of ``pages`` (page) and whether a vision model is to see it (call_vision): it has a
+    picture, table or visual; a question that needs a look, is below ``least`` or overlaps its
+    own visual; a visual with two owners; or a word that speaks of pictures.
+
+    blocks: page, type, text; questions: page, needs_review, parse_confidence, confidence,
+    source_bbox, image_refs, visual_refs; visuals: page."""
+    words = F.rlike("text", F.lit("资料分析|图形推理|数量关系|表|图"))
+    sure = F.coalesce(F.nullif("parse_confidence", F.lit(0.0)), "confidence", F.lit(1.0))
+    source = F.col("source_bbox")
+    overlap = F.exists("visual_refs", lambda v: G.valid(source) & G.valid(v["bbox"]) & G.intersects(source, v["bbox"]))
+    asked = lambda c: F.coalesce(c, F.lit(False))
+    reasons = [
+        blocks.select("page", (asked(F.col("type").isin("image", "table")) | asked(words)).alias("call")),
+        questions.select("page", (asked(F.col("needs_review")) | (sure < least) | asked(overlap)).alias("call")),
+        shared_owners(questions).select("page", F.col("shared").alias("call")),
+        visuals.select("page", F.lit(True).alias("call")),
+    ]
+    found = reduce(DataFrame.unionByName, reasons).groupBy("page").agg(F.bool_or("call").alias("_call"))
+    return pages.join(found, "page", "left").withColumn("call_vision", asked(F.col("_call"))).drop("_call")
+
+
+def suspicious_crops(manifest: DataFrame, pages: DataFrame) -> DataFrame:
+    """``manifest`` (page_num, context_bbox, question_bbox, linked_visual_count,
+    next_question_boundary) with width and height of the crop, null if there is no box, and
+    reasons: why a crop needs a look.  pages: page_num, height."""
+    own = F.when(F.size("context_bbox") > 0, F.col("context_bbox")).otherwise(F.col("question_bbox"))
+    side = lambda k: F.when(F.size(own) == 4, own[k + 2] - own[k])
+    heights = pages.groupBy("page_num").agg(F.max("height").alias("_page"))
+    out = manifest.withColumns({"width": side(0), "height": side(1)}).join(heights, "page_num", "left")
+    rules = [
+        ("crop_height_gt_page_70_percent", (F.col("_page") != 0) & (F.col("height") > F.col("_page") * 0.7)),
+        ("crop_width_lt_200", (F.col("width") != 0) & (F.col("width") < 200)),
+        ("linked_visual_count_gt_5", F.col("linked_visual_count") > 5),
+        ("touches_next_question_boundary", F.col("next_question_boundary").isNotNull()),
+    ]
+    return out.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))).drop("_page")
+
+
+def smoke_summary(crops: DataFrame) -> DataFrame:
+    """One row of counts and crop sizes of ``suspicious_crops``, whose manifest also has
+    accepted and linked_material_id."""
+    some = lambda c: F.coalesce(F.round(c, 2), F.lit(0.0))
+    return crops.agg(
+        F.count(F.lit(1)).alias("total_questions"),
+        F.count_if(F.col("accepted")).alias("accepted_questions"),
+        F.count_if(F.coalesce("linked_material_id", F.lit("")) != "").alias("questions_with_material"),
+        F.count_if(F.col("linked_visual_count") > 0).alias("questions_with_visuals"),
+        some(F.avg("width")).alias("avg_crop_width"),
+        some(F.avg("height")).alias("avg_crop_height"),
+        some(F.max("height")).alias("max_crop_height"),
+        F.count_if(F.size("reasons") > 0).alias("suspicious_crops"),
+    )

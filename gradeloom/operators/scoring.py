@@ -202,3 +202,19 @@ def readability(text: Column, n_options: Column, needs_image: Column, n_images:
         ("noise", X.punctuation_share(text) > 0.5),
     ]
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]))
+
+
+def universal_confidence(content: Column, n_options: Column, missing_options: Column, material_suspected: Column) -> Column:
+    """Confidence in a question that no strategy of its own has read; 0.1 to 0.98."""
+    options = F.when(n_options >= 4, 0.25).when(n_options >= 2, 0.15).otherwise(0.0)
+    out = F.lit(0.55) + F.when(F.length(content) >= 12, 0.15).otherwise(0.0) + options
+    out = out - F.when(F.coalesce(missing_options, F.lit(False)), 0.25).otherwise(0.0) - F.when(F.coalesce(material_suspected, F.lit(False)), 0.1).otherwise(0.0)
+    return F.round(clamp(out, 0.1, 0.98), 2)
+
+
+def answer_image_score(width: Column, height: Column, page_width: Column, page_height: Column, section: Column, index: Column, before: Column) -> Column:
+    """How likely a crop shows one answer, 0 to 100; ``before`` is the index of the anchor
+    before it on the page, null for the first.  A flat crop has 60 at most."""
+    out = F.lit(40) + F.when((width > page_width * 0.6) & (height > 40), 20).otherwise(0) + F.when(F.coalesce(section, F.lit("")) != "", 10).otherwise(0)
+    out = out + F.when((height >= 40) & (height <= page_height * 0.9), 10).otherwise(0) + F.when(F.coalesce(index >= before, F.lit(True)), 10).otherwise(0)
+    return clamp(F.when(height < 30, F.least(out, F.lit(60))).otherwise(out), 0, 100).cast("int")
