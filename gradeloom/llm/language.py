@@ -9,9 +9,13 @@ table lookup a character.
 Texts are lower-cased; what isn't a letter is one space.  Long texts are parsed in segments
 of ``SEGMENT`` characters, all of them; a phrase ends with its segment.
 
+Every learned letter is a symbol of its own.  The moves by the commonest are in a dense
+table, those by all others in a sorted one, so a script of thousands of letters is as exact
+as one of thirty.
+
 Learning: ``SAMPLE`` labelled rows a language, those with the least hash of their text, and
 ``LEARNT`` characters of them, spread evenly over the rows.  This bound is what a worker's
-tables need: states x symbols x 4 bytes a language.
+tables need: states x dense symbols x 4 bytes a language.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0.  Without any labelled
 row every text is ``und``.  Ties go to the first language by code point.  Letters that no
@@ -33,7 +37,8 @@ from gradeloom.llm.shared import hold, tidy
 
 SAMPLE = 200
 LEARNT = 24_000
-#: Symbols of the automata: the commonest letters, a space, and one for all others.
+#: Symbols with a column in the dense table: a space, one for all letters that no learned text
+#: has, and the commonest letters.
 SYMBOLS = 64
 SEGMENT = 512
 #: Segments that move in step.
@@ -65,20 +70,26 @@ class Parser:
     """Suffix automata of all languages in one table of moves.
 
     ``moves[state * symbols + symbol]`` is the next state times 2, plus 1 if a phrase begins:
-    then the move is the one that the automaton's start makes.
+    then the move is the one that the automaton's start makes.  Symbols from ``symbols`` on are
+    rarer letters: ``rare`` has, sorted, state * all symbols + symbol of each move that there
+    is, ``rare_moves`` where it leads, and ``rare_first[language, symbol - symbols]`` the move
+    otherwise.
     """
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
         found, counts = np.unique(codes("".join(texts.values())), return_counts=True)
         letters = [(n, c) for c, n in zip(found.tolist(), counts.tolist(), strict=True) if chr(c).isalpha()]
-        self.letters = sorted(c for _, c in sorted(letters, key=lambda x: (-x[0], x[1]))[: SYMBOLS - 2])
-        self.symbols = len(self.letters) + 2  # 0 a space, 1 any other letter
-        self.of = np.zeros(0x110000, np.uint8)
+        often = [c for _, c in sorted(letters, key=lambda x: (-x[0], x[1]))]
+        self.letters = sorted(often[: SYMBOLS - 2]) + often[SYMBOLS - 2 :]
+        self.symbols = min(len(self.letters) + 2, SYMBOLS)  # 0 a space, 1 any other letter
+        self.all = len(self.letters) + 2
+        self.of = np.zeros(0x110000, np.min_scalar_type(self.all))
         self.of_other()
-        tables, self.starts, at = [], [], 0
-        for name in self.names:
-            table = self.automaton(self.symbol(texts[name]).tolist())
+        tables, rare, self.starts, at = [], [], [], 0
+        self.rare_first = np.zeros((len(self.names), self.all - self.symbols), np.int32)
+        for k, name in enumerate(self.names):
+            table, state, symbol, to = self.automaton(self.symbol(texts[name]).tolist())
             n = len(table) // self.symbols
             # one more state, n, where no phrase is open: a text starts there, and a symbol that
             # the language doesn't have, a phrase of its own, leads there
@@ -88,9 +99,17 @@ class Parser:
             broken = table < 0
             table[broken] = np.tile(first, n + 1)[broken]
             tables.append(((table + at) * 2 + broken).astype(np.int32))
+            rare.append(((state + at) * self.all + symbol, (to + at) * 2))
+            self.rare_first[k] = (at + n) * 2 + 1
+            self.rare_first[k, symbol[state == 0] - self.symbols] = (to[state == 0] + at) * 2 + 1
             self.starts.append(at + n)
             at += n + 1
         self.moves = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        keys, moves = (np.concatenate(x) if rare else np.zeros(0, np.int64) for x in (zip(*rare, strict=True) if rare else ((), ())))
+        order = np.argsort(keys)
+        # a last key that no state has, so a search always ends at one
+        self.rare = np.append(keys[order], np.iinfo(np.int64).max)
+        self.rare_moves = np.append(moves[order], 0).astype(np.int32)
         self.sizes = np.array([max(2, len(texts[n])) for n in self.names], float)
 
     def of_other(self) -> None:
@@ -108,42 +127,49 @@ class Parser:
         s = s[keep]
         return s[int(len(s) > 0 and s[0] == 0) : len(s) - int(len(s) > 1 and s[-1] == 0)]
 
-    def automaton(self, text: list[int]) -> np.ndarray:
-        """The suffix automaton's moves, -1 where there is none."""
-        width = self.symbols
-        moves = [-1] * width
-        none = [-1] * width
+    def automaton(self, text: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The suffix automaton's moves: the dense table, -1 where there is none, and state,
+        symbol and next state of those by rarer letters."""
+        moves: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in text:
             new = len(link)
             length.append(length[last] + 1)
             link.append(0)
-            moves += none
+            moves.append({})
             p = last
-            while p >= 0 and moves[p * width + c] < 0:
-                moves[p * width + c] = new
+            while p >= 0 and c not in moves[p]:
+                moves[p][c] = new
                 p = link[p]
             if p >= 0:
-                q = moves[p * width + c]
+                q = moves[p][c]
                 if length[q] == length[p] + 1:
                     link[new] = q
                 else:
                     clone = len(link)
                     length.append(length[p] + 1)
                     link.append(link[q])
-                    moves += moves[q * width : (q + 1) * width]
-                    while p >= 0 and moves[p * width + c] == q:
-                        moves[p * width + c] = clone
+                    moves.append(moves[q].copy())
+                    while p >= 0 and moves[p].get(c) == q:
+                        moves[p][c] = clone
                         p = link[p]
                     link[q] = link[new] = clone
             last = new
-        return np.array(moves, np.int64)
+        size = np.fromiter(map(len, moves), np.int64, len(moves))
+        total = int(size.sum())
+        state = np.repeat(np.arange(len(moves)), size)
+        symbol = np.fromiter((c for m in moves for c in m), np.int64, total)
+        to = np.fromiter((q for m in moves for q in m.values()), np.int64, total)
+        table = np.full(len(moves) * self.symbols, -1, np.int64)
+        dense = symbol < self.symbols
+        table[state[dense] * self.symbols + symbol[dense]] = to[dense]
+        return table, state[~dense], symbol[~dense], to[~dense]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """For each text (its symbols) and language the number of phrases."""
         out = np.zeros((len(texts), len(self.names)))
         owner, begin, size = [], [], []
-        flat = np.concatenate([*texts, np.zeros(SEGMENT, np.uint8)]) if texts else np.zeros(SEGMENT, np.uint8)
+        flat = np.concatenate([*texts, np.zeros(SEGMENT, self.of.dtype)]) if texts else np.zeros(SEGMENT, self.of.dtype)
         at = 0
         for k, t in enumerate(texts):
             n = len(t)
@@ -169,7 +195,16 @@ class Parser:
         for t in range(int(size[0])):
             n = int(np.searchsorted(-size, -t, "left")) if size[-1] <= t else len(size)  # those longer than t
             symbol = flat[begin[:n] + t].astype(np.int32)
-            move = self.moves.take(state[:, :n] + symbol)
+            rare = np.flatnonzero(symbol >= self.symbols) if self.all > self.symbols else ()
+            if len(rare):
+                letter = symbol[rare]
+                symbol[rare] = 0
+                move = self.moves.take(state[:, :n] + symbol)
+                key = (state[:, rare] // np.int32(self.symbols)).astype(np.int64) * self.all + letter
+                at = np.searchsorted(self.rare, key)
+                move[:, rare] = np.where(self.rare[at] == key, self.rare_moves[at], self.rare_first[:, letter - self.symbols])
+            else:
+                move = self.moves.take(state[:, :n] + symbol)
             count[:, :n] += move & 1
             np.right_shift(move, 1, out=move)
             np.multiply(move, np.int32(self.symbols), out=move)
@@ -177,7 +212,7 @@ class Parser:
         return count.T
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        symbols = [self.symbol(t) if t else np.zeros(0, np.uint8) for t in texts]
+        symbols = [self.symbol(t) if t else np.zeros(0, self.of.dtype) for t in texts]
         symbols = [s if (s > 0).any() else s[:0] for s in symbols]
         names, scores = [], []
         rates = self.phrases(symbols) * np.log2(self.sizes) if self.names else None

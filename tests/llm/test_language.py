@@ -44,6 +44,24 @@ def test_phrases_are_longest_matches(monkeypatch):
         assert got[k].tolist() == [greedy(shown[n], text, 16) for n in p.names]
 
 
+def test_every_learned_letter_counts(monkeypatch):
+    """Scripts of more letters than the dense table has columns are told apart, and phrases
+    are the longest matches over all letters."""
+    monkeypatch.setattr(L, "SEGMENT", 16)
+    rng = random.Random(5)
+    alphabets = {"big": [chr(0x4E00 + k) for k in range(900)], "kin": [chr(0x4E00 + k) for k in range(600, 1500)], "latin": list("abcdefghijklmnopqrstuvwxyz"), "rare": list("աբգդեզէըթժ")}
+    words = {k: ["".join(rng.choice(a) for _ in range(4)) for _ in range(400)] for k, a in alphabets.items()}
+    write = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    texts = {k: write(k, 100 if k == "rare" else 1500) for k in alphabets}
+    p = L.Parser(texts)
+    tried = [(k, write(k, 20)) for k in alphabets for _ in range(15)]
+    assert [lang for lang, _ in tried] == p.predict([t for _, t in tried])[0]
+    shown = {k: "".join(chr(c + 64) for c in p.symbol(t)) for k, t in texts.items()}
+    got = p.phrases([p.symbol(t) for _, t in tried])
+    for row, (_, t) in zip(got.tolist(), tried, strict=True):
+        assert row == [greedy(shown[n], "".join(chr(c + 64) for c in p.symbol(t)), 16) for n in p.names]
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(3)
