@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from gradeloom.llm.shared import hold, tidy
 
 SAMPLE = 200
-LEARNT = 24_000
+LEARNT = 40_000
 #: Symbols with a column in the dense table: a space, one for all letters that no learned text
 #: has, and the commonest letters.
 SYMBOLS = 64

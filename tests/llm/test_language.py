@@ -62,6 +62,10 @@ def test_every_learned_letter_counts(monkeypatch):
         assert row == [greedy(shown[n], "".join(chr(c + 64) for c in p.symbol(t)), 16) for n in p.names]
 
 
+def test_forty_thousand_characters_are_learned():
+    assert {k: len(v) for k, v in L.learnt([("aa", "ab " * 30_000), ("bb", "c" * 100)]).items()} == {"aa": 40_000, "bb": 100}
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(3)
