@@ -20,11 +20,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found go; a missing lang becomes the predicted one."""
+    """Documents without a letter go; lang becomes the predicted one.  If nothing could be learned
+    it stays, or is ``und`` if it is missing."""
     docs = docs.select(*COLUMNS)
     labelled = docs.where(~held_out(F.col("doc_id"))).select("text", "lang")
-    found = identify(docs, labelled).where(F.col("lang_pred") != UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    known = F.col("lang_pred") != UNKNOWN
+    found = identify(docs, labelled).where(known | F.rlike("text", F.lit(r"\p{L}")))
+    return found.withColumn("lang", F.when(known, F.col("lang_pred")).otherwise(F.coalesce("lang", F.lit(UNKNOWN)))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
