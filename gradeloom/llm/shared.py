@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,11 +23,13 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors can reach.
 
-    The cluster names the parent in ``spark.checkpoint.dir``; only where that is unset (a
-    single machine, as in tests) a local folder takes its place.
+    The cluster names the parent in ``spark.checkpoint.dir``; where that is unset a local folder
+    takes its place on a single machine, as in tests, and a cluster is refused.
     """
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
         spark.sparkContext.setCheckpointDir(top)
     path = f"{top.rstrip('/')}/gradeloom-{uuid.uuid4().hex}"
@@ -106,7 +109,8 @@ def read_range(files, path: str, start: int, length: int) -> bytes:
 
 def n_words(text: Column) -> Column:
     """Number of words of a text; null has none."""
-    trimmed = F.regexp_replace(text, rf"^{WORD_GAP}|{WORD_GAP}$", "")
+    # \z, as $ also matches before a last line terminator, and Java knows some that are no gap here
+    trimmed = F.regexp_replace(text, rf"^{WORD_GAP}|{WORD_GAP}\z", "")
     return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.lit(0)).otherwise(
         F.size(F.split(trimmed, WORD_GAP))
     ).cast("long")
