@@ -1,18 +1,21 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Each source's documents are laid out, in a seeded order, over shards and each shard is cut
-into blocks of equal tokens.  Blocks are allocated to sources by highest quotients
-target / (seats + 1/2), and a source's blocks to its shards in the same way, so each shard
-has an integer quota.  A shard takes all its blocks quota // blocks times and a seeded
-choice of them once more.  A document is taken as often as the blocks that cover it.
+into blocks of equal tokens: ``block`` words, or in a small source a ``PARTS``-th of it, so
+that every source's words can come near its target.  Blocks are allocated to sources by
+highest quotients target / (words of the source's seats + half a block), and a source's
+blocks to its shards in the same way, so each shard has an integer quota.  A shard takes all
+its blocks quota // blocks times and a seeded choice of them once more.  A document is taken
+as often as the blocks that cover it.
 
-The driver holds a number a source and a number a shard; shards grow with the input so that
-there are ``MOST_SHARDS`` of them at most.  Only numbers are shuffled unless the caller's
-frame carries texts.
+The driver holds a few numbers a source; a source's shards, ``MOST_SHARDS`` at most of all
+sources and one each at least, get their quotas in a task.  Only numbers are shuffled unless
+the caller's frame carries texts.
 
 Cases: a null text has size 0 and is never taken.  A null source is a source, ordered last.
 No rows, or no words at all: targets and taken are 0.  Rows that repeat count each time.
-Rows with a size of 0 stay in the result with 0 taken.
+Rows with a size of 0 stay in the result with 0 taken.  What a source's words can miss its
+target by is about a block of its own.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from gradeloom.llm.shared import n_words, trim, written
 SHARD_WORDS = 250_000
 SHARD_ROWS = 500_000
 MOST_SHARDS = 1_000_000
+#: Blocks of a source at least, as long as they have a word each.
+PARTS = 64
 #: A source with more rows than this many is not joined by broadcast.
 BROADCAST_SOURCES = 20_000
 SEED = 20_240_229
@@ -91,6 +96,40 @@ def apportion(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return out
 
 
+def allocate(target: np.ndarray, length: np.ndarray, words: int, most: np.ndarray) -> np.ndarray:
+    """Sainte-Laguë where a seat of source k carries ``length[k]`` words: seats by the highest
+    quotients target / (length * (own seats + 1/2)), ties to the first, until no source's seat
+    fits into ``words``; none has more than ``most``."""
+    target, length, most = np.asarray(target, float), np.asarray(length, float), np.asarray(most, np.int64)
+    weights = np.where(most > 0, target / length, 0)
+    if words <= 0 or not (weights > 0).any():
+        return np.zeros(len(weights), np.int64)
+
+    def given(divisor: float) -> np.ndarray:
+        return np.where(weights > 0, np.minimum(np.floor(np.minimum(weights / divisor + 0.5, 9e15)).astype(np.int64), most), 0)
+
+    low, high = 1e-12, 2 * weights.max() + 1
+    for _ in range(200):
+        middle = (low + high) / 2 if low > high / 4 else math.sqrt(low * high)
+        if (given(middle) * length).sum() > words:
+            low = middle
+        else:
+            high = middle
+        if high - low <= 1e-15 * high:
+            break
+    out = given(high)
+    left = words - (out * length).sum()
+    # what the next quotients would be dealt: a seat each at most, as equal quotients are all that is left
+    quotient = np.where((out < most) & (weights > 0), weights / (out + 0.5), -1)
+    for k in np.lexsort((np.arange(len(out)), -quotient)).tolist():
+        if left <= 0 or quotient[k] <= 0:
+            break
+        if length[k] <= left:
+            out[k] += 1
+            left -= length[k]
+    return out
+
+
 def taken(sizes: np.ndarray, quota: int, blocks: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of documents laid end to end: words taken of each; the blocks' bounds and how often
     each block is taken."""
@@ -133,29 +172,30 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: int = 3, bl
     target = targets(sizes, weights, most)
     words = max(SHARD_WORDS, math.ceil(total / MOST_SHARDS))
     shards = np.maximum(1, np.maximum(-(-sizes // words), -(-rows // SHARD_ROWS)))
+    blocks = np.maximum(1, np.rint(sizes / np.clip(sizes // PARTS, 1, block))).astype(np.int64)
+    length = np.maximum(sizes, 1) / blocks
+    seats = allocate(target, length, total, np.where(sizes > 0, most * blocks, 0))
     names = spark.createDataFrame(
-        [(r["source"], k, int(shards[k]), int(sizes[k]), float(target[k])) for k, r in enumerate(per)],
-        "_name string, _source int, _shards long, source_size long, target double",
+        [(r["source"], k, int(shards[k]), int(sizes[k]), float(target[k]), float(length[k]), int(seats[k])) for k, r in enumerate(per)],
+        "_name string, _source int, _shards long, source_size long, target double, _length double, _seats long",
     )
     if len(per) <= BROADCAST_SOURCES:
         names = F.broadcast(names)
     placed = kept.join(names, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    placed = placed.withColumn("_shard", F.pmod("_key", "_shards"))
-
-    cells = placed.groupBy("_source", "_shard").agg(F.sum("size").alias("size")).toPandas().sort_values(["_source", "_shard"], ignore_index=True)
-    length = min(block, total) or 1
-    blocks = np.where(cells["size"] > 0, np.maximum(1, np.rint(cells["size"] / length)), 0).astype(np.int64)
-    of = cells["_source"].to_numpy()
-    own = np.bincount(of, blocks, len(per)).astype(np.int64)
-    seats = apportion(target, round(total / length), most * own)
-    quota = np.zeros(len(cells), np.int64)
-    order = np.split(np.arange(len(cells)), np.flatnonzero(np.diff(of)) + 1) if len(cells) else []
-    for k in order:
-        quota[k] = apportion(cells["size"].to_numpy()[k], int(seats[of[k[0]]]), most * blocks[k])
-    plan = pd.DataFrame({"_source": of.astype(np.int32), "_shard": cells["_shard"].astype(np.int64), "_quota": quota, "_blocks": blocks})
-    plan = spark.createDataFrame(plan, "_source int, _shard long, _quota long, _blocks long")
-
-    schema = T.StructType([f for f in placed.schema if f.name not in ("_source", "_shard", "_shards", "_key")])
+    # what has no words is never taken, wherever it lies
+    placed = placed.withColumn("_shard", F.pmod(F.when(F.col("size") > 0, F.col("_key")).otherwise(F.xxhash64(F.monotonically_increasing_id())), "_shards"))
+
+    def quotas(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_shard", ignore_index=True)
+        size, each = own["size"].to_numpy(np.int64), own["_length"].iloc[0]
+        blocks = np.where(size > 0, np.maximum(1, np.rint(size / each)), 0).astype(np.int64)
+        quota = apportion(size, int(own["_seats"].iloc[0]), most * blocks)
+        return pd.DataFrame({"_source": own["_source"], "_shard": own["_shard"], "_quota": quota, "_blocks": blocks})
+
+    cells = placed.groupBy("_source", "_shard").agg(F.sum("size").alias("size"), F.first("_length").alias("_length"), F.first("_seats").alias("_seats"))
+    plan = cells.groupBy("_source").applyInPandas(quotas, "_source int, _shard long, _quota long, _blocks long")
+
+    schema = T.StructType([f for f in placed.schema if f.name not in ("_source", "_shard", "_shards", "_key", "_length", "_seats")])
     schema.add("taken", T.LongType())
     if spans:
         schema.add("spans", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end", "times")])))

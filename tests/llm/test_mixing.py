@@ -76,3 +76,45 @@ def test_texts_of_the_mix(spark, docs, rows, no_docs):
     assert +want == +taken
     assert M.mixed_texts(no_docs).count() == 0
     assert M.mix(no_docs).count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(1, 1000), st.integers(1, 9), st.integers(0, 30)), min_size=1, max_size=8), st.integers(0, 300))
+def test_allocate_deals_the_highest_quotient(sources, words):
+    """Every block's quotient that was dealt is at least any that wasn't but for what doesn't fit."""
+    target, length, most = (np.array(x) for x in zip(*sources, strict=True))
+    got = M.allocate(target, length, words, most)
+    assert (got <= most).all() and (got * length).sum() <= words
+    quotient = target / length / (got + 0.5)
+    left = words - int((got * length).sum())
+    for k in np.flatnonzero(got < most):
+        # a block more of k: it doesn't fit, or a worse one was dealt in the last round of ties
+        dealt = (target / length / (got - 0.5))[got > 0]
+        assert length[k] > left or not len(dealt) or quotient[k] <= dealt.min() + 1e-9
+
+
+@pytest.mark.parametrize("sizes", [[10] * 60, [3000] + [5] * 199, list(range(1, 51)) * 4])
+def test_many_small_sources(spark, sizes):
+    """Each source's words come within a block of its own of the target."""
+    rows = [(k * 10 + j, f"s{k:04d}", " ".join(["w"] * (n // 2 if j else n - n // 2))) for k, n in enumerate(sizes) for j in range(2)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["source"]].append(r)
+    for own in by.values():
+        size = sum(r["size"] for r in own)
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= min(32, max(1, size // 64)) + 1
+        assert all(r["taken"] <= 3 * r["size"] for r in own)
+
+
+def test_words_are_the_contracts(spark):
+    """Only the six ASCII characters are gaps, wherever they stand."""
+    import re
+
+    from gradeloom.llm.shared import n_words
+
+    texts = ["a \x85", "a ", " a  b \n", "\r\n", "x \r\n", "\x1c \x1f", "\xa0", "", "  a\x0bb\x0c ", "a\n\x85\n"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    from pyspark.sql import functions as F
+
+    got = {r["k"]: r["n"] for r in df.select("k", n_words(F.col("text")).alias("n")).collect()}
+    assert got == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for k, t in enumerate(texts)}
