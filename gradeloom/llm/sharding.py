@@ -1,13 +1,15 @@
 """Sharding by a hierarchical weighted hash tree.
 
-Leaves are shards, in racks of ``RACK`` and regions of ``REGION`` racks.  A leaf of weight w
-draws -ln(u) / w from a hash of the key and its name; a rack's draw is its leaves' least and a
-region's its racks' least, so a subtree of weight W draws as one leaf of weight W would.  A
-row goes down from the tree's root to the region, rack and shard with the least draw.  When
-weights or leaves of a subtree change, only draws in it change: rows move into it or out of
-it, never between others; a new leaf takes rows only into itself.
+The tree has regions, racks in them and shards in these.  At each level a row draws
+-ln(u) / W for every child from a hash of its key and the child's name, W being the child's
+weight, and goes down to the child with the least draw: first a region, then a rack of it,
+then a shard of that.  A child is chosen with a chance in proportion to its weight, and a
+change of weights moves rows only into or out of the subtrees whose weights change.  A grown
+tree's new shards open regions of their own, so they take rows only into themselves and no
+row moves between old ones.
 
-Everything is column expressions; 40 leaves cost 40 hashes a row.
+Everything is column expressions; a row costs a hash for each region, and for each rack and
+shard of the largest region and rack.
 
 Cases: a null key is a key of its own.  Rows with equal keys share a shard (law ``key``).
 Slots number a shard's rows from 0 by key hash, then doc_id, size and checksum.
@@ -18,73 +20,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.llm.shared import written
+
+#: Shards of a rack, and racks of a region.
 RACK = 4
 REGION = 2
-#: Rows of one task's part of a shard, about.
+#: Rows of one task's part of a shard, about, and the parts that equal rows go to.
 PART_ROWS = 20_000
+SALTS = 1024
 
+Tree = list[list[list[float]]]
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    # 53 bits of the hash, never 0
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(shard), key), 11).cast("double") + 0.5) / float(2**53)
-    return -F.log(u) / F.lit(float(weight))
 
+def tree(weights: list[float]) -> Tree:
+    """Regions of racks of shards' weights."""
+    racks = [weights[k : k + RACK] for k in range(0, len(weights), RACK)]
+    return [racks[k : k + REGION] for k in range(0, len(racks), REGION)]
 
-def _least(draws: list[Column]) -> Column:
-    return draws[0] if len(draws) == 1 else F.least(*draws)
 
+def _draw(key: Column, name: list[Column], weight: Column) -> Column:
+    # 53 bits of the hash, never 0; what has no weight draws nothing
+    u = (F.shiftrightunsigned(F.xxhash64(*name, key), 11).cast("double") + 0.5) / float(2**53)
+    return F.when(weight > 0, -F.log(u) / weight)
 
-def tree(weights: list[float]) -> list[list[list[int]]]:
-    """Regions of racks of shard numbers."""
-    racks = [list(range(k, min(k + RACK, len(weights)))) for k in range(0, len(weights), RACK)]
-    return [racks[k : k + REGION] for k in range(0, len(racks), REGION)]
+
+def _least(draws: list[Column]) -> Column:
+    """The place of the least draw, from 0."""
+    all_ = F.array(*draws)
+    return (F.array_position(all_, F.array_min(all_)) - 1).cast("int")
 
 
-def _descend(least: Column, children: list[tuple[Column, Column]]) -> Column:
-    """What stands for the child whose draw is the least."""
-    out = children[-1][1]
-    for draw, then in reversed(children[:-1]):
-        out = F.when(draw == least, then).otherwise(out)
-    return out
+def _table(rows: list) -> Column:
+    return F.array(*[_table(r) if isinstance(r, list) else F.lit(float(r)) for r in rows])
 
 
 def place(docs: DataFrame, key: str, weights: list[float], name: str = "shard", more: list[float] | None = None) -> DataFrame:
-    """``docs`` with column ``name``, its shard; with ``more``, weights of a grown tree, also
-    ``grown_`` + name.  Each leaf's draw is computed once."""
-    longest = max([weights, more or []], key=len)
-    docs = docs.withColumn("_draws", F.array(*[_draw(F.col(key), k, w) for k, w in enumerate(longest)]))
-    own = {name: weights} | ({f"grown_{name}": more} if more else {})
-    if more and more[: len(weights)] != weights[: len(more)]:
-        raise ValueError("a grown tree keeps its old leaves' weights")
-    for out, w in own.items():
-        regions = tree(w)
-        leaf = [F.col("_draws")[k] for k in range(len(w))]
-        racks = [[_least([leaf[k] for k in rack]) for rack in region] for region in regions]
-        docs = docs.withColumn("_region", F.struct(*[_least(r).alias(f"r{i}") for i, r in enumerate(racks)]))
-        top = [F.col("_region")[f"r{i}"] for i in range(len(regions))]
-        docs = docs.withColumn("_least", _least(top))
-        down = []
-        for draw, region, rack_draws in zip(top, regions, racks, strict=True):
-            inner = [(d, _descend(F.col("_least"), [(leaf[k], F.lit(k)) for k in rack])) for rack, d in zip(region, rack_draws, strict=True)]
-            down.append((draw, _descend(F.col("_least"), inner)))
-        docs = docs.withColumn(out, _descend(F.col("_least"), down)).drop("_region", "_least")
-    return docs.drop("_draws")
+    """``docs`` with column ``name``, its shard; with ``more``, the weights of a grown tree (the
+    old ones first), also ``grown_`` + name."""
+    if more and more[: len(weights)] != weights:
+        raise ValueError("a grown tree keeps its old shards' weights")
+    k, regions = F.col(key), tree(weights)
+    trees = {name: regions} | ({f"grown_{name}": [*regions, *tree(more[len(weights) :])]} if more else {})
+    for out, own in trees.items():
+        widest, longest = max(len(r) for r in own), max(len(x) for r in own for x in r)
+        weights = [[[*x, *[0.0] * (longest - len(x))] for x in r] + [[0.0] * longest] * (widest - len(r)) for r in own]
+        of_racks = _table([[sum(x) for x in r] for r in weights])
+        of_shards = _table(weights)
+        docs = docs.withColumn("_region", _least([_draw(k, [F.lit("region"), F.lit(i)], F.lit(float(sum(map(sum, r))))) for i, r in enumerate(own)]))
+        docs = docs.withColumn("_rack", _least([_draw(k, [F.lit("rack"), F.col("_region"), F.lit(j)], of_racks[F.col("_region")][j]) for j in range(widest)]))
+        leaf = of_shards[F.col("_region")][F.col("_rack")]
+        docs = docs.withColumn("_leaf", _least([_draw(k, [F.lit("shard"), F.col("_region"), F.col("_rack"), F.lit(i)], leaf[i]) for i in range(longest)]))
+        numbers, at = [], 0
+        for r in own:
+            numbers.append([])
+            for x in r:
+                numbers[-1].append(at)
+                at += len(x)
+            numbers[-1] += [0] * (widest - len(r))
+        docs = docs.withColumn(out, (_table(numbers)[F.col("_region")][F.col("_rack")] + F.col("_leaf")).cast("int")).drop("_region", "_rack", "_leaf")
+    return docs
 
 
 def slots(rows: DataFrame, shard: str, order: list[str]) -> DataFrame:
     """``rows`` with slot, from 0 without gaps in each shard.  A shard is numbered in parts of
-    about ``PART_ROWS`` rows by a hash, each offset by the parts before it, so no task
-    needs a whole shard.  Parts go by the first column of ``order`` alone."""
+    about ``PART_ROWS`` rows by a hash of ``order`` and of where a row lies, each offset by the
+    parts before it: no task needs a whole shard, nor all rows that are equal."""
+    rows = written(rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
     per = rows.groupBy(shard).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     parts = max(1, -(-per // PART_ROWS))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(order[0], F.lit(7)), F.lit(parts)))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*order, "_salt"), F.lit(parts)))
     within = Window.partitionBy(shard, "_part").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     counts = rows.groupBy(shard, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col(shard).alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     numbered = rows.withColumn("_slot", F.row_number().over(within).cast("long") - 1)
     joined = numbered.join(counts, (F.col(shard) == F.col("_s")) & (F.col("_part") == F.col("_p")))
-    return joined.withColumn("slot", F.col("_slot") + F.col("_before")).drop("_s", "_p", "_part", "_before", "_slot")
+    return joined.withColumn("slot", F.col("_slot") + F.col("_before")).drop("_s", "_p", "_part", "_before", "_slot", "_salt")
 
 
 def shard(docs: DataFrame, weights: list[float], grown: list[float] | None = None) -> DataFrame:
