@@ -94,3 +94,42 @@ def test_the_stopping_test_stops():
 
 def test_chi_square():
     assert N.chi2_cdf(np.array([0.0, 15.507, 1e6])).tolist() == pytest.approx([0, 0.95, 1], abs=1e-4)
+
+
+def test_vectors_without_structure():
+    """Where all are about as far from each other, under half of the pairs are verified, and
+    nine in ten of the nearest are found."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((10_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    b = N.Block(np.arange(len(x)), x, 1.0)
+    best, _, verified = b.search(np.arange(200), x[:200], 20)
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    assert verified < 0.5 * 200 * len(x)
+    assert np.mean([len(set(a) & set(w)) for a, w in zip(best, want, strict=True)]) >= 18
+
+
+def test_copies_score_alike():
+    """Equal vectors have equal scores wherever they lie, so ties go by id."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 384))
+    x[rng.permutation(3000)[:600]] = x[0]
+    b = N.Block(np.arange(3000), x, float(np.sqrt((x * x).sum(axis=1)).max()))
+    (best,), (score,), _ = b.search(np.array([-1]), x[:1], 400)
+    assert len(set(score.tolist())) == 1 and best.tolist() == sorted(best.tolist())
+    assert best.tolist() == np.flatnonzero((x == x[0]).all(axis=1))[:400].tolist()
+
+
+def test_blocks_are_kept_and_read_back():
+    rng = np.random.default_rng(6)
+    b = N.Block(np.arange(500), rng.standard_normal((500, 8)), 9.0)
+    c = N.Block.loaded(b.saved())
+    assert all(np.array_equal(getattr(b, k), getattr(c, k)) for k in b.FIELDS)
+
+
+def test_huge_components(spark):
+    df = spark.createDataFrame([(0, [1e200, 1.0]), (1, [1.0, 2.0]), (20, [2.0, 1.0]), (3, [1e38, 1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in N.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 3, 2e38), (20, 2, 1, 4.0)]
