@@ -6,16 +6,19 @@ language in whose automaton the fewest phrases do, as phrases x log2(automaton's
 length) / characters, wins.  All texts of a batch move through all automata in step, one
 table lookup a character.
 
-Texts are lower-cased; what isn't a letter is one space.  Long texts are parsed in segments
-of ``SEGMENT`` characters, all of them; a phrase ends with its segment.
+Texts are lower-cased; what isn't a letter is one space.  Whole texts are parsed.  Long ones
+move as segments of ``SEGMENT`` characters, each as if a phrase began with it; then each is
+parsed again from where the one before it really ended, until both parses are in one state,
+from where on they are the same.
 
 Every learned letter is a symbol of its own.  The moves by the commonest are in a dense
 table, those by all others in a sorted one, so a script of thousands of letters is as exact
 as one of thirty.
 
-Learning: ``SAMPLE`` labelled rows a language, those with the least hash of their text, and
-``LEARNT`` characters of them, spread evenly over the rows.  This bound is what a worker's
-tables need: states x dense symbols x 4 bytes a language.
+Learning: a bounded sample of ``SAMPLE`` labelled texts a language, those with the least hash,
+and of these passages from their middle, as long as ``LEARNT`` characters a language allow.
+Only the passages leave the executors.  The bounds are what a worker's tables need: states x
+dense symbols x 4 bytes a language.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0.  Without any labelled
 row every text is ``und``.  Ties go to the first language by code point.  Letters that no
@@ -52,14 +55,17 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE) -> list[tuple[str, str]]:
-    """(language, text) of at most so many labelled rows a language, spread by text hash."""
+def sample(docs: DataFrame, rows: int = SAMPLE, length: int = LEARNT) -> list[tuple[str, str]]:
+    """(language, passage) of at most so many labelled texts a language, spread by text hash;
+    a passage is a text's middle, ``length`` characters at most."""
     hashed = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("_h", "text")
-    # copies of one text teach nothing new
-    top = hashed.select("lang", "text", "_h", F.dense_rank().over(first).alias("_n")).where(F.col("_n") <= rows)
-    found = top.groupBy("lang", "_h").agg(F.first("text").alias("text")).collect()
-    return [(r["lang"], r["text"]) for r in sorted(found, key=lambda r: (r["lang"], r["_h"]))]
+    # copies of one text teach nothing new: they are one row before anything is dealt
+    least = Window.partitionBy("lang").orderBy("_h")
+    first = hashed.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= rows)
+    start = F.greatest(F.lit(0), F.floor((F.length("text") - length) / 2)).cast("int") + 1
+    passages = hashed.join(F.broadcast(first.select("lang", "_h")), ["lang", "_h"]).select("lang", "_h", F.substring("text", start, F.lit(length)).alias("passage"))
+    found = passages.groupBy("lang", "_h").agg(F.min("passage").alias("passage")).collect()
+    return [(r["lang"], r["passage"]) for r in sorted(found, key=lambda r: (r["lang"], r["_h"]))]
 
 
 def codes(text: str) -> np.ndarray:
@@ -113,9 +119,8 @@ class Parser:
         self.sizes = np.array([max(2, len(texts[n])) for n in self.names], float)
 
     def of_other(self) -> None:
-        for plane in (0, 0x10000, 0x20000):  # letters beyond these planes are no script's
-            block = range(plane, plane + 0x10000)
-            self.of[plane : plane + 0x10000] = [chr(c).isalpha() for c in block]
+        for plane in range(0, 0x110000, 0x10000):
+            self.of[plane : plane + 0x10000] = [chr(c).isalpha() for c in range(plane, plane + 0x10000)]
         for k, c in enumerate(self.letters):
             self.of[c] = k + 2
 
@@ -168,48 +173,79 @@ class Parser:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """For each text (its symbols) and language the number of phrases."""
         out = np.zeros((len(texts), len(self.names)))
-        owner, begin, size = [], [], []
-        flat = np.concatenate([*texts, np.zeros(SEGMENT, self.of.dtype)]) if texts else np.zeros(SEGMENT, self.of.dtype)
-        at = 0
-        for k, t in enumerate(texts):
-            n = len(t)
-            starts = np.arange(0, n, SEGMENT)
-            owner.append(np.full(len(starts), k))
-            begin.append(starts + at)
-            size.append(np.minimum(SEGMENT, n - starts))
-            at += n
-        if not at:
+        length = np.array([len(t) for t in texts], np.int64)
+        pieces = -(-length // SEGMENT)
+        if not pieces.sum():
             return out
-        owner, begin, size = map(np.concatenate, (owner, begin, size))
+        flat = np.concatenate([*texts, np.zeros(SEGMENT, self.of.dtype)])
+        owner = np.repeat(np.arange(len(texts)), pieces)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(np.cumsum(length) - length, pieces) + place * SEGMENT
+        size = np.minimum(SEGMENT, length[owner] - place * SEGMENT)
+        count, end = np.zeros((len(self.names), len(owner)), np.int64), np.zeros((len(self.names), len(owner)), np.int32)
         order = np.argsort(-size, kind="stable")
         for o in range(0, len(order), STEP):
             k = order[o : o + STEP]
-            out_k = self._segments(flat, begin[k], size[k])
-            np.add.at(out, owner[k], out_k)
+            count[:, k], end[:, k] = self._segments(flat, begin[k], size[k])
+        by_place = np.argsort(place, kind="stable")
+        bound = np.cumsum(np.bincount(place))
+        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+            for o in range(a, b, STEP):
+                self._joined(flat, by_place[o : min(b, o + STEP)], begin, size, count, end)
+        for k in range(len(self.names)):
+            out[:, k] = np.bincount(owner, count[k], len(texts))
         return out
 
-    def _segments(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _next(self, language, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Moves of states (times the dense symbols) by symbols; all are arrays of one length."""
+        rare = np.flatnonzero(symbol >= self.symbols)
+        move = self.moves.take(state + np.where(symbol < self.symbols, symbol, 0).astype(np.int32))
+        if len(rare):
+            key = (state[rare] // np.int32(self.symbols)).astype(np.int64) * self.all + symbol[rare]
+            at = np.searchsorted(self.rare, key)
+            move[rare] = np.where(self.rare[at] == key, self.rare_moves[at], self.rare_first[language[rare], symbol[rare] - self.symbols])
+        return move
+
+    def _joined(self, flat, segments, begin, size, count, end) -> None:
+        """Goes on, in these segments, from where the ones before them really ended, until that
+        makes no difference; counts and ends are put right."""
+        language = np.repeat(np.arange(len(self.names)), len(segments))
+        own = np.tile(segments, len(self.names))
+        true = end[language, own - 1]
+        fresh = (np.array(self.starts, np.int32) * np.int32(self.symbols))[language]
+        for t in range(SEGMENT):
+            over = size[own] <= t
+            if over.any():
+                end[language[over], own[over]] = true[over]
+            apart = ~over & (true != fresh)
+            language, own, true, fresh = language[apart], own[apart], true[apart], fresh[apart]
+            if not len(own):
+                return
+            symbol = flat[begin[own] + t].astype(np.int64)
+            a, b = self._next(language, true, symbol), self._next(language, fresh, symbol)
+            np.add.at(count, (language, own), (a & 1) - (b & 1))
+            true, fresh = (a >> 1) * np.int32(self.symbols), (b >> 1) * np.int32(self.symbols)
+        end[language, own] = true
+
+    def _segments(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each language in segments, of falling size, that begin a phrase, and the
+        states in which they end."""
         languages = len(self.names)
         state = np.tile(np.array(self.starts, np.int32), (len(begin), 1)).T.copy() * np.int32(self.symbols)
         count = np.zeros((languages, len(begin)), np.int32)
         for t in range(int(size[0])):
             n = int(np.searchsorted(-size, -t, "left")) if size[-1] <= t else len(size)  # those longer than t
             symbol = flat[begin[:n] + t].astype(np.int32)
-            rare = np.flatnonzero(symbol >= self.symbols) if self.all > self.symbols else ()
-            if len(rare):
-                letter = symbol[rare]
-                symbol[rare] = 0
-                move = self.moves.take(state[:, :n] + symbol)
-                key = (state[:, rare] // np.int32(self.symbols)).astype(np.int64) * self.all + letter
-                at = np.searchsorted(self.rare, key)
-                move[:, rare] = np.where(self.rare[at] == key, self.rare_moves[at], self.rare_first[:, letter - self.symbols])
+            if self.all > self.symbols and (symbol >= self.symbols).any():
+                every = np.tile(symbol.astype(np.int64), languages)
+                move = self._next(np.repeat(np.arange(languages), n), state[:, :n].ravel(), every).reshape(languages, n)
             else:
                 move = self.moves.take(state[:, :n] + symbol)
             count[:, :n] += move & 1
             np.right_shift(move, 1, out=move)
             np.multiply(move, np.int32(self.symbols), out=move)
             state[:, :n] = move
-        return count.T
+        return count, state
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         symbols = [self.symbol(t) if t else np.zeros(0, self.of.dtype) for t in texts]

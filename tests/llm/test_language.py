@@ -17,17 +17,15 @@ def speak(rng, lang, n):
     return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
 
 
-def greedy(reference: str, text: str, segment: int) -> int:
+def greedy(reference: str, text: str) -> int:
     """Phrases of the longest matches, found by searching the reference."""
-    count = 0
-    for at in range(0, len(text), segment):
-        part, i = text[at : at + segment], 0
-        while i < len(part):
-            j = i + 1
-            while j < len(part) and part[i : j + 1] in reference:
-                j += 1
-            count += 1
-            i = j
+    count = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in reference:
+            j += 1
+        count += 1
+        i = j
     return count
 
 
@@ -41,7 +39,7 @@ def test_phrases_are_longest_matches(monkeypatch):
     got = p.phrases(tried)
     for k, s in enumerate(tried):
         text = "".join(chr(c + 64) for c in s)
-        assert got[k].tolist() == [greedy(shown[n], text, 16) for n in p.names]
+        assert got[k].tolist() == [greedy(shown[n], text) for n in p.names]
 
 
 def test_every_learned_letter_counts(monkeypatch):
@@ -59,7 +57,27 @@ def test_every_learned_letter_counts(monkeypatch):
     shown = {k: "".join(chr(c + 64) for c in p.symbol(t)) for k, t in texts.items()}
     got = p.phrases([p.symbol(t) for _, t in tried])
     for row, (_, t) in zip(got.tolist(), tried, strict=True):
-        assert row == [greedy(shown[n], "".join(chr(c + 64) for c in p.symbol(t)), 16) for n in p.names]
+        assert row == [greedy(shown[n], "".join(chr(c + 64) for c in p.symbol(t))) for n in p.names]
+
+
+def test_letters_of_every_plane():
+    p = L.Parser({"a": "ab cd", "b": "xy z"})
+    names, _ = p.predict(["\U00030000\U00030001", "\U0001f600", "\u2028 12"])
+    assert names[0] != "und" and names[1:] == ["und", "und"]
+
+
+def test_one_language_and_ties():
+    assert L.Parser({"a": "ab cd"}).predict(["zz", "ab"])[0] == ["a", "a"]
+    names, scores = L.Parser({"b": "ab cd", "a": "ab cd"}).predict(["ab cd", "zz"])
+    assert names == ["a", "a"] and scores == [0.5, 0.5]
+
+
+def test_common_texts_are_learned_once(spark):
+    """Copies of a labelled text are one, and no more than a passage of it is collected."""
+    rows = [("same words again", "aa")] * 3000 + [(f"text {k}", "aa") for k in range(5)] + [("ab " * 50_000, "bb")]
+    found = L.sample(spark.createDataFrame(rows, "text string, lang string").repartition(4), 4, 100)
+    assert [lang for lang, _ in found] == ["aa"] * 4 + ["bb"] and max(len(t) for _, t in found) == 100
+    assert len(set(found)) == 5
 
 
 def test_forty_thousand_characters_are_learned():
