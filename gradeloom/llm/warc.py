@@ -18,6 +18,7 @@ import base64
 import bisect
 import hashlib
 import json
+import pickle
 import re
 import zlib
 from urllib.parse import quote, urlsplit
@@ -27,10 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import NewFile, batch, file_system, read_range, shared_dir, write_file, written
+from gradeloom.llm.shared import NewFile, batch, exists, file_system, read_range, shared_dir, write_file, written
 
 REVISIT = 1000
-LINES = 3000
+#: Captures of an index block, as long as there are no more than so many blocks.
+LINES, MOST_BLOCKS = 3000, 100_000
 #: Captures of an index shard, about.
 SHARD_ROWS = 30_000
 DATE = "2024-01-01T00:00:00Z"
@@ -109,23 +111,20 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
         pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
         .withColumns({"size": F.octet_length("payload"), "digest": F.sha1("payload")})
     )
-    large = rows.where(F.col("size") >= REVISIT)
-    # a null page_id is less than any other: structs compare null first
-    groups = large.groupBy("digest", "size").agg(F.max(F.struct("page_id", F.negative("row").alias("last"), "url")).alias("kept"), F.count(F.lit(1)).alias("n"))
-    groups = groups.where(F.col("n") > 1).select(F.col("digest").alias("_digest"), F.col("size").alias("_size"), "kept")
-    joined = rows.join(groups, (F.col("digest") == F.col("_digest")) & (F.col("size") == F.col("_size")), "left")
-    revisits = F.col("kept").isNotNull() & (F.col("kept.last") != F.negative("row"))
-    joined = joined.select("page_id", "row", "url", F.when(~revisits, F.col("payload")).alias("payload"), "digest", "size", F.when(revisits, F.struct(F.col("kept.page_id").alias("page_id"), F.negative("kept.last").alias("row"), "kept.url")).alias("refers"))
+    write_references(rows, path)
 
     def run(batches):
         file = f"{path}/archive-{TaskContext.get().partitionId():06d}.warc.gz"
-        out, at = None, 0
+        out, at, known = None, 0, (-1, {})
         for b in batches:
             columns: list[list] = [[] for _ in CAPTURE]
-            for page_id, row, url, data, digest, size, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "row", "url", "payload", "digest", "size", "refers")), strict=True):
+            for page_id, row, url, data, digest, size in zip(*(b.column(c).to_pylist() for c in ("page_id", "row", "url", "payload", "digest", "size")), strict=True):
                 if out is None:
                     out = NewFile(file)
-                member = gz(record(page_id, row, url, digest, size, data, refers))
+                if known[0] != row >> PART_BITS:
+                    known = row >> PART_BITS, references(path, row >> PART_BITS)
+                refers = known[1].get(row)
+                member = gz(record(page_id, row, url, digest, size, None if refers else data, refers))
                 out.write(member)
                 for column, x in zip(columns, (url_key(url), page_id, row, file, at, len(member)), strict=True):
                     column.append(x)
@@ -134,12 +133,65 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return written(joined.mapInArrow(run, CAPTURES))
+    return written(rows.mapInArrow(run, CAPTURES))
+
+
+#: The lower bits of a row's number count the rows of the input's part; the others name the part.
+PART_BITS = 33
+#: A payload that more than one in so many rows has is common.
+COMMON = 1000
+
+
+def write_references(rows: DataFrame, path: str) -> None:
+    """For each part of the input a file that says which of its rows revisit what.  Digests and
+    numbers travel, payloads don't.  Common payloads, ``COMMON`` at most, are known everywhere
+    instead of being dealt out."""
+    large = rows.where(F.col("size") >= REVISIT).select("page_id", "url", "row", "digest", "size")
+    # a null page_id is less than any other: structs compare null first
+    groups = large.groupBy("digest", "size").agg(F.max(F.struct("page_id", F.negative("row").alias("last"), "url")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups.where(F.col("n") > 1))
+    most = max(COMMON, (groups.agg(F.sum("n")).first()[0] or 0) // COMMON)
+    common = F.broadcast(groups.where(F.col("n") > most).drop("n"))
+    key = ["digest", "size"]
+    rare = large.join(common.select(*key), key, "left_anti").join(groups.where(F.col("n") <= most).drop("n"), key)
+    found = large.join(common, key).unionByName(rare).where(F.negative("row") != F.col("kept.last"))
+    found = found.select(F.shiftright("row", PART_BITS).alias("part"), "row", F.col("kept.page_id").alias("page_id"), F.negative("kept.last").alias("kept"), F.col("kept.url").alias("url"))
+    schema = pa.schema([("part", pa.int64())])
+
+    def run(batches):
+        at, own = None, {}
+
+        def close() -> None:
+            write_file(f"{path}/refers-{at}", zlib.compress(pickle.dumps(own), 1))
+
+        for b in batches:
+            for part, row, page_id, kept, url in zip(*(b.column(c).to_pylist() for c in ("part", "row", "page_id", "kept", "url")), strict=True):
+                if part != at:
+                    if own:
+                        close()
+                    at, own = part, {}
+                own[row] = {"page_id": page_id, "row": kept, "url": url}
+        if own:
+            close()
+        yield batch(schema, [[]])
+
+    found.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part long").count()
+
+
+def references(path: str, part: int) -> dict[int, dict]:
+    """What the rows of a part revisit, by row."""
+    files, name = file_system(f"{path}/refers-{part}")
+    if not exists(files, name):
+        return {}
+    with files.open_input_file(name) as f:
+        return pickle.loads(zlib.decompress(f.read()))  # it lives between two jobs of one call
 
 
 def write_index(captures: DataFrame, path: str) -> list[tuple[str, str, int, int]]:
     """Writes the capture index's shards; returns its sparse directory, sorted: first key,
-    file, begin, length of each block (a row for ``LINES`` captures)."""
+    file, begin, length of each block (``MOST_BLOCKS`` rows and one a shard at most)."""
+    n = captures.count()
+    most = max(LINES, -(-n // MOST_BLOCKS))
     schema = pa.schema([("shard", pa.int32()), ("number", pa.int32()), ("first", pa.string()), ("file", pa.string()), ("begin", pa.int64()), ("length", pa.int64())])
 
     def run(batches):
@@ -164,7 +216,7 @@ def write_index(captures: DataFrame, path: str) -> list[tuple[str, str, int, int
                 if not lines:
                     first = key
                 lines.append(f"{key} {json.dumps([page_id, row, archive, begin, length], separators=(',', ':'))}")
-                if len(lines) == LINES:
+                if len(lines) == most:
                     close()
         if lines:
             close()
@@ -172,9 +224,8 @@ def write_index(captures: DataFrame, path: str) -> list[tuple[str, str, int, int
             write_file(file, b"".join(blocks))
             yield batch(schema, found)
 
-    n = captures.count()
     order = [F.col(c).asc_nulls_first() for c in ("key", "page_id", "row")]
-    placed = captures.repartitionByRange(max(1, -(-n // SHARD_ROWS)), *order).sortWithinPartitions(*order)
+    placed = captures.repartitionByRange(max(1, -(-n // max(SHARD_ROWS, 10 * most))), *order).sortWithinPartitions(*order)
     rows = placed.mapInArrow(run, "shard int, number int, first string, file string, begin long, length long").collect()
     rows.sort(key=lambda r: (r["shard"], r["number"]))
     return [(r["first"], r["file"], r["begin"], r["length"]) for r in rows]
@@ -189,7 +240,7 @@ def blocks_of(firsts: list[str], key: str) -> range:
 def look_up(spark: SparkSession, directory: list[tuple[str, str, int, int]], keys: DataFrame) -> DataFrame:
     """All captures of the given keys (column key), as the archives have them: page_id,
     payload_bytes, payload_digest, record_type, refers_to, key and payload."""
-    firsts = spark.sparkContext.broadcast([d[0] for d in directory])  # a key for LINES captures
+    firsts = spark.sparkContext.broadcast([d[0] for d in directory])  # MOST_BLOCKS keys and one a shard at most
 
     def search(batches):
         own = firsts.value
@@ -198,19 +249,29 @@ def look_up(spark: SparkSession, directory: list[tuple[str, str, int, int]], key
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in pairs], pa.int64()), pa.array([k for _, k in pairs], pa.string())], names=["block", "key"])
 
     def lines(batches):
+        """The captures in blocks that have the keys wanted of them; rows come sorted by block."""
+        at, place, wanted = None, None, set()
+
+        def found():
+            files, path = file_system(place[0])
+            text = zlib.decompress(read_range(files, path, *place[1:])).decode()
+            got = [line.partition(" ") for line in text.split("\n")]
+            own = [(x[0], *json.loads(x[2])) for x in got if x[0] in wanted]
+            return batch(CAPTURE, [[o[k] for o in own] for k in range(len(CAPTURE))])
+
         for b in batches:
-            for file, begin, length in zip(*(b.column(c).to_pylist() for c in ("file", "begin", "length")), strict=True):
-                files, path = file_system(file)
-                text = zlib.decompress(read_range(files, path, begin, length)).decode()
-                got = [line.partition(" ") for line in text.split("\n")]
-                own = [json.loads(x[2]) for x in got]
-                yield batch(CAPTURE, [[x[0] for x in got], *([o[k] for o in own] for k in range(5))])
+            for block, key, *where in zip(*(b.column(c).to_pylist() for c in ("block", "key", "file", "begin", "length")), strict=True):
+                if block != at:
+                    if wanted:
+                        yield found()
+                    at, place, wanted = block, where, set()
+                wanted.add(key)
+        if wanted:
+            yield found()
 
     wanted = keys.select("key").distinct().mapInArrow(search, "block long, key string")
     places = spark.createDataFrame([(k, *d[1:]) for k, d in enumerate(directory)], "block long, file string, begin long, length long")
-    hit = places.join(wanted.select("block").distinct(), "block", "left_semi")
-    read = hit.repartition(max(1, min(len(directory), 10_000))).mapInArrow(lines, CAPTURES)
-    found = read.join(wanted.select("key").distinct(), "key", "left_semi")
+    found = wanted.join(F.broadcast(places), "block").repartition("block").sortWithinPartitions("block").mapInArrow(lines, CAPTURES)
     # one archive's records together, in the order they lie
     found = found.repartition("file", F.floor(F.col("begin") / (8 << 20))).sortWithinPartitions("file", "begin")
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("key", pa.string()), ("payload", pa.binary())])

@@ -77,3 +77,25 @@ def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     directory, captures = W.archive(none)
     assert directory == [] and W.look_up(spark, directory, W.keys_of(none)).count() == 0
+
+
+def test_a_common_page(spark, tmp_path, monkeypatch):
+    """A page that most rows have, and urls that are null, equal and many."""
+    from gradeloom.llm import warc as W
+
+    monkeypatch.setattr(W, "COMMON", 5)
+    monkeypatch.setattr(W, "LINES", 40)
+    monkeypatch.setattr(W, "SHARD_ROWS", 100)
+    rows = [(k, None if k % 3 else "http://a.b/c", "x" * 2000) for k in range(1500)]
+    rows += [(2000 + k, f"http://h{k % 7}.org/{k}", f"{k // 2} " * 900) for k in range(200)] + [(None, None, "x" * 2000), (1499, None, "x" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    directory, captures = W.archive(pages)
+    got = W.look_up(spark, directory, W.keys_of(pages)).collect()
+    assert captures.count() == len(got) == len(rows)
+    large = [r for r in got if r["payload_bytes"] == 2000]
+    assert sum(r["record_type"] == "response" for r in large) == 1
+    assert {r["refers_to"] for r in large if r["record_type"] == "revisit"} == {1499}
+    pairs = [r for r in got if (r["page_id"] or 0) >= 2000 and r["payload_bytes"] >= 1000]
+    assert len(pairs) == 200 and all((r["refers_to"] or r["page_id"]) % 2 == 1 for r in pairs)
+    some = W.look_up(spark, directory, spark.createDataFrame([("org,h3)/3",), ("org,none)/",)], "key string")).collect()
+    assert [r["page_id"] for r in some] == [2003]
