@@ -10,7 +10,7 @@ Words are runs of what isn't ASCII white space, lower-cased.
 
 Cases: a null text is empty.  Two empty sketches resemble each other fully (1), an empty and
 another one not at all (0).  Null doc_ids come first, equal ones in the order of their texts'
-hashes; the only document is its own next.  No rows: no rows.
+hashes (then lengths); the only document is its own next.  No rows: no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import WORD_GAP
+from gradeloom.llm.shared import WORD_GAP, written
 
 K = 64
 WORDS = 5
@@ -100,59 +100,63 @@ def unpacked(data: Column) -> Column:
     return F.when(F.length(data) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.length(data) / (BITS // 8) - 1, F.lit(0)).cast("int")), one)).otherwise(F.array().cast("array<bigint>"))
 
 
-def linked(ids: DataFrame) -> DataFrame:
-    """For each distinct doc_id the one before it in ascending order (before the first: the
-    last), that one's number of rows and its most characters.
+#: What tells documents apart: rows that agree in all of these have the same text.
+KEY = ("null", "id", "hash", "chars")
 
-    Ids are dealt by range; each part's last id is carried over to the part after it, so no
+
+def linked(keys: DataFrame) -> DataFrame:
+    """For each key (distinct, with its number of rows, n) the one before it in ascending order,
+    as to_... (before the first: the last).
+
+    Keys are dealt by range; each part's last is carried over to the part after it, so no
     task needs more than its part and one row a part.
     """
-    spark = ids.sparkSession
+    spark = keys.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
-    ranged = ranged.checkpoint()  # the parts' bounds are drawn once
-    own = F.struct("doc_id", "n", "chars")
-    last = ranged.groupBy("part").agg(F.max(own).alias("last"))  # structs compare null first
+    order = [F.desc("null"), *(F.asc(c) for c in KEY[1:])]
+    # the parts' bounds are drawn once
+    ranged = written(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    own = F.struct((~F.col("null")).alias("known"), *KEY[1:])
+    last = ranged.groupBy("part").agg(F.max(own).alias("last"))
     every = Window.orderBy("part")
     whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = last.select("part", F.coalesce(F.lag("last").over(every), F.last("last").over(whole)).alias("carried"))
-    within = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first())
+    within = Window.partitionBy("part").orderBy(*order)
     before = ranged.withColumn("_lag", F.lag(own).over(within)).join(F.broadcast(carried) if parts <= 10_000 else carried, "part")
     before = before.withColumn("before", F.coalesce("_lag", "carried"))
-    return before.select("doc_id", "n", F.col("before.doc_id").alias("before"), F.col("before.n").alias("before_n"), F.col("before.chars").alias("before_chars"))
-
-
-def _key(doc_id: str, prefix: str = "") -> dict[str, Column]:
-    """A doc_id as two columns that are never null, so one dealing serves all that follows."""
-    return {f"{prefix}id": F.coalesce(doc_id, F.lit(0)), f"{prefix}null": F.col(doc_id).isNull()}
+    return before.select(*KEY, "n", (~F.col("before.known")).alias("to_null"), *[F.col(f"before.{c}").alias(f"to_{c}") for c in KEY[1:]])
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with n_chars, sketch (packed), and of the next document its
     sketch and its first n_chars / 2 code points.
 
-    Texts are dealt once by doc_id; what the document before needs of them, once more.
+    Texts are dealt once by their key; what the document before needs of them, once more.  Of
+    rows that are alike each but the last has the same text next, and one stands for all.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("chars"))
-    links = linked(ids).select(*[c.alias(k) for k, c in (_key("doc_id") | _key("before", "to_")).items()], "before_n", "before_chars")
-    # both sides of the last join need the same columns of this, so one dealing serves both
-    own = docs.select(*[c.alias(k) for k, c in _key("doc_id").items()], "text", packed(sketch(F.col("text"))).alias("sketch"))
-    # equal doc_ids are told apart by their number
-    number = Window.partitionBy("id", "null").orderBy(F.xxhash64("text"), "text")
-    own = own.withColumn("number", F.row_number().over(number))
-    joined = own.join(links, ["id", "null"])
-    first = F.col("number") == 1
-    nexts = joined.select(
-        *[F.when(first, F.col(f"to_{c}")).otherwise(F.col(c)).alias(f"to_{c}") for c in ("id", "null")],
-        F.when(first, F.col("before_n")).otherwise(F.col("number") - 1).alias("to_number"),
-        F.when(first, F.substring("text", F.lit(1), F.floor(F.col("before_chars") / 2).cast("int"))).otherwise(F.col("text")).alias("next_text"),
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").cast("long").isNull().alias("null"), F.xxhash64(text).alias("hash"), F.length(text).alias("chars"), text.alias("text"))
+    links = linked(docs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")))
+    own = docs.select(*KEY, "text", packed(sketch(F.col("text"))).alias("sketch"))
+    alike = Window.partitionBy(*KEY).orderBy(F.lit(0))
+    joined = own.withColumn("number", F.row_number().over(alike)).join(links, list(KEY))
+    # a document's beginning for the one before it
+    nexts = joined.where(F.col("number") == 1).select(
+        *[F.col(f"to_{c}").alias(f"_{c}") for c in KEY],
+        F.substring("text", F.lit(1), F.floor(F.col("to_chars") / 2).cast("int")).alias("next_text"),
         F.col("sketch").alias("next_sketch"),
     )
-    # the number is no join key: rows stay where they were dealt by id
-    same = (F.col("id") == F.col("to_id")) & (F.col("null") == F.col("to_null")) & (F.col("number") - F.col("to_number") == 0)
+    same = [F.col(c) == F.col(f"_{c}") for c in KEY]
+    last = F.col("number") == F.col("n")
     doc_id = F.when(~F.col("null"), F.col("id")).alias("doc_id")
-    return own.join(nexts, same).select(doc_id, "text", F.length("text").cast("long").alias("n_chars"), "sketch", "next_text", "next_sketch")
+    return joined.join(nexts, same).select(
+        doc_id,
+        "text",
+        F.col("chars").cast("long").alias("n_chars"),
+        "sketch",
+        F.when(last, F.col("next_text")).otherwise(F.col("text")).alias("next_text"),
+        F.when(last, F.col("next_sketch")).otherwise(F.col("sketch")).alias("next_sketch"),
+    )
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:

@@ -65,3 +65,13 @@ def test_parts_merge(spark):
 def test_no_python_in_the_plan(spark, folder):
     plan = op10_fingerprints(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_many_equal_doc_ids(spark):
+    """Rows of one doc_id don't meet each other: each has the next text, and one row in all."""
+    rows = [(None, f"{k} begins this text of many {'x' * (k % 7)}") for k in range(5000)] + [(7, "same")] * 5000
+    got = P.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert len({r["edited_sha256"] for r in got if r["doc_id"] is None}) == 5000
+    assert {r["near_next"] for r in got if r["doc_id"] == 7} == {0.0, 1.0}
+    assert sum(r["near_next"] == 0 for r in got if r["doc_id"] == 7) == 1
