@@ -94,22 +94,20 @@ class Bins:
 
 def _first(path: str, keeps_space: bool, end_id: int, capacity: int, memory: float):
     lengths = classes(capacity)
-    end = end_id.to_bytes(4, "little")
 
     def run(batches):
         bins = Bins(capacity, 0, TaskContext.get().partitionId())
-        encode = encoder(path, keeps_space, memory).encode
-        rows = max(64, int(4096 * memory))
+        own = encoder(path, keeps_space, memory)
         for b in batches:
-            for at in range(0, b.num_rows, rows):
-                part = b.slice(at, rows)
-                texts = part.column("text").to_pylist()
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
-                    ids += end
-                    n, start = len(ids) // 4, 0
-                    for length in cuts(n, lengths):
-                        bins.add((doc_id, start, length, n, ids[4 * start : 4 * (start + length)]))
+            doc_ids = iter(b.column("doc_id").to_pylist())
+            for ids, ends in own.runs(b.column("text"), end_id):
+                data, begin = ids.astype("<u4", copy=False).tobytes(), 0
+                for end in ends.tolist():
+                    doc_id, start = next(doc_ids), 0
+                    for length in cuts(end - begin, lengths):
+                        bins.add((doc_id, start, length, end - begin, data[4 * (begin + start) : 4 * (begin + start + length)]))
                         start += length
+                    begin = end
                     if bins.bytes > BATCH:
                         yield bins.taken()
         for pieces in bins.open.values():

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import defaultdict
 
@@ -17,6 +18,7 @@ tokenizers = pytest.importorskip("tokenizers")
 FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
 
 
+@functools.cache
 def plain(name):
     inner = tokenizers.Tokenizer.from_file(tokenizer(name))
     return lambda t: inner.encode(t or "", add_special_tokens=False).ids
