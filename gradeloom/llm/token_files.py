@@ -102,30 +102,31 @@ def _draft(path: str, tokenizer: str, keeps_space: bool, end_id: int):
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        encode, shard, end = encoder(tokenizer, keeps_space).encode, TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
+        own, shard = encoder(tokenizer, keeps_space), TaskContext.get().partitionId()
         total = np.zeros(end_id + 1, np.int64)
-        out, doc_ids, ids, size = None, [], [], 0
+        out, doc_ids, counts, ids, size = None, [], [], [], 0
 
         def close() -> None:
-            nonlocal out, total, doc_ids, ids, size
+            nonlocal out, total, doc_ids, counts, ids, size
             out = out or NewFile(f"{path}/draft-{shard:08d}")
-            plain = np.frombuffer(b"".join(ids), "<u4")
-            own = np.bincount(plain, minlength=len(total))
-            own[: len(total)] += total
-            total = own
+            plain = np.concatenate(ids)
+            found = np.bincount(plain, minlength=len(total))
+            found[: len(total)] += total
+            total = found
             narrow = plain.astype("<u2") if plain.max() < 2**16 else plain
-            head = pickle.dumps((doc_ids, [len(x) // 4 for x in ids], narrow.dtype.str))
+            head = pickle.dumps((doc_ids, counts, narrow.dtype.str))
             data = zstandard.ZstdCompressor(level=1).compress(narrow.tobytes())
             out.write(struct.pack("<2Q", len(head), len(data)) + head + data)
-            doc_ids, ids, size = [], [], 0
+            doc_ids, counts, ids, size = [], [], [], 0
 
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                found = [x + end for x in encode(part.column("text").to_pylist())]
-                doc_ids += part.column("doc_id").to_pylist()
-                ids += found
-                size += sum(map(len, found)) // 4
+            names, at = b.column("doc_id").to_pylist(), 0
+            for plain, ends in own.runs(b.column("text"), end_id):
+                counts += np.diff(ends, prepend=0).tolist()
+                doc_ids += names[at : at + len(ends)]
+                at += len(ends)
+                ids.append(plain)
+                size += len(plain)
                 if size >= BLOCK:
                     close()
         if ids:
