@@ -161,13 +161,82 @@ def answer_key(text: Column, first: bool = True, pattern: str = ANSWER_KEY) -> C
     return (first_wins if first else last_wins)(pairs)
 
 
+#: The forms in which an answer is stated, the first that is found counts.
+STATED = (
+    r"(?i)【\s*答案\s*】\s*[:：]?\s*([A-D]|对|错|正确|错误)",
+    r"(?i)答案\s*[:：]?\s*([A-D]|对|错|正确|错误)",
+    r"(?i)选\s*([A-D])",
+    r"(?iU)(?:【\s*例\s*\d{1,4}\s*】|例\s*\d{1,4}\s*[：:]?)\s*([A-D]|对|错|正确|错误)\b",
+    r"(?im)^\s*\d{1,4}\s*[.、．]\s*([A-D])\b",
+)
+#: The forms in which an analysis is given.
+ANALYSIS = (r"(?s)【\s*解析\s*】\s*[:：]?(.*)", r"(?s)解析\s*[:：](.*)", r"(?si)答案\s*[:：]?.*?[A-D对错正确错误][。\s]*(.*)")
+#: Anchors of answers; group 1 is the number.
+ANCHORS = (r"【\s*例\s*(\d{1,4})\s*】", r"例\s*(\d{1,4})\s*[：:]", r"第\s*(\d{1,4})\s*题", r"^\s*(\d{1,4})\s*[.、．]")
+
+
 def stated_answer(text: Column) -> Column:
-    """The first answer that a text states; right and wrong in one spelling."""
-    forms = (r"答案[:：]?\s*([A-D]|正确|错误|对|错|√|×)", r"故选\s*[:：]?\s*([A-D])", r"选择?\s*([A-D])\s*[项。]", r"【答案】\s*([A-D]|对|错)", r"^\s*([A-D])\s*$")
-    found = F.coalesce(*[F.nullif(F.regexp_extract(text, f, 1), F.lit("")) for f in forms])
+    """The answer that a text states; right and wrong in one spelling."""
+    found = F.upper(F.coalesce(*[F.nullif(F.regexp_extract(text, f, 1), F.lit("")) for f in STATED]))
     return reduce(lambda c, kv: F.when(found == kv[0], F.lit(kv[1])).otherwise(c), JUDGE.items(), found)
 
 
+def stated_analysis(text: Column) -> Column:
+    """The analysis that a text gives, without what leads to it; null if it gives none."""
+    forms = [F.when(F.rlike(text, F.lit(f)), F.regexp_extract(text, f, 1)) for f in ANALYSIS]
+    own = F.regexp_replace(F.trim(F.coalesce(*forms)), r"^\s*[。；;，,：:]\s*", "")
+    return F.nullif(F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), r"^\s+|\s+$", ""), F.lit(""))
+
+
+def anchors_in(text: Column) -> Column:
+    """Anchors in a text, in order: start, index and label; where two forms start at one place
+    the first form's counts."""
+    found = []
+    for form in ANCHORS:
+        whole = rf"(?Usm)(.*?)({form})"
+        part = [F.regexp_extract_all(text, F.lit(whole), F.lit(g)) for g in range(4)]
+        size = F.transform(part[0], F.length)
+        own = F.zip_with(part[2], part[3], lambda label, n: F.struct(label.alias("label"), n.cast("int").alias("index")))
+        starts = F.transform(part[1], lambda p, k: F.aggregate(F.slice(size, F.lit(1), k), F.lit(0), lambda a, b: a + b) + F.length(p))  # noqa: B023
+        found.append(F.zip_with(starts, own, lambda s, x: F.struct(s.alias("start"), x["index"].alias("index"), F.trim(x["label"]).alias("label"))))
+    out = found[0]
+    for more in found[1:]:
+        out = F.concat(out, F.filter(more, lambda m: ~F.exists(out, lambda o: o["start"] == m["start"])))  # noqa: B023
+    return F.array_sort(out)
+
+
+def logical_lines(text: Column) -> Column:
+    """A text cut before each anchor and option; blank pieces go."""
+    parts = F.split(F.trim(text), r"(?=(?:(?:【\s*)?例\s*\d+\s*】?|第\s*\d+\s*题|[A-D][.．、]))")
+    own = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+    return F.when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(own)
+
+
+def split_options(text: Column, pattern: str = r"^\s*([A-D])\s*[.．、]\s*(.*)$") -> Column:
+    """A block's stem, and its option lines by label; of a label's repeats the last counts."""
+    from gradeloom.functions.arrays import last_wins
+
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    pairs = F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(pattern))), lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("key"), F.trim(F.regexp_extract(x, pattern, 2)).alias("value")))
+    stem = F.array_join(F.filter(lines, lambda x: ~F.rlike(x, F.lit(pattern))), "\n")
+    return F.struct(stem.alias("stem"), last_wins(pairs).alias("options"))
+
+
+#: Lines that name a chapter.
+CHAPTER_LINES = (r"^\s*第[一二三四五六七八九十百千万\d]+章\s*\S*", r"^\s*[一二三四五六七八九十]+[、.]\s*\S+", r"^\s*\d{1,2}[．.]\s*\S+", r"^\s*考法[一二三四五六七八九十\d]+\s*\S*")
+
+
+def stem_on_one_line(text: Column) -> Column:
+    """A stem without lines that name a chapter, its white space single spaces."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.rlike(x, F.lit("|".join(CHAPTER_LINES))))
+    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"\s+", " "))
+
+
+def hash_of_letters(text: Column) -> Column:
+    """A number from 2 to 5 that a text always has."""
+    return F.lit(2) + letters_sum(text) % 4
+
+
 def fenced_json(text: Column) -> Column:
     """What a fenced code block holds, or the text itself."""
     return F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit("")), F.trim(text))

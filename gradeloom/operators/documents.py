@@ -35,14 +35,17 @@ def kind_of(text_length: Column, n_pages: Column) -> Column:
     return F.when(text_length < F.greatest(F.lit(80), n_pages * 10), F.lit("scanned")).otherwise(F.lit("text"))
 
 
-def answer_mode(hits: Column, chars: Column, image_pages: Column) -> Column:
-    """How an answer book is read."""
-    return F.when((chars < 200) | (image_pages > 0.6), F.lit("image")).when(hits >= 3, F.lit("text")).otherwise(F.lit("auto"))
+def answer_mode(hits: Column, chars: Column, kind: Column | None = None) -> Column:
+    """How an answer book is read: as text if it says so often enough and isn't a scan."""
+    scanned = F.lit(False) if kind is None else kind.isin("scanned_answer_book", "answer_note")
+    return F.when(~scanned & (hits > 20) & (chars > 5000), F.lit("text")).otherwise(F.lit("image"))
 
 
-def skip_page(text: Column, lines: Column, toc_lines: Column, answers: Column) -> Column:
-    """Pages that hold no questions."""
-    return (F.length(F.trim(text)) == 0) | (toc_lines / F.greatest(lines, F.lit(1)) > 0.35) | answers
+def skip_page(text: Column, lines: Column, toc_lines: Column, answers: Column, explains: Column | None = None, options: Column | None = None, questions: Column | None = None) -> Column:
+    """Pages that hold no questions: blank ones, tables of contents, answers, and, if what they
+    explain is known, explanations without options and with one question at most."""
+    out = (F.length(F.trim(text)) == 0) | (toc_lines / F.greatest(lines, F.lit(1)) > 0.35) | answers
+    return out if explains is None else out | (explains & (options == 0) & (questions < 2))
 
 
 def warning_histogram(rows: DataFrame, warnings: str) -> DataFrame:

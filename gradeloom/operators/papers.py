@@ -12,6 +12,7 @@ from gradeloom.operators import documents as D
 from gradeloom.operators import joins as J
 from gradeloom.operators import scoring as S
 from gradeloom.operators import windows as W
+from gradeloom.operators.review import answer_text_score
 
 # How lines of a paper begin.
 ROLES = [
@@ -111,11 +112,8 @@ def answers(pages: DataFrame) -> DataFrame:
     own = _gathered_with(W.segments(lines, ["doc_id"], "at", F.col("role") == "question").where(F.col("segment") > 0), "section")
     text = F.array_join(F.transform("own", lambda x: x["line"]), "\n")
     out = own.select("doc_id", "section", "segment", X.anchor_index(F.col("head.line")).alias("index"), text.alias("text"))
-    out = out.withColumns({"answer": X.stated_answer(F.col("text")), "analysis": X.cleaned(F.regexp_replace("text", X.ANCHOR, ""))})
-    before = F.lag("index").over(Window.partitionBy("doc_id").orderBy("segment"))
-    rises = F.coalesce(F.col("index") >= before, F.lit(True))
-    score = F.lit(50) + F.when(F.col("answer").isNotNull(), 25).otherwise(0) + F.when(F.length("analysis") >= 20, 15).otherwise(0) + F.when(rises, 10).otherwise(-10)
-    return out.withColumn("confidence", score.cast("double"))
+    out = out.withColumns({"answer": X.stated_answer(F.col("text")), "analysis": X.stated_analysis(F.col("text"))})
+    return out.withColumn("confidence", answer_text_score(F.col("answer"), F.col("analysis"), F.col("section"), F.coalesce("index", F.lit(0)), F.size(X.anchors_in(F.col("text")))).cast("double"))
 
 
 def _gathered_with(lines: DataFrame, extra: str) -> DataFrame:

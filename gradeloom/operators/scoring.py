@@ -20,13 +20,14 @@ def text_evidence(shared: Column, size: Column) -> Column:
     return F.when(size > 0, out).otherwise(F.lit(0))
 
 
-def match_score(same_index: Column, has_section: Column, same_anchor: Column, evidence: Column, confidence: Column, candidates: Column, is_fallback: Column) -> Column:
+def match_score(same_index: Column, has_section: Column, same_anchor: Column, evidence: Column, confidence: Column, candidates: Column, is_fallback: Column, anchors_agree: Column | None = None) -> Column:
     """How well an answer fits a question, 0 to 100.  An answer found by position alone fits
-    its position by 60."""
+    its position by 60.  ``same_anchor``: both have one and it is the same; ``anchors_agree``:
+    they are the same or both missing (if it isn't given, the former)."""
     points = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
     total = points(same_index, 45) + points(has_section, 10) + points(same_anchor, 20) + evidence + points(confidence >= 85, 5) + points(candidates == 1, 10)
     total = F.when(candidates > 1, F.least(total, F.lit(70))).otherwise(total)
-    total = F.when((evidence < 20) & ~F.coalesce(same_anchor, F.lit(False)), F.least(total, F.lit(60))).otherwise(total)
+    total = F.when((evidence < 20) & ~F.coalesce(same_anchor if anchors_agree is None else anchors_agree, F.lit(False)), F.least(total, F.lit(60))).otherwise(total)
     return F.when(is_fallback, points(same_index, 60)).otherwise(clamp(total, 0, 100)).cast("int")
 
 
@@ -46,7 +47,7 @@ def matched_sources(sources: DataFrame, questions: DataFrame) -> DataFrame:
     both = both.withColumn("candidates", n)
     evidence = text_evidence(X.overlap(F.col("_tokens"), F.col("_own")), F.size("_tokens"))
     section = F.contains("_text", F.col("section_key"))
-    score = match_score(F.col("_index") == F.col("question_index"), section, F.col("_anchor") == F.col("question_anchor"), F.coalesce(evidence, F.lit(0)), F.col("confidence"), F.col("candidates"), F.col("is_fallback"))
+    score = match_score(F.col("_index") == F.col("question_index"), section, (F.col("_anchor") == F.col("question_anchor")) & (F.col("question_anchor") != ""), F.coalesce(evidence, F.lit(0)), F.col("confidence"), F.col("candidates"), F.col("is_fallback"), F.col("_anchor").eqNullSafe(F.col("question_anchor")))
     both = both.withColumn("score", F.when(F.col("question_id").isNotNull(), score).otherwise(0))
     best = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "question_id"))
     out = both.withColumn("_n", best).where(F.col("_n") == 1)
@@ -178,10 +179,6 @@ def best_of(first: Column, second: Column) -> Column:
     return F.when(F.coalesce(second["confidence"], F.lit(-1.0)) > F.coalesce(first["confidence"], F.lit(-1.0)), second).otherwise(first)
 
 
-def model_for(type_: Column, has_visual: Column, length: Column) -> Column:
-    return F.when(has_visual | (length > 600) | (type_ == "material_sub"), F.lit("reasoner")).otherwise(F.lit("fast"))
-
-
 def review_decision(page_missing: Column, not_found: Column, material_missing: Column, source_unverified: Column) -> Column:
     """Whether a person can check a candidate against its source, and why not, first rule first."""
     return (
@@ -193,17 +190,6 @@ def review_decision(page_missing: Column, not_found: Column, material_missing: C
     )
 
 
-def readability(text: Column, n_options: Column, needs_image: Column, n_images: Column) -> Column:
-    """What keeps a question from being read, as names."""
-    rules = [
-        ("content_too_short", F.length(F.trim(text)) < 8),
-        ("options_missing", n_options < 2),
-        ("image_missing", needs_image & (n_images == 0)),
-        ("noise", X.punctuation_share(text) > 0.5),
-    ]
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]))
-
-
 def universal_confidence(content: Column, n_options: Column, missing_options: Column, material_suspected: Column) -> Column:
     """Confidence in a question that no strategy of its own has read; 0.1 to 0.98."""
     options = F.when(n_options >= 4, 0.25).when(n_options >= 2, 0.15).otherwise(0.0)

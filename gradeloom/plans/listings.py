@@ -16,10 +16,10 @@ from gradeloom.sources import writers as K
 
 
 @query("""SELECT qid, bank_id, subject, content, index_num FROM que
-    WHERE bank_id = 'Brand#3' AND subject <> 'PROMO' AND content LIKE '%red%' ORDER BY index_num DESC NULLS LAST, qid LIMIT 10 OFFSET 10""")
+    WHERE subject <> 'PROMO' AND content LIKE '%e%' ORDER BY index_num DESC NULLS LAST, qid LIMIT 10 OFFSET 10""")
 def question_list(spark, sf_dir):
     q = T.questions(spark, sf_dir)
-    rows = P.where_all(q, P.equal("bank_id", "Brand#3"), F.col("subject") != "PROMO", X.like(F.col("content"), "red"), P.equal("index_num", None))
+    rows = P.where_all(q, P.equal("bank_id", None), F.col("subject") != "PROMO", X.like(F.col("content"), "e"), P.equal("index_num", None))
     return P.page(rows, P.sorted_by(rows, "index_num", "DESC", "qid"), 2, 10).select("qid", "bank_id", "subject", "content", "index_num")
 
 
@@ -41,10 +41,15 @@ def user_records(spark, sf_dir):
     return P.where_all(both, P.equal("bank_id", "Brand#4"), ~F.col("is_correct")).select("id", "user_id", "bank_id", "is_correct")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey IN (3, 5, 8, 13, 21, 34, 55, 89)", prelude=False)
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'", prelude=False)
 def sources_not_ignored(spark, sf_dir):
-    o = T.read(spark, sf_dir, "orders")
-    return o.where((F.col("o_orderstatus") != "P") & F.col("o_orderkey").isin(3, 5, 8, 13, 21, 34, 55, 89)).select("o_orderkey", "o_orderstatus")
+    return T.read(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "P").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (3, 5, 8, 13, 21, 34, 55, 89)", prelude=False)
+def orders_by_ids(spark, sf_dir, ids=(3, 5, 8, 13, 21, 34, 55, 89)):
+    """The feature is a list of ids: it is a parameter."""
+    return T.read(spark, sf_dir, "orders").where(F.col("o_orderkey").isin(*ids)).select("o_orderkey", "o_orderstatus")
 
 
 @query("""SELECT user_id, question_id, id, is_correct FROM (

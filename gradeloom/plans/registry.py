@@ -16,8 +16,8 @@ WITH = """WITH rec AS (
            event_type <> 'error' AS is_correct, value > 20 AS is_mastered, event_type = 'signup' AS removed_from_wrong, value
     FROM events),
 que AS (
-    SELECT p_partkey AS qid, p_brand AS bank_id, p_type AS subject, p_name AS content, p_size AS index_num, p_retailprice AS price
-    FROM part WHERE p_partkey % 17 <> 0),
+    SELECT p_partkey + 17 AS qid, p_brand AS bank_id, p_type AS subject, p_name AS content, p_size AS index_num, p_retailprice AS price
+    FROM part),
 both_ AS (SELECT rec.*, que.bank_id, que.subject FROM rec LEFT JOIN que ON question_id = qid),
 raw_lines AS (
     SELECT doc_id AS page, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
@@ -42,4 +42,4 @@ def query(sql: str | None = None, prelude: bool = True):
     return add
 
 
-from gradeloom.plans import analytics, listings, pages, scalars, scores  # noqa: E402, F401
+from gradeloom.plans import analytics, listings, pages, review, scalars, scores  # noqa: E402, F401

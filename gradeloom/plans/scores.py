@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as X
+from gradeloom.operators import review as R
 from gradeloom.operators import scoring as S
 from gradeloom.plans.registry import query
 from gradeloom.sources import tables as T
@@ -87,14 +88,14 @@ def confidence_scores(spark, sf_dir):
 
 @query("""SELECT p_partkey, CASE WHEN length(p_name) < 4 THEN 'content_too_short' END AS reason,
     CASE WHEN p_size % 4 = 0 AND p_retailprice / 2000 >= 0.85 THEN 'applied' WHEN p_size % 4 = 0 AND p_retailprice / 2000 >= 0.65 THEN 'suggested' ELSE 'ignored' END AS correction,
-    CASE WHEN p_size % 3 = 0 OR length(p_name) > 600 THEN 'reasoner' ELSE 'fast' END AS model,
+    CASE WHEN p_size % 3 = 0 OR p_size % 7 = 0 OR p_size % 11 = 0 OR p_size % 13 = 0 OR p_size % 5 = 4 OR p_size % 17 = 1 THEN 'reasoner' ELSE 'fast' END AS model,
     CASE WHEN p_size % 2 = 0 THEN 'not_reviewable_missing_previous_page' WHEN p_size % 3 = 0 THEN 'not_reviewable_source_unverified'
         WHEN p_size % 5 = 0 THEN 'not_reviewable_missing_material_group' ELSE 'not_reviewable_missing_source_context' END AS review FROM part""", prelude=False)
 def decisions(spark, sf_dir):
     n, c = F.col("p_size"), F.col("p_retailprice") / 2000
     return T.read(spark, sf_dir, "part").select(
         "p_partkey", S.rejected_because(F.col("p_name")).alias("reason"), S.correction(c, n % 4 == 0).alias("correction"),
-        S.model_for(F.lit("single"), n % 3 == 0, F.length("p_name")).alias("model"), S.review_decision(n % 2 == 0, n % 3 == 0, n % 5 == 0, F.lit(True)).alias("review"),
+        R.model_for(F.when(n % 3 == 0, 1), n % 7 == 0, n % 11 == 0, F.when(n % 13 == 0, 2), F.when(n % 5 == 4, 1), F.concat("p_name", F.when(n % 17 == 1, F.lit("看图表")).otherwise(F.lit("看图")))).alias("model"), S.review_decision(n % 2 == 0, n % 3 == 0, n % 5 == 0, F.lit(True)).alias("review"),
     )
 
 

@@ -68,8 +68,8 @@ def alive(df: DataFrame) -> DataFrame:
     return df.where(F.col("deleted_at").isNull())
 
 
-#: Every seventeenth question is missing, so left joins meet records without one.
-HOLE = 17
+#: Questions are numbered from here, so left joins meet records of questions before them.
+FIRST = 17
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of banks and subjects, from part."""
-    return read(spark, sf_dir, "part").where(F.col("p_partkey") % HOLE != 0).select(F.col("p_partkey").alias("qid"), F.col("p_brand").alias("bank_id"), F.col("p_type").alias("subject"), F.col("p_name").alias("content"), F.col("p_size").alias("index_num"), F.col("p_retailprice").alias("price"))
+    return read(spark, sf_dir, "part").select((F.col("p_partkey") + FIRST).alias("qid"), F.col("p_brand").alias("bank_id"), F.col("p_type").alias("subject"), F.col("p_name").alias("content"), F.col("p_size").alias("index_num"), F.col("p_retailprice").alias("price"))
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,9 +52,9 @@ def preview(df: DataFrame, order: list[Column], images: str, most: int, with_ima
     return top.withColumn("_n", n).withColumn(images, F.when(F.col("_n") <= with_images, F.col(images))).drop("_n")
 
 
-def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A small frame as a Markdown table."""
-    rows = df.limit(most).collect()
+def markdown_table(df: DataFrame) -> str:
+    """A report's frame as a Markdown table, whole; rows come to the driver one by one."""
+    rows = df.toLocalIterator()
     head = [" | ".join(df.columns), " | ".join("---" for _ in df.columns)]
     return "\n".join(f"| {x} |" for x in [*head, *(" | ".join("" if v is None else str(v) for v in r) for r in rows)])
 
