@@ -40,10 +40,12 @@ from gradeloom.llm.shared import hold, tidy
 
 SAMPLE = 200
 LEARNT = 40_000
+#: Parts of a language's hashes, of each of which the least are taken first.
+PARTS = 32
 #: Symbols with a column in the dense table: a space, one for all letters that no learned text
 #: has, and the commonest letters.
 SYMBOLS = 64
-SEGMENT = 512
+SEGMENT = 4096
 #: Segments that move in step.
 STEP = 4096
 UNKNOWN = "und"
@@ -60,8 +62,10 @@ def sample(docs: DataFrame, rows: int = SAMPLE, length: int = LEARNT) -> list[tu
     a passage is a text's middle, ``length`` characters at most."""
     hashed = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text"))
     # copies of one text teach nothing new: they are one row before anything is dealt
-    least = Window.partitionBy("lang").orderBy("_h")
-    first = hashed.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= rows)
+    part, least = Window.partitionBy("lang", "_part").orderBy("_h"), Window.partitionBy("lang").orderBy("_h")
+    first = hashed.select("lang", "_h", F.pmod("_h", F.lit(PARTS)).alias("_part")).distinct()
+    for window in (part, least):  # a language's hashes are many: the least of each part first
+        first = first.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= rows)
     start = F.greatest(F.lit(0), F.floor((F.length("text") - length) / 2)).cast("int") + 1
     passages = hashed.join(F.broadcast(first.select("lang", "_h")), ["lang", "_h"]).select("lang", "_h", F.substring("text", start, F.lit(length)).alias("passage"))
     found = passages.groupBy("lang", "_h").agg(F.min("passage").alias("passage")).collect()
