@@ -140,8 +140,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = docs.select(*KEY, "text", packed(sketch(F.col("text"))).alias("sketch"))
     alike = Window.partitionBy(*KEY).orderBy(F.lit(0))
     joined = own.withColumn("number", F.row_number().over(alike)).join(links, list(KEY))
-    # a document's beginning for the one before it
-    nexts = joined.where(F.col("number") == 1).select(
+    # a document's beginning for the one before it; said so that no limit of the window is put
+    # before the dealing, which would then not be the one that serves both sides
+    nexts = joined.where(F.col("number") * 2 == 2).select(
         *[F.col(f"to_{c}").alias(f"_{c}") for c in KEY],
         F.substring("text", F.lit(1), F.floor(F.col("to_chars") / 2).cast("int")).alias("next_text"),
         F.col("sketch").alias("next_sketch"),
