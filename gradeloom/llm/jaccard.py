@@ -17,10 +17,14 @@ shingle alone, so the prefixes are exact; the counts, over all documents, are ke
 of fixed size, in which a collision only moves a shingle back.
 
 A list emits no pairs, but a star of each set of members that could be similar.  The stars'
-components are groups; a group's sets meet, each sent once, in one task, or, of groups above
-``TILE`` sets, in one task for two blocks of them.  There every pair that can be similar is
-compared exactly, by matrix products over the group's own shingles, and links that join what
-isn't joined yet come out.  Components of links are what documents are labelled with.
+components are groups, and a group's sets meet, each sent once, in one task.  A group of more
+than ``TILE`` sets or ``SHINGLES`` shingles is first compared, block by block, with ``HUBS`` sets
+of its own, which joins what is alike in one step whose cost is the group's size.  What that
+leaves apart meets in blocks: of a class of sets that are joined already, or of single ones,
+with sizes that can be similar; blocks of one class don't meet, as nothing in them is left to
+join.  Where sets meet every pair that can be similar is compared exactly, by matrix products
+over the meeting's own shingles, and links that join what isn't joined yet come out.
+Components of links are what documents are labelled with.
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with
 nothing, not even its like.  Fewer words than a shingle: the whole sequence is one shingle.
@@ -34,17 +38,18 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.components import components
-from gradeloom.llm.shared import batch, mixed, small_batches, tidy, trim, written
+from gradeloom.llm.shared import batch, mixed, small_batches, tidy, written
 
-#: Sets of one task's block; a group with more is dealt out in pairs of blocks.
-TILE = 1024
+#: Sets and shingles of one task's block; a larger group is dealt out in pairs of blocks.
+TILE, SHINGLES = 256, 200_000
+#: Sets of a large group that all others are compared with first.
+HUBS = 8
 #: Members of a list whose possible pairs are told apart one by one; longer lists are one star.
 LIST = 256
 #: Of the hash range, the part whose shingles are ordered by frequency.
@@ -53,18 +58,29 @@ REGION = np.uint64(2**62)
 SMALL = 64
 #: Bytes of the frequency table, least and most.
 SLOTS = (2**20, 2**27)
-#: Words whose hashes a worker remembers.
-WORDS_KNOWN = 300_000
+#: Bytes of the words whose hashes a worker remembers; what is longer isn't kept.
+WORDS_KNOWN, WORD_KNOWN = 3_000_000, 64
+#: What telling two members of a list apart costs, where shuffling a posting costs 1.
+APART = 0.1
 MULTIPLIERS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 class _Words(dict):
+    size = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KNOWN:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= WORD_KNOWN:
+            if self.size >= WORDS_KNOWN:
+                self.clear()
+            self.size += len(word)
+            self[word] = h
         return h
 
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+
 
 _WORDS = _Words()
 
@@ -144,8 +160,10 @@ def subset_keys(own: np.ndarray, t: Threshold) -> np.ndarray:
 
 
 def boundary(sizes: dict[int, int], t: Threshold, length: float) -> int:
-    """Sets up to this size are light."""
+    """Sets up to this size are light.  A posting costs its shuffle and what its list's members
+    cost to be told apart, of which there are ``LIST`` at most; a subset costs its shuffle."""
     best, at, light = None, 0, 0.0
+    length = 1 + APART * min(length, LIST)
     heavy = sum(c * t.prefix(n) * length for n, c in sizes.items())
     for x in range(0, 33):
         c = sizes.get(x, 0)
@@ -193,14 +211,24 @@ def byte_table(rows: DataFrame, slots: int) -> np.ndarray:
     pieces are put together by tasks; the driver gets the table, whatever the number of rows."""
     piece = min(slots, 2**16)
 
-    def fill(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(piece, np.uint8)
-        own[part["slot"].to_numpy() % piece] = part["value"].to_numpy()
-        return pd.DataFrame({"piece": [int(key[0])], "data": [own.tobytes()]})
+    def fill(batches):
+        at, own = -1, None
+        for b in batches:
+            slot, value = (b.column(c).to_numpy() for c in ("slot", "value"))
+            for k in np.unique(slot // piece).tolist():
+                if k != at:
+                    if own is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["piece", "data"])
+                    at, own = k, np.zeros(piece, np.uint8)
+                here = slot // piece == k
+                own[slot[here] % piece] = value[here]
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["piece", "data"])
 
     top = rows.groupBy("slot").agg(F.max("value").alias("value"))
+    top = top.repartition(F.floor(F.col("slot") / piece)).sortWithinPartitions("slot")
     out = np.zeros(slots, np.uint8)
-    for r in top.groupBy(F.floor(F.col("slot") / piece).alias("piece")).applyInPandas(fill, "piece long, data binary").collect():
+    for r in top.mapInArrow(fill, "piece long, data binary").collect():
         out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["data"], np.uint8)
     return out
 
@@ -214,7 +242,7 @@ def frequency_levels(keys: DataFrame) -> tuple[np.ndarray, float]:
     while slots < SLOTS[1] and slots < 8 * (many or 0):
         slots *= 2
     slot = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(slots - 1))
-    table = byte_table(counts.select(slot.alias("slot"), F.floor(F.log2("c")).cast("int").alias("value")), slots)
+    table = byte_table(counts.select(slot.cast("long").alias("slot"), F.floor(F.log2("c")).cast("int").alias("value")), slots)
     return table, float(squares or 1) / float(postings or 1)
 
 
@@ -376,10 +404,120 @@ def links_within(sets: list[np.ndarray], t: Threshold, cells: int = 2_000_000) -
     return out
 
 
+def links_to(hubs: list[np.ndarray], sets: list[np.ndarray], t: Threshold) -> list[tuple[int, int]]:
+    """(hub, set) of each pair that is similar; sets are sorted."""
+    n = np.array([len(x) for x in sets], np.int64)
+    flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)[:-1]])
+    out = []
+    for k, hub in enumerate(hubs):
+        at = np.searchsorted(hub, flat)
+        both = np.add.reduceat((hub[np.minimum(at, len(hub) - 1)] == flat).astype(np.int64), starts)
+        out += [(k, int(x)) for x in np.flatnonzero(t.den * both >= t.num * (n + len(hub) - both))]
+    return out
+
+
+def _meetings(t: Threshold, by_hub: bool = False):
+    """Links of each meeting; rows (meeting, node, hub, shingles) come sorted by meeting."""
+
+    def links(rows: dict[int, tuple]) -> pa.RecordBatch:
+        nodes, sets = list(rows), [x for _, x in rows.values()]
+        if by_hub:
+            hubs = [k for k, n in enumerate(nodes) if rows[n][0]]
+            found = [(hubs[h], x) for h, x in links_to([sets[k] for k in hubs], sets, t) if hubs[h] != x]
+        else:
+            found = links_within(sets, t)
+        return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches):
+        at, rows = None, {}
+        for b in batches:
+            for key, node, hub, data in zip(*(b.column(c).to_pylist() for c in ("meeting", "node", "hub", "shingles")), strict=True):
+                if key != at:
+                    if len(rows) > 1:
+                        yield links(rows)
+                    at, rows = key, {}
+                rows[node] = (hub or rows.get(node, (False,))[0], np.frombuffer(data, np.uint64))
+        if len(rows) > 1:
+            yield links(rows)
+
+    return tidy(run)
+
+
+def _met(rows: DataFrame, t: Threshold, by_hub: bool = False) -> DataFrame:
+    """Links of meetings, from rows (meeting, node, hub, shingles)."""
+    rows = rows.select(F.col("meeting").cast("string").alias("meeting"), "node", "hub", "shingles")
+    rows = rows.repartition("meeting").sortWithinPartitions("meeting")
+    with small_batches(rows.sparkSession, 250):
+        return written(rows.mapInArrow(_meetings(t, by_hub), "a long, b long"))
+
+
+def large_links(sets: DataFrame, t: Threshold) -> DataFrame:
+    """Links of groups that are too large for one task, from ``sets`` (group, node, n, shingles),
+    which are read several times."""
+    some = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+    part = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
+
+    # all against a few hubs of the group
+    blocks = sets.groupBy("group").agg(some().alias("blocks"))
+    first = Window.partitionBy("group").orderBy(F.xxhash64("node", F.lit(HUBS)), "node")
+    hubs = sets.select("group", "node").withColumn("place", F.row_number().over(first)).where(F.col("place") <= HUBS).drop("place")
+    all_ = sets.join(blocks, "group").select(F.struct("group", part(F.col("blocks")).alias("block")).alias("meeting"), "node", F.lit(False).alias("hub"), "shingles")
+    every = sets.join(hubs, ["group", "node"]).join(blocks, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = every.select(F.struct("group", "block").alias("meeting"), "node", F.lit(True).alias("hub"), "shingles")
+    near = _met(all_.unionByName(every), t, by_hub=True)
+    label = components(near).withColumnRenamed("component", "label")
+
+    # what is still apart: classes of joined sets, and of single ones, by sizes of which only
+    # neighbours can be similar
+    size = F.floor(F.log("n") / math.log(t.den / t.num) + 1e-9).cast("int")
+    classed = sets.select("group", "node", "n").join(label, "node", "left").withColumn("size", size)
+    kinds = classed.groupBy("group", "label", "size").agg(some().alias("blocks"))
+    kinds = written(kinds.withColumn("kind", F.struct("group", "label", "size")))
+    one = kinds.select("group", F.col("size").alias("near"), F.col("kind").alias("a"), F.col("blocks").alias("na"))
+    two = kinds.select("group", F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("near"), F.col("kind").alias("b"), F.col("blocks").alias("nb"))
+    pairs = one.join(two, ["group", "near"]).where((F.col("a.size") < F.col("b.size")) | (F.coalesce(F.col("a.label"), F.lit(0)) <= F.coalesce(F.col("b.label"), F.lit(0))))
+    pairs = pairs.where(F.col("a.label").isNull() | F.col("b.label").isNull() | (F.col("a.label") != F.col("b.label")))
+    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    pairs = pairs.where((F.col("a") != F.col("b")) | (F.col("i") <= F.col("j")))
+    meeting = F.struct("a", "i", "b", "j").alias("meeting")
+    asked = pairs.select(meeting, F.explode(F.array(F.struct(F.col("a").alias("kind"), F.col("i").alias("block")), F.struct(F.col("b").alias("kind"), F.col("j").alias("block")))).alias("x"))
+    key = lambda kind, block: F.to_json(F.struct(kind.alias("k"), block.alias("b")))
+    asked = asked.select("meeting", key(F.col("x.kind"), F.col("x.block")).alias("key")).distinct()
+    own = classed.join(kinds.select("group", F.col("label").alias("_l"), "size", "blocks"), (F.col("label").eqNullSafe(F.col("_l"))) & (classed["group"] == kinds["group"]) & (classed["size"] == kinds["size"])).select(
+        key(F.struct(classed["group"], F.col("label"), classed["size"]), part(F.col("blocks"))).alias("key"), "node"
+    )
+    # numbers first: sets of a class that meets no other stay where they are
+    own = written(own.join(asked, "key").select("meeting", "node"))
+    table = sets.sparkSession.sparkContext.broadcast(marked(own.select("node").distinct()))  # of fixed size
+    needed = sets.select("node", "shingles").mapInArrow(_marked(table), "node long, shingles binary")
+    apart = _met(own.hint("shuffle_merge").join(needed, "node").select("meeting", "node", F.lit(False).alias("hub"), "shingles"), t)
+    return near.unionByName(apart)
+
+
 def slot_of(uid: np.ndarray, slots: int) -> np.ndarray:
     return (uid.view(np.uint64) >> np.uint64(8)) & np.uint64(slots - 1)
 
 
+def marked(ids: DataFrame) -> np.ndarray:
+    """A table of the slots of these numbers (the only column)."""
+    (name,) = ids.columns
+    slots, n = SLOTS[0], ids.count()
+    while slots < SLOTS[1] and slots < 8 * n:
+        slots *= 2
+    slot = F.shiftrightunsigned(name, 8).bitwiseAND(F.lit(slots - 1)).cast("long")
+    return byte_table(ids.select(slot.alias("slot"), F.lit(1).alias("value")), slots)
+
+
+def _marked(table):
+    """Rows whose node the table has."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(table.value[slot_of(b.column("node").to_numpy(), len(table.value))] > 0))
+
+    return run
+
+
 def _chosen(n: int, table):
     """The whole sets of documents that the table has; others are not even split."""
     schema = pa.schema([("uid", pa.int64()), ("shingles", pa.binary())])
@@ -416,30 +554,24 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> t
     groups = components(postings.mapInArrow(_lists(t), "a long, b long"))
 
     # one document of each node in a group brings its set
-    bring = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("uid").alias("uid"))
-    bring = written(bring.join(groups, "node").select("uid", "node", F.col("component").alias("group")))
-    slots = SLOTS[0]
-    while slots < SLOTS[1] and slots < 8 * bring.count():
-        slots *= 2
-    chosen = byte_table(bring.select(F.shiftrightunsigned("uid", 8).bitwiseAND(F.lit(slots - 1)).alias("slot"), F.lit(1).alias("value")), slots)
-    sets = docs.select("uid", "text").mapInArrow(_chosen(words, spark.sparkContext.broadcast(chosen)), "uid long, shingles binary")
-    sized = bring.groupBy("group").agg((F.floor((F.count(F.lit(1)) - 1) / TILE) + 1).cast("int").alias("blocks"))
-    placed = bring.join(sized, "group").withColumn("block", F.pmod(F.col("node"), F.col("blocks")).cast("int"))
-    # block i meets block j in the task (i, j), i <= j
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.withColumn("other", other).select("uid", "node", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    meeting = placed.join(sets, "uid").select("node", "group", "i", "j", "shingles")
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("node")
-        node = part["node"].to_numpy()
-        found = links_within([np.frombuffer(x, np.uint64) for x in part["shingles"]], t)
-        if len(part) > 200:
-            trim()
-        return pd.DataFrame({"a": [node[a] for a, _ in found], "b": [node[b] for _, b in found]}, dtype="int64")
-
-    with small_batches(spark, 2000):
-        links = written(meeting.groupBy("group", "i", "j").applyInPandas(meet, "a long, b long"))
+    bring = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("uid").alias("uid"), F.first("n").alias("n"))
+    bring = written(bring.join(groups, "node").select("uid", "node", "n", F.col("component").alias("group")))
+    sized = bring.groupBy("group").agg(((F.count(F.lit(1)) > TILE) | (F.sum("n") > SHINGLES)).alias("large"))
+    bring = written(bring.join(sized, "group"))
+
+    def brought(some: DataFrame) -> DataFrame:
+        """``some`` with its sets' shingles."""
+        table = spark.sparkContext.broadcast(marked(some.select("uid")))  # of fixed size
+        sets = docs.select("uid", "text").mapInArrow(_chosen(words, table), "uid long, shingles binary")
+        return some.hint("shuffle_merge").join(sets, "uid")  # what is brought grows with the input
+
+    meeting = F.col("group").alias("meeting"), "node", F.lit(False).alias("hub"), "shingles"
+    links = _met(brought(bring.where(~F.col("large"))).select(*meeting), t)
+    if bring.where("large").take(1):
+        with small_batches(spark, 2000):
+            # rows repeated whole bring a set each from every task; one is enough
+            large = written(brought(bring.where("large")).dropDuplicates(["node"]).select("group", "node", "n", "shingles"))
+        links = written(links.unionByName(large_links(large, t)))
     named = components(links)
     firsts = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(named, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
