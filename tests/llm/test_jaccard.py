@@ -174,7 +174,8 @@ def test_boundary_goes_with_cost():
     assert J.boundary({30: 1000}, t, 1.0) < 30
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 40, 10**6])
+def test_components(spark, few):
     chain = [(k, k + 1) for k in range(0, 300)] + [(1000, 1000 + k) for k in range(1, 50)]
-    got = components(spark.createDataFrame(chain, "a long, b long")).groupBy("component").agg(F.collect_set("node").alias("n")).collect()
+    got = components(spark.createDataFrame(chain, "a long, b long"), few).groupBy("component").agg(F.collect_set("node").alias("n")).collect()
     assert sorted(sorted(r["n"]) for r in got) == [list(range(301)), list(range(1000, 1050))]
