@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradeloom.operators import arrivals as V
+from gradeloom.operators import groups as B
 from gradeloom.plans.registry import query
 from gradeloom.sources import tables as T
 
@@ -53,3 +54,29 @@ def repair_proposals(spark, sf_dir):
     own = V.repair_proposal(F.when(n % 3 != 0, json), F.col("p_brand"))
     p = T.read(spark, sf_dir, "part").select("p_partkey", own.alias("r"))
     return p.select("p_partkey", "r.content", F.array_join(F.array(*[F.col(f"r.options.{k}") for k in "ABCD"]), "|").alias("options"), F.array_join("r.warnings", "|").alias("warnings"), "r.confidence")
+
+
+@query(""", s AS (SELECT page, line_no, y0, y0 + 10 AS y1, lead(y0) OVER (PARTITION BY page ORDER BY y0) AS below FROM lin WHERE length(line) % 5 = 0),
+    q AS (SELECT page, line_no, y0 FROM lin WHERE length(line) % 5 <> 0 AND length(line) % 3 = 0)
+    SELECT page, s.line_no AS seed, count(*) AS n, min(q.line_no) AS first_question, CAST(max(q.y0) + 10 AS DOUBLE) AS end_y, CASE WHEN count(*) > 1 THEN 0.86 ELSE 0.72 END AS confidence,
+        min(q.y0) - s.y1 > 120 AS uncertain
+    FROM s JOIN q USING (page) WHERE q.y0 >= s.y1 AND (below IS NULL OR q.y0 < below) GROUP BY page, s.line_no, s.y1""")
+def downward_groups(spark, sf_dir):
+    y = F.col("y0").cast("double")
+    lines = T.page_lines(spark, sf_dir).withColumns({"y0": y, "y1": y + 10, "bbox": F.array(F.lit(0.0), y, F.lit(1000.0), y + 10), "n": F.length("line"), "material_key": F.lit(None).cast("string")})
+    seeds = lines.where(F.col("n") % 5 == 0).select("page", F.col("line_no").alias("seed"), F.lit("visual").alias("type"), "material_key", "y0", "y1", "bbox", F.lit(200.0).alias("page_height"))
+    questions = lines.where((F.col("n") % 5 != 0) & (F.col("n") % 3 == 0)).select("page", F.col("line_no").alias("index"), "y0", "y1", "bbox", "material_key")
+    own = B.material_groups(questions, seeds)
+    return own.select("page", "seed", F.size("question_indexes").cast("long").alias("n"), F.col("question_indexes")[0].alias("first_question"), "end_y", "confidence", "uncertain")
+
+
+@query("""SELECT user_id, count(*) AS pages_attempted, coalesce(string_agg(event_id - 1, ',' ORDER BY event_id) FILTER (value > 90), '') AS timeout_pages,
+    coalesce(string_agg(event_id - 1, ',' ORDER BY event_id) FILTER (value > 90 OR event_type = 'error'), '') AS failed_pages, count(*) FILTER (event_type <> 'error') AS candidates
+    FROM events GROUP BY 1""", prelude=False)
+def run_summaries(spark, sf_dir):
+    status = F.when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("ok"))
+    late = F.when(F.col("value") > 90, F.array(F.lit("vision_page_timeout")))
+    pages = T.read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("page_num"), status.alias("request_status"), late.alias("page_warnings"))
+    own = B.run_summary(pages, "user_id", F.when(F.col("request_status") == "ok", 1).otherwise(0))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return own.select("user_id", "pages_attempted", text("timeout_pages"), text("failed_pages"), F.col("visual_question_candidates").alias("candidates"))
