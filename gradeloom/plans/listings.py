@@ -305,8 +305,9 @@ def version_resolution(spark, sf_dir):
     return M.resolved_versions(p, "task", "arrival", "index_num", "sig", "score")
 
 
-@query("SELECT qid, bank_id, CASE WHEN bank_id = 'Brand#7' THEN 1 WHEN bank_id = 'Brand#3' THEN 2 END AS place FROM que WHERE bank_id IN ('Brand#7', 'Brand#3', 'Brand#9') ORDER BY place NULLS LAST, qid LIMIT 150")
+@query("SELECT qid, bank_id, CASE WHEN bank_id = 'Brand#7' THEN 1 WHEN bank_id = 'Brand#3' THEN 2 END AS place FROM que ORDER BY place NULLS LAST, qid LIMIT 150")
 def given_order(spark, sf_dir):
-    q = T.questions(spark, sf_dir).where(F.col("bank_id").isin("Brand#7", "Brand#3", "Brand#9"))
+    """The first page of all questions, those of the given banks first."""
+    q = T.questions(spark, sf_dir)
     order = P.in_given_order(q, "bank_id", ["Brand#7", "Brand#3"], ["qid"])
     return q.orderBy(*order).limit(150).select("qid", "bank_id", F.nullif(F.array_position(F.lit(["Brand#7", "Brand#3"]), F.col("bank_id")), F.lit(0)).cast("int").alias("place"))
