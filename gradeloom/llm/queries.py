@@ -104,6 +104,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.lexical import index, search
+
+    return search(index(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -147,6 +153,28 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length('<|im_start|>') + length(role) + 1 + length(shown) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op13_search": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS uid,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+            FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT uid, doc_id, len(ts) AS n, ts FROM d WHERE len(ts) > 0),
+        c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM l),
+        q AS (
+            SELECT item_id, t, count(*) AS r
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+            GROUP BY ALL),
+        p AS (SELECT uid, t, count(*) AS tf FROM (SELECT uid, unnest(ts) AS t FROM l) GROUP BY ALL),
+        w AS (
+            SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+            FROM (SELECT t, count(*) AS df FROM p GROUP BY t), c),
+        s AS (
+            SELECT item_id, uid, sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+            FROM q JOIN p USING (t) JOIN w USING (t) JOIN l USING (uid), c GROUP BY ALL),
+        o AS (
+            SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+            FROM s JOIN l USING (uid) WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 10""",
 }
 
 
