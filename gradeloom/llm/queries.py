@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -104,6 +104,27 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+#: Rows that arrived before it are laid out first; shares of the table that files hold.
+FIRST_UNTIL, SHARES = "2024-04-01 00:00:00", 800
+
+
+def moment(ts: Column, click_id: Column) -> Column:
+    """When a click counts as made: some are old, some are known by their week only."""
+    k, ts = F.crc32(click_id.cast("string").cast("binary")) % 128, ts.cast("timestamp_ntz")
+    monday = F.date_sub(ts.cast("date"), F.weekday(ts)).cast("timestamp_ntz")
+    days = ((k + 6) * (k + 6) * (k + 6)).cast("int")
+    return F.when(k < 16, ts - F.make_dt_interval(days)).when(k > 111, monday).otherwise(ts)
+
+
+def op12_time_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.time_parts import rewrite
+
+    clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet")
+    limit = 1 + clicks.count() // SHARES
+    first = F.col("arrived_at") < F.lit(FIRST_UNTIL).cast("timestamp_ntz")
+    return rewrite(clicks, moment(F.col("ts"), F.col("click_id")), ["arrived_at", "click_id"], limit, first, "click_id")
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeloom.llm.lexical import index, search
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors can reach.
+def shared_dir(spark: SparkSession, keep: bool = False) -> str:
+    """A new folder that the driver and all executors can reach; it goes with the session unless kept.
 
     The cluster names the parent in ``spark.checkpoint.dir``; where that is unset a local folder
     takes its place on a single machine, as in tests, and a cluster is refused.
@@ -33,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         top = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
         spark.sparkContext.setCheckpointDir(top)
     path = f"{top.rstrip('/')}/gradeloom-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not keep:
+        atexit.register(_remove, spark, path)
     return path
 
 
