@@ -104,6 +104,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.html_text import extract
+
+    found = extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 #: Rows that arrived before it are laid out first; shares of the table that files hold.
 FIRST_UNTIL, SHARES = "2024-04-01 00:00:00", 800
 
