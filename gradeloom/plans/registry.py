@@ -42,4 +42,4 @@ def query(sql: str | None = None, prelude: bool = True):
     return add
 
 
-from gradeloom.plans import analytics, arrivals, listings, pages, review, scalars, scores  # noqa: E402, F401
+from gradeloom.plans import analytics, arrivals, callbacks, listings, pages, review, scalars, scores  # noqa: E402, F401
