@@ -33,6 +33,12 @@ def area(b: Column) -> Column:
     return (b[2] - b[0]) * (b[3] - b[1])
 
 
+def overlap(a: Column, b: Column) -> Column:
+    """Area that boxes share."""
+    w, h = _shared(a, b, 0), _shared(a, b, 1)
+    return F.when(_four(a, b) & (w > 0) & (h > 0), w * h).otherwise(F.lit(0.0))
+
+
 def overlap_ratio(a: Column, b: Column) -> Column:
     """Intersection over the smaller area, areas counting as 1 at least."""
     w, h = _shared(a, b, 0), _shared(a, b, 1)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import geometry as G
+from gradeloom.operators.regions import box_join
 
 
 def range_join(points: DataFrame, ranges: DataFrame, on: list[str], point: str, low: str, high: str, order: str, keep: str = "first") -> DataFrame:
@@ -56,20 +57,11 @@ def preceding(left: DataFrame, right: DataFrame, on: list[str], at: str, value:
     return both.withColumn(name, hit).where(~F.col("_right")).select(*left.columns, name)
 
 
-def matched_boxes(left: DataFrame, right: DataFrame, on: list[str], condition, how: str = "inner") -> DataFrame:
-    """Boxes of the same group for which ``condition`` (of two boxes) holds."""
-    a, b = left.alias("a"), right.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
-    for c in same[1:]:
-        same[0] = same[0] & c
-    return a.join(b, same[0] & condition(F.col("a.box"), F.col("b.box")), how)
-
-
 def without_duplicates_of(fallback: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
     """Fallback boxes that no other box of the page covers: by 30% of area, or near above or
     below and 60% in width."""
     covered = lambda a, b: (G.overlap_ratio(a, b) >= 0.3) | ((G.x_overlap(a, b) >= 0.6) & (G.y_gap(a, b) <= 80))
-    return matched_boxes(fallback, others, on, covered, "left_anti")
+    return box_join(fallback, others, on, covered, "left_anti", margin=(0.0, 80.0))
 
 
 def by_key_or_position(left: DataFrame, right: DataFrame, key: str, position: str, value: str, name: str) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def kept_anchors(rows: DataFrame, group: list[str], at: str, least: int = 3) -> DataFrame:
-    """Anchors, without those closer than so many characters to the last one kept."""
+    """Anchors, without those less than so many characters after the last one kept."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at, kind="stable")
         out, last = [], None
         for i, x in zip(pdf.index, pdf[at], strict=True):
-            if last is None or x - last > least:
+            if last is None or x - last >= least:
                 out.append(i)
                 last = x
         return pdf.loc[out]
@@ -64,15 +64,16 @@ def merged_boxes(rows: DataFrame, group: list[str], gap: float, overlap: float =
 
 
 def clustered_boxes(rows: DataFrame, group: list[str], margin: float) -> DataFrame:
-    """Each box put into the first cluster that it comes near to; adds column cluster."""
+    """Each box put into the first cluster with which it, grown by a margin, shares area, from
+    the top down; adds column cluster."""
     schema = f"{rows.schema.simpleString()[7:-1]},cluster:int".replace(":", " ")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0"], kind="stable").copy()
+        pdf = pdf.sort_values(["y0", "x0", "x1", "y1"], kind="stable").copy()
         clusters: list[list[float]] = []
         own = []
         for x0, y0, x1, y1 in pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False):
-            k = next((k for k, c in enumerate(clusters) if x0 <= c[2] + margin and x1 >= c[0] - margin and y0 <= c[3] + margin and y1 >= c[1] - margin), len(clusters))
+            k = next((k for k, c in enumerate(clusters) if x0 - margin < c[2] and x1 + margin > c[0] and y0 - margin < c[3] and y1 + margin > c[1]), len(clusters))
             if k == len(clusters):
                 clusters.append([x0, y0, x1, y1])
             c = clusters[k]
@@ -105,28 +106,3 @@ def absorbed(seeds: DataFrame, texts: DataFrame, group: list[str], step: float =
         return pd.DataFrame(out, columns=[*group, "id", "y0", "y1", "absorbed"])
 
     return seeds.groupBy(*group).cogroup(texts.groupBy(*group)).applyInPandas(grow, schema)
-
-
-def connected_cells(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Cells (x, y) of a grid with their 4-neighbour component, from 0 by first cell."""
-    schema = f"{rows.schema.simpleString()[7:-1]},component:int".replace(":", " ")
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"]).copy()
-        cells = set(zip(pdf["x"], pdf["y"], strict=True))
-        of: dict = {}
-        n = 0
-        for cell in zip(pdf["x"], pdf["y"], strict=True):
-            if cell in of:
-                continue
-            stack = [cell]
-            while stack:
-                x, y = stack.pop()
-                if (x, y) in cells and (x, y) not in of:
-                    of[x, y] = n
-                    stack += [(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)]
-            n += 1
-        pdf["component"] = [of[c] for c in zip(pdf["x"], pdf["y"], strict=True)]
-        return pdf
-
-    return rows.groupBy(*group).applyInPandas(label, schema)

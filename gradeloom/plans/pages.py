@@ -8,6 +8,7 @@ from gradeloom.functions import geometry as G
 from gradeloom.functions import text as X
 from gradeloom.operators import documents as D
 from gradeloom.operators import joins as J
+from gradeloom.operators import regions as V
 from gradeloom.operators import sequential as Q
 from gradeloom.operators import windows as W
 from gradeloom.plans.registry import query
@@ -133,7 +134,7 @@ def spatial_containment(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     q = lines.where(MARK).select("page", "line_no", G.box(0, F.col("y0"), 1000, F.col("y0") + 34).alias("box"))
     r = lines.where(HEAD).select("page", F.col("line_no").alias("region"), G.box(0, F.col("y0"), 1000, F.col("y0") + 10).alias("box"))
-    return J.matched_boxes(q, r, ["page"], G.contains_y).select("a.page", "line_no", "region")
+    return V.box_join(q, r, ["page"], G.contains_y, axes=(1,)).select("a.page", "a.line_no", "b.region")
 
 
 @query(f""", v AS (SELECT page, line_no, y0, y0 + 10 AS y1 FROM lin WHERE {HEAD}), o AS (SELECT page, y0, y0 + 10 AS y1 FROM lin WHERE {MARK} AND NOT ({HEAD}))
@@ -149,7 +150,7 @@ def duplicate_visuals(spark, sf_dir):
     FROM a JOIN a b ON a.page = b.page AND a.line_no < b.line_no AND least(a.y1, b.y1) > greatest(a.y0, b.y0)""")
 def overlap_pairs(spark, sf_dir):
     rows = _lines(spark, sf_dir).where(MARK).select("page", "line_no", G.box(0, F.col("y0"), 1000, F.col("y0") + 5 + F.length("line") % 40).alias("box"))
-    out = J.matched_boxes(rows, rows, ["page"], G.intersects).where("a.line_no < b.line_no")
+    out = V.box_join(rows, rows, ["page"], G.intersects).where("a.line_no < b.line_no")
     return out.select("a.page", F.col("a.line_no").alias("l"), F.col("b.line_no").alias("r"), F.round(G.overlap_ratio(F.col("a.box"), F.col("b.box")), 4).alias("overlap"))
 
 

@@ -93,14 +93,15 @@ def test_split_and_merge(spark):
 
 def test_sequential(spark):
     a = spark.createDataFrame([(1, x) for x in (0, 2, 4, 5, 9)], "page int, at int")
+    # exactly three characters on is far enough
     assert rows(Q.kept_anchors(a, ["page"], "at"), "at") == [(0,), (4,), (9,)]
+    for far, n in ((2, 1), (3, 2), (4, 2)):
+        assert Q.kept_anchors(spark.createDataFrame([(1, 5), (1, 5 + far)], "page int, at int"), ["page"], "at").count() == n
     c = spark.createDataFrame([(1, 1, 1.0, "A"), (1, 2, 2.0, "B"), (1, 3, None, "x"), (1, 4, 1.0, "C")], "page int, o int, level double, title string")
     assert [r["path"] for r in Q.chapter_paths(c, ["page"], "o", "level", "title").orderBy("o").collect()] == ["A", "A/B", "A/B", "C"]
     b = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (1, 0.0, 12.0, 10.0, 20.0), (1, 50.0, 13.0, 60.0, 30.0)], "page int, x0 double, y0 double, x1 double, y1 double")
     assert rows(Q.merged_boxes(b, ["page"], 5), "n") == [(1,), (2,)]
     assert rows(Q.clustered_boxes(b, ["page"], 3), "cluster") == [(0,), (0,), (1,)]
-    cells = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 5, 5)], "g int, x int, y int")
-    assert rows(Q.connected_cells(cells, ["g"]), "component") == [(0,), (0,), (1,)]
     seeds = spark.createDataFrame([(1, 7, 100.0, 200.0)], "page int, id int, y0 double, y1 double")
     texts = spark.createDataFrame([(1, 210.0, 220.0), (1, 240.0, 250.0), (1, 400.0, 410.0)], "page int, y0 double, y1 double")
     assert rows(Q.absorbed(seeds, texts, ["page"])) == [(1, 7, 100.0, 250.0, 2)]
