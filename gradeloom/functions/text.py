@@ -113,16 +113,18 @@ def tokens(text: Column, least: int = 2) -> Column:
 
 def significant_tokens(text: Column) -> Column:
     """Distinct words that say what a text is about: Latin runs of two and more, Chinese runs
-    and their pairs of characters, without option labels, images and stop words."""
+    and their pairs of characters, without option labels, images and stop words.  Pairs are
+    made only of texts that have longer Chinese runs."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(?i)[A-D]\s*[.、．]", " "), r"!\[[^\]]*\]\([^)]+\)", " ")
-    runs = F.filter(F.regexp_extract_all(F.lower(bare), F.lit(rf"({CJK}+|[a-z0-9]{{2,}})")), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS))
+    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    runs = F.array_except(F.regexp_extract_all(F.lower(bare), F.lit(rf"({CJK}{{2,}}|[a-z0-9]{{2,}})")), stop)
 
     def pairs(w: Column) -> Column:
         own = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
         chinese = F.rlike(w, F.lit(rf"^{CJK}+$")) & (F.length(w) > 2)
         return F.when(chinese, F.concat(F.array(w), own)).otherwise(F.array(w))
 
-    return F.array_distinct(F.filter(F.flatten(F.transform(runs, pairs)), lambda w: ~w.isin(*STOP_WORDS)))
+    return F.when(F.rlike(text, F.lit(f"{CJK}{{3}}")), F.array_except(F.flatten(F.transform(runs, pairs)), stop)).otherwise(runs)
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -188,21 +190,31 @@ def stated_analysis(text: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), r"^\s+|\s+$", ""), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def anchors_in(text: Column) -> Column:
     """Anchors in a text, in order: start, index and label; where two forms start at one place
     the first form's counts."""
-    found = []
-    for form in ANCHORS:
-        whole = rf"(?Usm)(.*?)({form})"
-        part = [F.regexp_extract_all(text, F.lit(whole), F.lit(g)) for g in range(4)]
-        size = F.transform(part[0], F.length)
-        own = F.zip_with(part[2], part[3], lambda label, n: F.struct(label.alias("label"), n.cast("int").alias("index")))
-        starts = F.transform(part[1], lambda p, k: F.aggregate(F.slice(size, F.lit(1), k), F.lit(0), lambda a, b: a + b) + F.length(p))  # noqa: B023
-        found.append(F.zip_with(starts, own, lambda s, x: F.struct(s.alias("start"), x["index"].alias("index"), F.trim(x["label"]).alias("label"))))
-    out = found[0]
-    for more in found[1:]:
-        out = F.concat(out, F.filter(more, lambda m: ~F.exists(out, lambda o: o["start"] == m["start"])))  # noqa: B023
-    return F.array_sort(out)
+    from gradeloom.functions.marks import found
+
+    rows = [F.transform(found(text, f), lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("form"), m["index"].alias("index"), F.trim(m["label"]).alias("label"))) for k, f in enumerate(ANCHORS)]  # noqa: B023
+    first = lambda ordered: F.filter(ordered, lambda m, i: (i == 0) | (F.get(ordered, i - 1)["start"] < m["start"]))
+    return F.transform(let(F.array_sort(F.concat(*rows)), first), lambda m: m.dropFields("form"))
+
+
+def cut_at_anchors(text: Column) -> Column:
+    """A text's parts from each anchor to the next, as structs of index, label and block, the
+    white space around it gone; what stands before the first anchor is no part."""
+
+    def parts(own: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(own, i + 1)["start"], F.length(text))
+        block = lambda m, i: F.regexp_replace(F.substring(text, m["start"] + 1, end(i) - m["start"]), r"(?U)^\s+|\s+$", "")
+        return F.transform(own, lambda m, i: F.struct(m["index"].alias("index"), m["label"].alias("label"), block(m, i).alias("block")))
+
+    return let(anchors_in(text), parts)
 
 
 def logical_lines(text: Column) -> Column:
@@ -226,6 +238,16 @@ def split_options(text: Column, pattern: str = r"^\s*([A-D])\s*[.．、]\s*(.*)$
 CHAPTER_LINES = (r"^\s*第[一二三四五六七八九十百千万\d]+章\s*\S*", r"^\s*[一二三四五六七八九十]+[、.]\s*\S+", r"^\s*\d{1,2}[．.]\s*\S+", r"^\s*考法[一二三四五六七八九十\d]+\s*\S*")
 
 
+def chapter_level(line: Column) -> Column:
+    """Which of the forms of a chapter's name (from 0) a line has; null for lines above 60
+    characters and those that begin a question."""
+    from gradeloom.functions.marks import FORMS
+
+    asks = reduce(lambda a, b: a | b, [F.rlike(line, F.lit(rf"(?U){f}")) for f in FORMS[:5]]) & (F.length(line) > 8)
+    level = F.coalesce(*[F.when(F.rlike(line, F.lit(rf"(?U){f}")), F.lit(k)) for k, f in enumerate(CHAPTER_LINES)])
+    return F.when((F.length(line) <= 60) & ~asks, level)
+
+
 def stem_on_one_line(text: Column) -> Column:
     """A stem without lines that name a chapter, its white space single spaces."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.rlike(x, F.lit("|".join(CHAPTER_LINES))))

@@ -68,12 +68,6 @@ def summary(rows: DataFrame, key: list[str], conditions: dict[str, Column]) -> D
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("total"), *[count_if(c).alias(n) for n, c in conditions.items()])
 
 
-def coverage(boxes: DataFrame, key: list[str], area: float) -> DataFrame:
-    """The part of an area that boxes take, at most all of it."""
-    own = F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    return boxes.groupBy(*key).agg(F.least(F.lit(1.0), F.round(own / F.lit(area), 4)).alias("coverage"))
-
-
 def shared_owners(questions: DataFrame) -> DataFrame:
     """page and shared: whether an image or a visual has more than one owner among the page's
     questions (page, image_refs, visual_refs: structs of id and bbox)."""

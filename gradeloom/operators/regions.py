@@ -107,7 +107,25 @@ def connected_cells(cells: DataFrame, group: list[str]) -> DataFrame:
     return runs.join(numbered.select(*group, "run", "component"), [*group, "run"]).drop("run")
 
 
-def dark_regions(cells: DataFrame, existing: DataFrame, words: DataFrame, cell: float = 24.0, scale: float = 1.5, most: int = 4, question: str = r"(?:【\s*)?例\s*\d+|第\s*\d+\s*题|[A-D][.．、]|哪一年|年份是|超过|同比增量") -> DataFrame:
+#: Fixed value: texts that are a question's.
+QUESTION = r"(?:【\s*)?例\s*\d+|第\s*\d+\s*题|[A-D][.．、]|哪一年|年份是|超过|同比增量"
+
+
+def text_in(rects: DataFrame, words: DataFrame, on: list[str], question: str = QUESTION) -> DataFrame:
+    """Rectangles (unique rows, with box) with the words (box, text) that share area with them:
+    coverage, the words' whole areas over the rectangle's, which is at least 1; words, their
+    number; and asks, whether one of them reads like a question."""
+    key = rects.columns
+    met = box_join(rects, words.select(*on, "text", "box"), on, G.intersects)
+    told = met.groupBy(*[F.col(f"a.{c}").alias(c) for c in key]).agg(
+        F.sum(G.area(F.col("b.box"))).alias("_area"), F.count(F.lit(1)).alias("_words"), F.bool_or(F.rlike("b.text", F.lit(question))).alias("_asks")
+    )
+    both = rects.alias("l").join(told.alias("t"), reduce(lambda x, y: x & y, [F.col(f"l.{c}").eqNullSafe(F.col(f"t.{c}")) for c in key]), "left")
+    share = F.coalesce("_area", F.lit(0.0)) / F.greatest(G.area(F.col("l.box")), F.lit(1.0))
+    return both.select("l.*", share.alias("coverage"), F.coalesce("_words", F.lit(0)).alias("words"), F.coalesce("_asks", F.lit(False)).alias("asks"))
+
+
+def dark_regions(cells: DataFrame, existing: DataFrame, words: DataFrame, cell: float = 24.0, scale: float = 1.5, most: int = 4, question: str = QUESTION) -> DataFrame:
     """page, n (from 1) and box of each dark region of a page that may be a drawing.
 
     cells: page, x, y, dark, the dark pixels' share of a cell; existing: page and box of what is
@@ -124,12 +142,7 @@ def dark_regions(cells: DataFrame, existing: DataFrame, words: DataFrame, cell:
     regions = regions.where((b[2] - b[0] >= 100) & (b[3] - b[1] >= 50))
     share = lambda a, o: G.overlap(a, o) / F.greatest(G.area(a), F.lit(1.0))
     free = box_join(regions, existing.select("page", "box"), ["page"], lambda a, o: share(a, o) > 0.25, "left_anti")
-    read = box_join(free, words.select("page", "text", "box"), ["page"], G.intersects)
-    told = read.groupBy(F.col("a.page").alias("page"), F.col("a.component").alias("component")).agg(
-        F.sum(G.area(F.col("b.box"))).alias("covered"), F.count(F.lit(1)).alias("words"), F.bool_or(F.rlike("b.text", F.lit(question))).alias("asks")
-    )
-    kept = free.join(told, ["page", "component"], "left").where(
-        (F.coalesce("covered", F.lit(0.0)) / F.greatest(G.area(b), F.lit(1.0)) <= 0.25) & (F.coalesce("words", F.lit(0)) <= 18) & ~F.coalesce("asks", F.lit(False))
-    )
+    read = text_in(free.select("page", "component", "box"), words, ["page"], question)
+    kept = read.where((F.col("coverage") <= 0.25) & (F.col("words") <= 18) & ~F.col("asks"))
     place = F.row_number().over(Window.partitionBy("page").orderBy("component"))
     return kept.select("page", place.alias("n"), "box").where(F.col("n") <= most)

@@ -23,17 +23,18 @@ def kept_anchors(rows: DataFrame, group: list[str], at: str, least: int = 3) ->
 
 
 def chapter_paths(rows: DataFrame, group: list[str], order: str, level: str, title: str, most: int = 4) -> DataFrame:
-    """Each line's chapter path: a title of a level ends those of its level and below."""
+    """Each line's chapter path: a title of level n (from 0) follows the first n titles of the
+    path so far; lines without a level keep it."""
     schema = f"{rows.schema.simpleString()[7:-1]},path:string".replace(":", " ")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").copy()
-        stack: list[tuple[int, str]] = []
+        path: list[str] = []
         paths = []
         for lv, name in zip(pdf[level], pdf[title], strict=True):
             if not pd.isna(lv):
-                stack = [x for x in stack if x[0] < lv] + [(int(lv), name)]
-            paths.append("/".join(x[1] for x in stack[-most:]))
+                path = [*path[: int(lv)], name][-most:]
+            paths.append("/".join(path))
         pdf["path"] = paths
         return pdf
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradeloom.functions.marks import question_marks as marks
 from gradeloom.operators import arrivals as V
 from gradeloom.operators import groups as B
 from gradeloom.plans.registry import query
@@ -81,11 +80,3 @@ def run_summaries(spark, sf_dir):
     own = B.run_summary(pages, "user_id", F.when(F.col("request_status") == "ok", 1).otherwise(0))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return own.select("user_id", "pages_attempted", text("timeout_pages"), text("failed_pages"), F.col("visual_question_candidates").alias("candidates"))
-
-
-@query()
-def question_marks(spark, sf_dir):
-    """Marks of every whole text, numbered lines made of its own."""
-    docs = T.read(spark, sf_dir, "documents", "doc_id", "text")
-    own = F.concat(F.lit("1、"), F.col("text"), F.lit("\n第 2 题 "), F.col("text"))
-    return docs.select("doc_id", F.size(marks(own)).alias("n"))

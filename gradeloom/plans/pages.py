@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import geometry as G
 from gradeloom.functions import text as X
+from gradeloom.functions.marks import question_marks as question_marks_
+from gradeloom.operators import arrivals as A
 from gradeloom.operators import documents as D
 from gradeloom.operators import joins as J
 from gradeloom.operators import regions as V
@@ -164,17 +166,60 @@ def merged_visuals(spark, sf_dir):
     return Q.merged_boxes(rows, ["page"], 20.0)
 
 
-@query()
+@query(""", a AS (SELECT DISTINCT page, line_no * 2 + length(line) % 5 AS place FROM lin),
+    k(page, place) AS (SELECT page, min(place) FROM a GROUP BY 1 UNION ALL SELECT k.page, min(a.place) FROM k JOIN a ON a.page = k.page AND a.place >= k.place + 3 GROUP BY k.page, k.place)
+    SELECT page, CAST(place AS INTEGER) AS at FROM k""")
 def kept_anchors(spark, sf_dir):
     """Anchors a few characters after the last one kept go; each depends on those before."""
     rows = _lines(spark, sf_dir).select("page", (F.col("line_no") * 2 + F.length("line") % 5).alias("at"))
     return Q.kept_anchors(rows, ["page"], "at")
 
 
-@query()
+#: Names of chapters that lines are given, by their number; other lines are none.
+CHAPTERS = """CASE line_no % 9 WHEN 0 THEN concat('第', line_no % 90, '章 ') WHEN 2 THEN '三、' WHEN 3 THEN concat(line_no % 90, '.x') WHEN 5 THEN '考法二 '
+    WHEN 7 THEN concat(line_no % 90, '. ') ELSE '文 ' END"""
+
+
+@query(f""", t AS (SELECT page, line_no, concat({CHAPTERS}, if(line_no % 27 = 0, repeat('长', 60), ''), substring(line, 1, 12)) AS title FROM lin),
+    v AS (SELECT *, CASE WHEN line_no % 27 = 0 THEN NULL WHEN line_no % 9 = 0 THEN 0 WHEN line_no % 9 = 2 THEN 1 WHEN line_no % 9 = 3 THEN 2 WHEN line_no % 9 = 5 THEN 3
+        WHEN line_no % 9 = 7 AND length(title) <= 8 THEN 2 END AS level FROM t),
+    r(page, line_no, path) AS (
+        SELECT page, line_no, if(level IS NULL, [], [title]) FROM v WHERE line_no = 0
+        UNION ALL SELECT v.page, v.line_no, CASE WHEN level IS NULL THEN path ELSE list_append(path[1:level], title) END FROM r JOIN v ON v.page = r.page AND v.line_no = r.line_no + 1)
+    SELECT page, line_no, array_to_string(path, '/') AS path FROM r""")
 def chapter_paths(spark, sf_dir):
-    rows = _lines(spark, sf_dir).select("page", "line_no", F.when(F.expr(HEAD), F.length("line") % 4).cast("double").alias("level"), F.substring("line", 1, 12).alias("title"))
-    return Q.chapter_paths(rows, ["page"], "line_no", "level", "title")
+    title = F.concat(F.expr(CHAPTERS), F.when(F.col("line_no") % 27 == 0, F.lit("长" * 60)).otherwise(F.lit("")), F.substring("line", 1, 12))
+    rows = _lines(spark, sf_dir).select("page", "line_no", title.alias("title"))
+    rows = rows.withColumn("level", X.chapter_level(F.col("title")).cast("double"))
+    return Q.chapter_paths(rows, ["page"], "line_no", "level", "title").select("page", "line_no", "path")
+
+
+#: Numbers that lines are given, in all forms; some lines only look like a question.
+NUMBERED = """concat(CASE line_no % 9 WHEN 0 THEN concat('【例 ', {n}, '】 ') WHEN 1 THEN concat('例题', {n}, '、') WHEN 2 THEN concat('第 ', {n}, ' 题：') WHEN 3 THEN concat({n}, '. ')
+    WHEN 4 THEN concat({n}, '、') WHEN 5 THEN concat({n}, ' 根据') WHEN 6 THEN concat({n}, '') WHEN 7 THEN '12. 方法' ELSE '文 ' END,
+    CASE WHEN line_no % 9 = 6 THEN '' WHEN line_no % 18 = 4 THEN concat(substring(line, 1, 20), ' .... 7') ELSE line END)""".format(n="line_no % 9000 + 100")
+CONTENTS = r"'^.{1,80}(\.{4,}|…{2,})\s*[0-9]+\s*$'"
+
+
+@query(f""", t AS (SELECT page, line_no, {NUMBERED} AS line FROM lin),
+    s AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY page ORDER BY line_no) - length(line) - 1 AS BIGINT) AS start FROM t)
+    SELECT page, count(*) AS n, CAST(sum(line_no % 9000 + 100) AS BIGINT) AS indexes, CAST(sum(start) AS BIGINT) AS starts
+    FROM s WHERE line_no % 9 < 7 AND NOT regexp_matches(line, {CONTENTS}) GROUP BY 1""")
+def question_marks(spark, sf_dir):
+    """Marks of whole texts whose lines are numbered in all forms."""
+    text = _numbered(spark, sf_dir, NUMBERED)
+    out = text.select("page", F.explode(question_marks_(F.col("text"))).alias("m"))
+    return out.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.sum("m.index").alias("indexes"), F.sum(F.col("m.start").cast("long")).alias("starts"))
+
+
+def _numbered(spark, sf_dir, form):
+    rows = _lines(spark, sf_dir).select("page", "line_no", F.expr(form).alias("line"))
+    own = A.full_texts(rows, "page", "line_no", "line")
+    return own.select("page", F.concat("text", F.lit("\n")).alias("text"))
+
+
+ANCHORED = """concat(CASE line_no % 7 WHEN 0 THEN concat('【例 ', {n}, '】') WHEN 1 THEN concat('例', {n}, '：') WHEN 2 THEN concat('第 ', {n}, ' 题') WHEN 3 THEN concat({n}, '. ')
+    WHEN 5 THEN concat(' ', {n}, '、') ELSE '文 ' END, line)""".format(n="line_no % 9000")
 
 
 @query(f"""SELECT page, max(line_no) AS last FROM lin WHERE {HEAD} GROUP BY 1""")
@@ -195,15 +240,23 @@ def candidate_summary(spark, sf_dir):
     return D.summary(_lines(spark, sf_dir), ["page"], {"addable": F.expr(MARK), "manual": F.expr(HEAD), "ended": F.col("line").like("%.")})
 
 
-@query("""SELECT page, round(least(1.0, sum(10.0 * 1000) / 1000000.0), 4) AS coverage FROM lin GROUP BY 1""")
+@query(f""", r AS (SELECT page, line_no, 100.0 AS x0, y0 - 20 AS y0, 600.0 AS x1, y0 + 40 AS y1 FROM lin WHERE {MARK}),
+    w AS (SELECT page, y0, y0 + 10 AS y1, 0.0 AS x0, length(line) * 5.0 AS x1 FROM lin)
+    SELECT r.page, line_no, sum(coalesce((w.x1 - w.x0) * (w.y1 - w.y0), 0)) / 30000.0 AS coverage, count(w.page) AS words
+    FROM r LEFT JOIN w ON w.page = r.page AND least(w.x1, r.x1) > greatest(w.x0, r.x0) AND least(w.y1, r.y1) > greatest(w.y0, r.y0) GROUP BY 1, 2""")
 def text_coverage(spark, sf_dir):
-    rows = _lines(spark, sf_dir).select("page", F.lit(0.0).alias("x0"), F.col("y0").cast("double").alias("y0"), F.lit(1000.0).alias("x1"), (F.col("y0") + 10).cast("double").alias("y1"))
-    return D.coverage(rows, ["page"], 1_000_000.0)
+    """How much of a rectangle around each marked line words take, which may be more than all."""
+    lines = _lines(spark, sf_dir)
+    rects = lines.where(MARK).select("page", "line_no", G.box(100, F.col("y0") - 20, 600, F.col("y0") + 40).alias("box"))
+    words = lines.select("page", F.col("line").alias("text"), G.box(0, F.col("y0"), F.length("line") * 5, F.col("y0") + 10).alias("box"))
+    return V.text_in(rects, words, ["page"]).select("page", "line_no", "coverage", "words")
 
 
-@query(""", s AS (SELECT doc_id, unnest(string_split(text, '. ')) AS piece, generate_subscripts(string_split(text, '. '), 1) AS k FROM documents)
-    SELECT doc_id, CAST(k - 1 AS INTEGER) AS part, piece FROM s""")
+@query(f""", t AS (SELECT page, line_no, {ANCHORED} AS line, line_no % 7 IN (0, 1, 2, 3, 5) AS anchor FROM lin),
+    g AS (SELECT *, sum(CAST(anchor AS INTEGER)) OVER (PARTITION BY page ORDER BY line_no) AS part FROM t),
+    b AS (SELECT page, part, any_value(line_no % 9000) FILTER (anchor) AS index, trim(string_agg(line, chr(10) ORDER BY line_no), ' ' || chr(10)) AS block FROM g WHERE part > 0 GROUP BY 1, 2)
+    SELECT page, CAST(part - 1 AS INTEGER) AS part, CAST(index AS INTEGER) AS index, md5(block) AS digest FROM b""")
 def text_at_anchors(spark, sf_dir):
-    """Texts cut at anchors, each part up to the next."""
-    d = T.read(spark, sf_dir, "documents", "doc_id", "text")
-    return d.select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("part", "piece"))
+    """Whole texts cut at their anchors, each part up to the next."""
+    text = _numbered(spark, sf_dir, ANCHORED)
+    return text.select("page", F.posexplode(X.cut_at_anchors(F.col("text"))).alias("part", "p")).select("page", "part", "p.index", F.md5("p.block").alias("digest"))

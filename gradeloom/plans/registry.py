@@ -11,7 +11,7 @@ SQL: dict[str, str] = {}
 AS_OF = "2024-01-31 00:00:00"
 
 #: Views of the tables in the platform's shape, as the sources module makes them.
-WITH = """WITH rec AS (
+WITH = """WITH RECURSIVE rec AS (
     SELECT event_id AS id, user_id, ts AS created_at, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS question_id,
            event_type <> 'error' AS is_correct, value > 20 AS is_mastered, event_type = 'signup' AS removed_from_wrong, value
     FROM events),

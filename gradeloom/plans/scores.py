@@ -17,16 +17,15 @@ TOKENS = """, d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(regexp
 """
 
 
-@query(TOKENS + """SELECT documents.doc_id, documents.doc_id % 40 AS item_id, coalesce(shared, 0) AS shared, CASE WHEN size IS NULL THEN 0
-    WHEN shared >= 10 AND shared / CAST(least(size, 30) AS DOUBLE) >= 0.35 THEN 35 WHEN shared >= 6 AND shared / CAST(least(size, 30) AS DOUBLE) >= 0.25 THEN 25
-    WHEN shared >= 3 AND shared / CAST(least(size, 30) AS DOUBLE) >= 0.15 THEN 15 ELSE 0 END AS evidence
-    FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN o ON o.doc_id = documents.doc_id AND o.item_id = documents.doc_id % 40""")
+@query(TOKENS + """, e AS (SELECT o.doc_id, item_id, shared, CASE
+        WHEN shared >= 10 AND shared / CAST(least(size, 30) AS DOUBLE) >= 0.35 THEN 35 WHEN shared >= 6 AND shared / CAST(least(size, 30) AS DOUBLE) >= 0.25 THEN 25
+        WHEN shared >= 3 AND shared / CAST(least(size, 30) AS DOUBLE) >= 0.15 THEN 15 ELSE 0 END AS evidence FROM o JOIN n USING (doc_id))
+    SELECT * FROM e WHERE evidence > 0""")
 def token_overlap(spark, sf_dir):
-    q = T.read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), X.significant_tokens(F.col("text")).alias("q"))
+    """Documents and benchmark items, all with all, that words tell to belong together."""
+    q = T.read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.significant_tokens(F.col("text")).alias("q"))
     s = T.read(spark, sf_dir, "benchmark").select("item_id", X.significant_tokens(F.col("text")).alias("s"))
-    both = q.join(s, "item_id", "left")
-    shared = F.coalesce(X.overlap(F.col("q"), F.col("s")), F.lit(0))
-    return both.select("doc_id", "item_id", shared.cast("long").alias("shared"), S.text_evidence(shared, F.size("q")).alias("evidence"))
+    return S.evidence_pairs(q, s, ("doc_id", "q"), ("item_id", "s"))
 
 
 def _match_inputs(spark, sf_dir):

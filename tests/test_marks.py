@@ -1,23 +1,65 @@
 from __future__ import annotations
 
+import random
+import re
+
 from gradeloom.functions import marks as K
+from gradeloom.functions import text as X
+
+TEXTS = [
+    "【例 1】 甲\n例题2、乙\n第 3 题：丙\n4. 下列\n5、丁\n6 根据图\n7\n8.无空\n1. 方法总结\n第一节 ...... 12\n12345 从\n 9) x",
+    "1\n2\n3",
+    "7\n\n8、a",
+    "",
+    None,
+    "1、a\n22、b",
+    "3　下列\n\n\n 12、 x\r\n13、y",
+]
+
+
+def plain(text):
+    """start, end, index of the marks kept, form by form in Python."""
+    spans = set()
+    for form in K.FORMS:
+        for m in re.finditer("(?m)" + form, text or ""):
+            line = text[m.start() :].split("\n", 1)[0].strip()
+            if not re.match(K.CONTENTS_LINE, line) and not re.match(K.HEADING_LINE, line):
+                spans.add((m.start(), -m.end(), int(m[1])))
+    out = []
+    for start, end, index in sorted(spans):
+        if not out or start - out[-1][0] >= K.NEAR:
+            out.append((start, -end, index))
+    return out
+
+
+def made(rng):
+    parts = ["【例 %d】", "例题%d", "第%d题", "%d. ", "%d、", "%d 关于", "%d", "1. 目录", "\n", " ", "文", "章 .... 3", "%d)"]
+    return "".join(rng.choice(parts).replace("%d", str(rng.randrange(2000))) + rng.choice(["", "\n", "\n\n", "甲乙"]) for _ in range(30))
+
+
+def test_against_python(spark):
+    texts = TEXTS + [made(random.Random(k)) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.m for r in df.select("id", K.question_marks(df.t).alias("m")).collect()}
+    for k, text in enumerate(texts):
+        assert [(m.start, m.end, m["index"]) for m in got[k]] == plain(text), text
+        assert all(text[m.start : m.end] == m.label for m in got[k])
+    assert [m["index"] for m in got[0]] == [1, 2, 3, 4, 5, 6, 7, 9] and [m["index"] for m in got[1]] == [1, 3]
 
 
-def test_marks():
-    text = "【例 1】 甲\n例题2、乙\n第 3 题：丙\n4. 下列\n5、丁\n6 根据图\n7\n8.无空\n1. 方法总结\n第一节 ...... 12\n12345 从\n 9) x"
-    got = list(K.marks_in(text))
-    assert [m[2] for m in got] == [1, 2, 3, 4, 5, 6, 7, 9]
-    assert all(text[a:b] == label for a, b, _, label in got)
-    assert [m[3] for m in got][:3] == ["【例 1】 ", "例题2、", "第 3 题"]
+def test_no_python_in_the_plan(spark):
+    df = spark.createDataFrame([("1、a",)], "t string")
+    assert "Python" not in df.select(K.question_marks(df.t))._jdf.queryExecution().executedPlan().toString()
 
 
-def test_near_and_odd_marks():
-    assert [m[2] for m in K.marks_in("1\n2\n3")] == [1, 3]
-    assert [(m[0], m[2]) for m in K.marks_in("7\n\n8、a")] == [(0, 7)]
-    assert list(K.marks_in("")) == []
+def test_cut_at_anchors(spark):
+    df = spark.createDataFrame([("x\n 1. a\nb \n第 2 题 c 例 3：d",), ("none",), ("",), (None,)], "t string")
+    got = [r.p for r in df.select(X.cut_at_anchors(df.t).alias("p")).collect()]
+    assert [(p["index"], p.block) for p in got[0]] == [(1, "1. a\nb"), (2, "第 2 题 c"), (3, "例 3：d")]
+    assert [list(p) if p is not None else None for p in got[1:]] == [[], [], None]
 
 
-def test_column(spark):
-    rows = spark.createDataFrame([(1, "1、a\n22、b"), (2, None), (3, "")], "id int, t string")
-    got = {r["id"]: [(m["start"], m["end"], m["index"], m["label"]) for m in r["m"]] for r in rows.select("id", K.question_marks(rows["t"]).alias("m")).collect()}
-    assert got == {1: [(0, 2, 1, "1、"), (4, 7, 22, "22、")], 2: [], 3: []}
+def test_chapter_level(spark):
+    lines = ["第一章 x", "三、乙", "12.丙", "考法三", "12. 丙丙丙丙丙", "文", "第一章" + "长" * 60, "12. 丙"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "k int, t string")
+    assert [r.v for r in df.orderBy("k").select(X.chapter_level(df.t).alias("v")).collect()] == [0, 1, 2, 3, None, None, None, 2]

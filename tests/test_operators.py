@@ -97,8 +97,8 @@ def test_sequential(spark):
     assert rows(Q.kept_anchors(a, ["page"], "at"), "at") == [(0,), (4,), (9,)]
     for far, n in ((2, 1), (3, 2), (4, 2)):
         assert Q.kept_anchors(spark.createDataFrame([(1, 5), (1, 5 + far)], "page int, at int"), ["page"], "at").count() == n
-    c = spark.createDataFrame([(1, 1, 1.0, "A"), (1, 2, 2.0, "B"), (1, 3, None, "x"), (1, 4, 1.0, "C")], "page int, o int, level double, title string")
-    assert [r["path"] for r in Q.chapter_paths(c, ["page"], "o", "level", "title").orderBy("o").collect()] == ["A", "A/B", "A/B", "C"]
+    c = spark.createDataFrame([(1, 1, 0.0, "A"), (1, 2, 3.0, "B"), (1, 3, None, "x"), (1, 4, 1.0, "C"), (1, 5, 3.0, "D"), (1, 6, 0.0, "E")], "page int, o int, level double, title string")
+    assert [r["path"] for r in Q.chapter_paths(c, ["page"], "o", "level", "title").orderBy("o").collect()] == ["A", "A/B", "A/B", "A/C", "A/C/D", "E"]
     b = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (1, 0.0, 12.0, 10.0, 20.0), (1, 50.0, 13.0, 60.0, 30.0)], "page int, x0 double, y0 double, x1 double, y1 double")
     assert rows(Q.merged_boxes(b, ["page"], 5), "n") == [(1,), (2,)]
     assert rows(Q.clustered_boxes(b, ["page"], 3), "cluster") == [(0,), (0,), (1,)]
