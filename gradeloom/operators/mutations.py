@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,38 +97,6 @@ def final_states(events: DataFrame, key: str, order: str) -> DataFrame:
     return out.select(key, F.col("_s.status").alias("status"), F.col("_s.refused").alias("refused"))
 
 
-def resolved_versions(rows: DataFrame, task: str, order: str, index: str, signature: str, score: str) -> DataFrame:
-    """What a task's arriving questions leave behind, in order of arrival: one with a known
-    signature replaces that one if it scores higher; else one with a known index replaces
-    that one if it scores higher by more than 1; else it is added.
-
-    Whether a row is kept depends on those before it, so a task's rows meet in one place (a
-    task is one paper)."""
-    schema = rows.schema
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        by_signature: dict = {}
-        by_index: dict = {}
-        for row in pdf.sort_values(order, kind="stable").to_dict("records"):
-            known = by_signature.get(row[signature]) if row[signature] is not None else None
-            more = 0
-            if known is None:
-                known, more = by_index.get(row[index]), 1
-            if known is None:
-                known = len(kept)
-                kept.append(row)
-            elif row[score] > kept[known][score] + more:
-                kept[known] = row
-            else:
-                continue
-            by_signature[row[signature]] = known
-            by_index[row[index]] = known
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return rows.groupBy(task).applyInPandas(settle, schema)
-
-
 def with_refreshed(questions: DataFrame, stats: DataFrame, key: str, columns: list[str], fresh: Callable[[str], Column] | None = None) -> DataFrame:
     """Materialised figures computed anew."""
     own = stats.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])

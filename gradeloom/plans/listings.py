@@ -9,6 +9,7 @@ from gradeloom.functions import text as X
 from gradeloom.operators import joins as J
 from gradeloom.operators import mutations as M
 from gradeloom.operators import paging as P
+from gradeloom.operators import versions as N
 from gradeloom.operators import windows as W
 from gradeloom.plans.registry import query
 from gradeloom.sources import tables as T
@@ -298,11 +299,56 @@ def task_transitions(spark, sf_dir):
     return M.final_states(T.read(spark, sf_dir, "events").select("user_id", "event_id", event.alias("event")), "user_id", "event_id")
 
 
-@query()
+VERSIONS = """WITH RECURSIVE p AS (
+        SELECT p_brand AS task, p_partkey AS arrival, CAST(floor(p_partkey / 300) AS INTEGER) AS batch, p_size % 12 AS index_num,
+               if(p_size % 9 = 0, NULL, p_type || p_size % 5) AS sig, CAST(floor(p_retailprice) AS INTEGER) % 20 AS score, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k
+        FROM part),
+    r AS (
+        SELECT task, arrival, batch, k, 0 AS question, 'inserted' AS action, [{'sig': sig, 'idx': index_num, 'score': score}] AS qs,
+               [{'sig': sig, 'q': 1, 'score': score}] AS sigs, [{'idx': index_num, 'q': 1}] AS idxs
+        FROM p WHERE k = 1
+        UNION ALL
+        SELECT task, arrival, batch, k, CAST(n - 1 AS INTEGER), action,
+               CASE action WHEN 'inserted' THEN list_append(qs, {'sig': sig, 'idx': index_num, 'score': score})
+                   WHEN 'replaced' THEN list_concat(qs[1:n - 1], [{'sig': sig, 'idx': index_num, 'score': score}], qs[n + 1:]) ELSE qs END,
+               if(action = 'inserted', list_append(sigs, {'sig': sig, 'q': n, 'score': score}), sigs),
+               if(action = 'removed', idxs, list_append(idxs, {'idx': index_num, 'q': n}))
+        FROM (
+            SELECT *, coalesce(s.q, i.q, len(qs) + 1)::INTEGER AS n,
+                   CASE WHEN s IS NOT NULL THEN if(score > s.score, 'replaced', 'removed') WHEN i IS NOT NULL THEN if(score > qs[i.q].score + 1, 'replaced', 'removed') ELSE 'inserted' END AS action
+            FROM (
+                SELECT *, list_filter(sigs, lambda x: x.sig = v.sig)[-1] AS s, list_filter(idxs, lambda x: x.idx = v.index_num)[-1] AS i
+                FROM (
+                    SELECT p.*, qs, if(p.batch = r.batch, sigs, list_transform(qs, lambda x, j: {'sig': x.sig, 'q': j::INTEGER, 'score': x.score})) AS sigs,
+                           if(p.batch = r.batch, idxs, list_transform(qs, lambda x, j: {'idx': x.idx, 'q': j::INTEGER})) AS idxs
+                    FROM r JOIN p ON p.task = r.task AND p.k = r.k + 1) v)))
+"""
+
+
+def _settled(spark, sf_dir):
+    n = F.col("p_size")
+    p = T.read(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("task"), F.col("p_partkey").alias("arrival"), F.floor(F.col("p_partkey") / 300).cast("int").alias("batch"), (n % 12).alias("index_num"),
+        F.when(n % 9 != 0, F.concat("p_type", (n % 5).cast("string"))).alias("sig"), (F.floor("p_retailprice").cast("int") % 20).alias("score"),
+    )
+    return N.settled(p, "task", "batch", "arrival", "index_num", "sig", "score")
+
+
+@query(VERSIONS + "SELECT task, arrival, question, action FROM r", prelude=False)
 def version_resolution(spark, sf_dir):
-    """Arriving versions settled by signature, then by index; order decides, so no SQL."""
-    p = T.read(spark, sf_dir, "part").select(F.col("p_brand").alias("task"), F.col("p_partkey").alias("arrival"), F.col("p_size").alias("index_num"), X.signature(F.col("p_name")).alias("sig"), (F.col("p_retailprice").cast("int") % 20).alias("score"))
-    return M.resolved_versions(p, "task", "arrival", "index_num", "sig", "score")
+    """Arriving versions settled by signature, then by index, in order of arrival."""
+    return _settled(spark, sf_dir).select("task", "arrival", "question", "action")
+
+
+@query(VERSIONS + """SELECT task, count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action = 'replaced') AS replaced, count(*) FILTER (action = 'removed') AS removed,
+    count(*) FILTER (action <> 'inserted') AS detected, count(*) FILTER (action <> 'removed') AS saved, CAST(sum(last) AS BIGINT) AS last_arrivals
+    FROM r JOIN (SELECT task, question, max(arrival) FILTER (action <> 'removed') AS l FROM r GROUP BY 1, 2) m USING (task, question),
+    LATERAL (SELECT if(action = 'inserted', l, 0) AS last) GROUP BY 1""", prelude=False)
+def version_counters(spark, sf_dir):
+    """Counters of the same, and which row each question ends with (their arrivals' sum)."""
+    decided = _settled(spark, sf_dir)
+    last = N.final_versions(decided, "task", "batch", "arrival").groupBy("task").agg(F.sum("arrival").alias("last_arrivals"))
+    return N.version_counts(decided, "task").join(last, "task")
 
 
 @query("SELECT qid, bank_id, CASE WHEN bank_id = 'Brand#7' THEN 1 WHEN bank_id = 'Brand#3' THEN 2 END AS place FROM que ORDER BY place NULLS LAST, qid LIMIT 150")

@@ -12,6 +12,7 @@ from gradeloom.operators import providers as V
 from gradeloom.operators import scoring as S
 from gradeloom.operators import sequential as Q
 from gradeloom.operators import stats
+from gradeloom.operators import versions as N
 from gradeloom.operators import windows as W
 from gradeloom.sources import tables as T
 from gradeloom.sources import writers as K
@@ -73,10 +74,34 @@ def test_group_warnings(spark):
     assert got == sorted(["duplicate_question_index", "options_incomplete", "image_ref_missing", "multiple_question_anchors", "teaching_text_mixed", "page_range_mismatch", "visual_hint_without_image"])
 
 
-def test_versions(spark):
-    """By signature a higher score replaces; by index it must be higher by more than 1."""
-    df = spark.createDataFrame([(1, 1, 1, "a", 5), (1, 2, 1, "b", 6), (1, 3, 1, "c", 7), (1, 4, 9, "c", 8), (1, 5, 2, None, 1)], "task int, o int, i int, sig string, score int")
-    assert rows(M.resolved_versions(df, "task", "o", "i", "sig", "score"), "o") == [(4,), (5,)]
+@pytest.mark.parametrize("batches", [1, 2])
+def test_versions(spark, batches):
+    """By signature a higher score replaces; by index it must be higher by more than 1.  A batch
+    does not know the signature that came with a row which took another's place in it."""
+    data = [(1, 1, "a", 5), (2, 1, "b", 6), (3, 1, "c", 7), (4, 9, "c", 8), (5, 2, None, 1), (6, None, None, None)]
+    df = spark.createDataFrame([(1, o // 4 if batches == 2 else 0, o, i, sig, v) for o, i, sig, v in data], "task int, batch int, o int, i int, sig string, score int")
+    got = N.settled(df, "task", "batch", "o", "i", "sig", "score")
+    actions = [(r.question, r.action) for r in got.orderBy("o").collect()]
+    fourth = (0, "replaced") if batches == 2 else (1, "inserted")
+    n = fourth[0] + 1 if batches == 1 else 1
+    assert actions == [(0, "inserted"), (0, "removed"), (0, "replaced"), fourth, (n, "inserted"), (n + 1, "inserted")]
+    kept = rows(N.final_versions(got, "task", "batch", "o"), "o")
+    assert kept == ([(4,), (5,), (6,)] if batches == 2 else [(3,), (4,), (5,), (6,)])
+    c = N.version_counts(got, "task").first()
+    assert c.detected == c.replaced + c.removed and c.saved == c.inserted + c.replaced and c.inserted + c.detected == 6
+
+
+def test_versions_fold_streams(spark):
+    """A task of many rows is folded batch by batch of the worker's."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.range(500).selectExpr("id % 3 AS task", "0 AS batch", "id AS o", "cast(id % 11 AS int) AS i", "cast(id % 13 AS string) AS sig", "cast(id % 17 AS int) AS score")
+        got = N.settled(df, "task", "batch", "o", "i", "sig", "score").groupBy("task", "action").count().collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    whole = N.settled(df, "task", "batch", "o", "i", "sig", "score").groupBy("task", "action").count().collect()
+    assert sorted(got) == sorted(whole) and sum(r["count"] for r in got) == 500
 
 
 def test_transitions(spark):
