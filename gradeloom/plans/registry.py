@@ -42,4 +42,4 @@ def query(sql: str | None = None, prelude: bool = True):
     return add
 
 
-from gradeloom.plans import analytics, arrivals, cached, callbacks, listings, pages, regions, review, scalars, scores  # noqa: E402, F401
+from gradeloom.plans import analytics, arrivals, cached, callbacks, linking, listings, pages, regions, review, scalars, scores  # noqa: E402, F401
