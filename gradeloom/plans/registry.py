@@ -42,4 +42,4 @@ def query(sql: str | None = None, prelude: bool = True):
     return add
 
 
-from gradeloom.plans import analytics, arrivals, cached, callbacks, golden_cases, linking, listings, pages, regions, review, reviewed, scalars, scores  # noqa: E402, F401
+from gradeloom.plans import analytics, arrivals, cached, callbacks, golden_cases, linking, listings, page_batches, pages, regions, review, reviewed, scalars, scores  # noqa: E402, F401
