@@ -21,7 +21,7 @@ def test_a_question_over_the_border_comes_once(spark):
     assert all(whole.count(f"{n}、") == 1 for n in (1, 2, 3, 4))
 
     def parse(batches):
-        found = F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^(\d+)、"), F.lit(1))).cast("int")
+        found = F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^(\d+)、"), F.lit(1)).cast("array<int>"))
         return batches.select("doc", found.alias("index")).withColumn("answer", F.when(F.col("index") == 2, F.lit("Z")))
 
     pages = frame(spark, [*texts, "参考答案\n1. A 2. B （3）√ 3、错 1、C"])
