@@ -66,10 +66,10 @@ def y_gap(a: Column, b: Column) -> Column:
 
 
 def near_in_x(a: Column, b: Column, margin: float = 36.0, band: float = 0.55) -> Column:
-    """Overlapping in x, or centred within a margin and band of the wider one."""
-    wider = F.greatest(a[2] - a[0], b[2] - b[0])
-    centres = F.abs((a[0] + a[2]) / 2 - (b[0] + b[2]) / 2)
-    return (_shared(a, b, 0) >= -margin) | (centres <= wider * band)
+    """At most a margin apart in x, or one of them takes most of the band that both are in."""
+    width = lambda c: _least_one(c[2] - c[0])
+    both = _least_one(F.greatest(a[2], b[2]) - F.least(a[0], b[0]))
+    return (_shared(a, b, 0) >= -margin) | (width(a) / both >= band) | (width(b) / both >= band)
 
 
 def intersects(a: Column, b: Column, closed: bool = False) -> Column:

@@ -107,6 +107,54 @@ def connected_cells(cells: DataFrame, group: list[str]) -> DataFrame:
     return runs.join(numbered.select(*group, "run", "component"), [*group, "run"]).drop("run")
 
 
+#: How near a caption is to what has absorbed so far, and texts that begin a question or an option.
+STEP = 28.0
+BEGINS = r"(?U)^\s*(?:(?:【\s*)?例\s*\d+|第\s*\d+\s*题|[A-D][.．、])"
+
+
+def _climbed(seeds: DataFrame, captions: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
+    """Captions that seeds absorb above them, a row of captions a round, all seeds at once, until
+    no seed finds another."""
+    key, cell = [*on, "id"], 32.0
+    at = lambda c: F.floor(c / cell)
+    texts = captions.select(*on, "text_id", F.col("box").alias("_c"), at(F.col("box")[3]).alias("_b"))
+    walls = blocks.select(*on, F.col("box").alias("_w"), at(F.col("box")[1]).alias("_b"))
+    now = written(seeds.select(*key, "box", F.col("box")[1].alias("top")))
+    taken: list[DataFrame] = []
+    while True:
+        top, low = F.col("top"), F.col("_c")[3]
+        met = now.withColumn("_b", F.explode(F.sequence(at(top - STEP), at(top + 1)))).join(texts, [*on, "_b"]).drop("_b")
+        met = met.where((low <= top + 1) & (top - low <= STEP) & G.near_in_x(F.col("box"), F.col("_c")))
+        if taken:
+            met = met.join(reduce(DataFrame.unionByName, taken), [*key, "text_id"], "left_anti")
+        between = met.withColumns({"_l": F.least(low, top) - 0.5, "_h": F.greatest(low, top) + 0.5})
+        between = between.withColumn("_b", F.explode(F.sequence(at(F.col("_l")), at(F.col("_h"))))).join(walls, [*on, "_b"])
+        shut = between.where((F.col("_w")[1] >= F.col("_l")) & (F.col("_w")[3] <= F.col("_h"))).select(*key, "text_id").distinct()
+        free = met.join(shut, [*key, "text_id"], "left_anti").withColumn("_near", F.max(low).over(Window.partitionBy(*key)))
+        band = F.array(F.col("_c")[0], F.col("_near") - 2, F.col("_c")[2], F.col("_near") + 2)
+        row = written(free.where((F.abs(low - F.col("_near")) <= 2) | (G.y_overlap(F.col("_c"), band) > 0)).select(*key, "text_id", "box", "top", F.col("_c")[1].alias("_top")))
+        if row.isEmpty():
+            break
+        taken.append(row.select(*key, "text_id"))
+        # a seed that found nothing is done
+        now = written(row.groupBy(*key).agg(F.first("box").alias("box"), F.least(F.min("top"), F.min("_top")).alias("top")))
+    return reduce(DataFrame.unionByName, taken) if taken else now.select(*key, F.lit(None).cast(captions.schema["text_id"].dataType).alias("text_id")).limit(0)
+
+
+def absorbed_captions(seeds: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
+    """on, id and text_id of the captions that each seed (id, box) takes in, from the nearest row
+    above and below on, as long as the next is within 28 of what it has, near it in x, and no
+    question or option stands between.  texts: on, text_id (unique in a group), type, text, box."""
+    asks = F.col("type").isin("question_marker", "option") | F.rlike(F.coalesce("text", F.lit("")), F.lit(BEGINS))
+    asks = F.coalesce(asks, F.lit(False))
+    rows = written(texts.where(F.size("box") == 4).select(*on, "text_id", "box", asks.alias("_asks"), (F.col("type") == "caption").alias("_caption")))
+    captions, blocks = rows.where(F.col("_caption") & ~F.col("_asks")), rows.where("_asks")
+    own = seeds.where(F.size("box") == 4)
+    # what lies below lies above once the page is turned over
+    turned = lambda df: df.withColumn("box", F.array(F.col("box")[0], -F.col("box")[3], F.col("box")[2], -F.col("box")[1]))
+    return _climbed(own, captions, blocks, on).unionByName(_climbed(turned(own), turned(captions), turned(blocks), on)).distinct()
+
+
 #: Fixed value: texts that are a question's.
 QUESTION = r"(?:【\s*)?例\s*\d+|第\s*\d+\s*题|[A-D][.．、]|哪一年|年份是|超过|同比增量"
 

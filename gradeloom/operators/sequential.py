@@ -84,26 +84,3 @@ def clustered_boxes(rows: DataFrame, group: list[str], margin: float) -> DataFra
         return pdf
 
     return rows.groupBy(*group).applyInPandas(assign, schema)
-
-
-def absorbed(seeds: DataFrame, texts: DataFrame, group: list[str], step: float = 28.0) -> DataFrame:
-    """Each seed box (id, y0, y1) grown over the lines (y0, y1) above and below it for as long
-    as one is within a step of it; adds column absorbed, their number."""
-    kind = {f.name: f.dataType.simpleString() for f in seeds.schema}
-    schema = ", ".join(f"{g} {kind[g]}" for g in group) + f", id {kind['id']}, y0 double, y1 double, absorbed int"
-
-    def grow(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in left.to_dict("records"):
-            low, high, n = row["y0"], row["y1"], 0
-            free = list(right[["y0", "y1"]].itertuples(index=False)) if len(right) else []
-            while True:
-                near = [t for t in free if t[1] >= low - step and t[0] <= high + step]
-                if not near:
-                    break
-                free = [t for t in free if t not in near]
-                low, high, n = min([low, *(t[0] for t in near)]), max([high, *(t[1] for t in near)]), n + len(near)
-            out.append([*(row[g] for g in group), row["id"], float(low), float(high), n])
-        return pd.DataFrame(out, columns=[*group, "id", "y0", "y1", "absorbed"])
-
-    return seeds.groupBy(*group).cogroup(texts.groupBy(*group)).applyInPandas(grow, schema)

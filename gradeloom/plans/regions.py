@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import geometry as G
@@ -118,3 +119,45 @@ def dark_regions(spark, sf_dir):
 def clustered_boxes(spark, sf_dir):
     rows = _lines(spark, sf_dir).withColumn("page", F.floor(F.col("l_orderkey") / 4)).select("page", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
     return Q.clustered_boxes(rows, ["page"], 18.0).groupBy("page", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH RECURSIVE l AS (
+        SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS page, row_number() OVER (PARTITION BY floor(l_orderkey / 8) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id,
+               l_partkey % 30 * 12.0 AS x, l_suppkey % 25 * 11.0 AS y
+        FROM lineitem),
+    t AS (SELECT page, id, x AS x0, y AS y0, x + 90 AS x1, y + 9 AS y1, id % 9 = 8 AS asks FROM l WHERE id % 3 <> 0),
+    g AS (SELECT page, list({'id': id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}) FILTER (NOT asks) AS caps, coalesce(list({'y0': y0, 'y1': y1}) FILTER (asks), []) AS walls FROM t GROUP BY 1),
+    s AS (
+        SELECT l.page, l.id, x AS x0, x + 60 AS x1, d, if(d = 1, y, -(y + 40)) AS top,
+               list_transform(list_filter(caps, lambda c: greatest(l.x, c.x0) - least(l.x + 60, c.x1) <= 36 OR 60 / greatest(1, greatest(l.x + 60, c.x1) - least(l.x, c.x0)) >= 0.55
+                   OR 90 / greatest(1, greatest(l.x + 60, c.x1) - least(l.x, c.x0)) >= 0.55),
+                   lambda c: {'id': c.id, 'y0': if(d = 1, c.y0, -c.y1), 'y1': if(d = 1, c.y1, -c.y0)}) AS caps,
+               list_transform(walls, lambda w: {'y0': if(d = 1, w.y0, -w.y1), 'y1': if(d = 1, w.y1, -w.y0)}) AS walls
+        FROM l JOIN g ON g.page = l.page, (VALUES (1), (2)) v(d) WHERE l.id % 3 = 0),
+    r(page, id, d, top, caps, walls, row_, turn) AS (
+        SELECT page, id, d, top, caps, walls, CAST([] AS BIGINT[]), 0 FROM s
+        UNION ALL
+        SELECT page, id, d, least(top, list_min(list_transform(hit, lambda c: c.y0))), list_filter(caps, lambda c: NOT list_contains(list_transform(hit, lambda h: h.id), c.id)), walls, list_transform(hit, lambda h: h.id), turn + 1
+        FROM (
+            SELECT *, list_filter(can, lambda c: abs(c.y1 - near) <= 2 OR least(c.y1, near + 2) > greatest(c.y0, near - 2)) AS hit
+            FROM (
+                SELECT *, list_max(list_transform(can, lambda c: c.y1)) AS near
+                FROM (
+                    SELECT *, list_filter(caps, lambda c: c.y1 <= top + 1 AND top - c.y1 <= 28 AND len(list_filter(walls, lambda w: w.y0 >= least(c.y1, top) - 0.5 AND w.y1 <= greatest(c.y1, top) + 0.5)) = 0) AS can
+                    FROM r)))
+        WHERE len(hit) > 0)
+    SELECT page, id, count(DISTINCT text_id) AS n, CAST(sum(DISTINCT text_id) AS BIGINT) AS ids FROM (SELECT page, id, unnest(row_) AS text_id FROM r) GROUP BY 1, 2""",
+    prelude=False,
+)
+def absorbed_captions(spark, sf_dir):
+    """How many captions each visual takes in, and their numbers' sum."""
+    page = F.floor(F.col("l_orderkey") / 8)
+    number = F.row_number().over(Window.partitionBy(page).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")
+    rows = T.read(spark, sf_dir, "lineitem").withColumns({"page": page, "id": number, "x": F.col("l_partkey") % 30 * 12.0, "y": F.col("l_suppkey") % 25 * 11.0})
+    x, y = F.col("x"), F.col("y")
+    seeds = rows.where("id % 3 = 0").select("page", "id", G.box(x, y, x + 60, y + 40).alias("box"))
+    kind = F.when(F.col("id") % 9 == 8, F.lit("option")).otherwise(F.lit("caption"))
+    texts = rows.where("id % 3 <> 0").select("page", F.col("id").alias("text_id"), kind.alias("type"), F.lit("words").alias("text"), G.box(x, y, x + 90, y + 9).alias("box"))
+    found = V.absorbed_captions(seeds, texts, ["page"])
+    return found.groupBy("page", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("text_id").alias("ids"))

@@ -127,9 +127,6 @@ def test_sequential(spark):
     b = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (1, 0.0, 12.0, 10.0, 20.0), (1, 50.0, 13.0, 60.0, 30.0)], "page int, x0 double, y0 double, x1 double, y1 double")
     assert rows(Q.merged_boxes(b, ["page"], 5), "n") == [(1,), (2,)]
     assert rows(Q.clustered_boxes(b, ["page"], 3), "cluster") == [(0,), (0,), (1,)]
-    seeds = spark.createDataFrame([(1, 7, 100.0, 200.0)], "page int, id int, y0 double, y1 double")
-    texts = spark.createDataFrame([(1, 210.0, 220.0), (1, 240.0, 250.0), (1, 400.0, 410.0)], "page int, y0 double, y1 double")
-    assert rows(Q.absorbed(seeds, texts, ["page"])) == [(1, 7, 100.0, 250.0, 2)]
 
 
 def test_paging(spark):

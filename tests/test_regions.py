@@ -97,3 +97,48 @@ def test_dark_regions(spark):
         spark.createDataFrame(words, "page int, text string, box array<double>"),
     )
     assert sorted((r.page, r.n, r.box[1]) for r in got.collect()) == [(1, 1, 160.0), (4, 1, 0.0), (7, 1, 0.0), (7, 2, 160.0), (7, 3, 320.0), (7, 4, 480.0)]
+
+
+def near(a, b):
+    band = max(1, max(a[2], b[2]) - min(a[0], b[0]))
+    return max(a[0], b[0]) - min(a[2], b[2]) <= 36 or max(1, a[2] - a[0]) / band >= 0.55 or max(1, b[2] - b[0]) / band >= 0.55
+
+
+def climbed(box, captions, walls):
+    top, taken = box[1], set()
+    while True:
+        above = {
+            k: c for k, c in captions.items()
+            if k not in taken and c[3] <= top + 1 and top - c[3] <= 28 and near(box, c)
+            and not any(w[1] >= min(c[3], top) - 0.5 and w[3] <= max(c[3], top) + 0.5 for w in walls)
+        }
+        if not above:
+            return taken
+        low = max(c[3] for c in above.values())
+        row = {k for k, c in above.items() if abs(c[3] - low) <= 2 or min(c[3], low + 2) - max(c[1], low - 2) > 0}
+        taken |= row
+        top = min(top, *(captions[k][1] for k in row))
+
+
+def test_absorbed_captions(spark):
+    rng = random.Random(5)
+    flip = lambda b: [b[0], -b[3], b[2], -b[1]]
+    seeds, texts, want = [], [], set()
+    for page in range(6):
+        own = {k: [float(v) for v in (x, y, x + 30, y + h)] for k, (x, y, h) in enumerate((rng.randrange(300), rng.randrange(300), rng.choice([0, 9, 20])) for _ in range(40))}
+        kinds = {k: rng.choice(["caption"] * 6 + ["option", "text"]) for k in own}
+        words = {k: rng.choice(["words"] * 9 + ["第 3 题 x", " B、y"]) for k in own}
+        asks = {k for k in own if kinds[k] == "option" or words[k] != "words"}
+        captions, walls = {k: b for k, b in own.items() if kinds[k] == "caption" and k not in asks}, [own[k] for k in asks]
+        texts += [(page, k, kinds[k], words[k], b) for k, b in own.items()] + [(page, 99, "caption", "no box", None)]
+        for n in range(5):
+            x, y = rng.randrange(300), rng.randrange(300)
+            box = [float(v) for v in (x, y, x + 40, y + 30)]
+            seeds.append((page, n, box))
+            found = climbed(box, captions, walls) | climbed(flip(box), {k: flip(b) for k, b in captions.items()}, [flip(w) for w in walls])
+            want |= {(page, n, k) for k in found}
+    s = spark.createDataFrame(seeds, "page int, id int, box array<double>")
+    t = spark.createDataFrame(texts, "page int, text_id int, type string, text string, box array<double>")
+    got = {(r.page, r.id, r.text_id) for r in V.absorbed_captions(s, t, ["page"]).collect()}
+    assert got == want and len(want) > 20
+    assert V.absorbed_captions(s, t.limit(0), ["page"]).count() == 0
