@@ -1,44 +1,94 @@
-"""Operators in which each step depends on what the one before it left: a page or a document
-at a time, in pandas."""
+"""Operators in which each step depends on what the one before it left: rows sorted within a page
+or a document, folded as they stream by."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, IntegerType, StringType, StructField, StructType
+
+
+def _folded(rows: DataFrame, group: list[str], order: list[str], inputs: list[str], begin: Callable[[], Callable], name: str | None = None, kind: DataType | None = None) -> DataFrame:
+    """``rows`` group by group, in order, streaming: ``begin`` makes a group's step, which is
+    called with each row's inputs.  What it returns becomes a column, or, without a name, tells
+    whether the row is kept.  Nothing is held but what the step keeps."""
+
+    def run(batches):
+        now, step = None, None
+        for b in batches:
+            keys = zip(*(b.column(g).to_pylist() for g in group), strict=True)
+            out = []
+            for key, *values in zip(keys, *(b.column(c).to_pylist() for c in inputs), strict=True):
+                if step is None or key != now:
+                    now, step = key, begin()
+                out.append(step(*values))
+            if name is None:
+                yield b.filter(pa.array(out, pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, to_arrow_type(kind))], names=[*b.schema.names, name])
+
+    schema = rows.schema if name is None else StructType([*rows.schema, StructField(name, kind)])
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
 
 
 def kept_anchors(rows: DataFrame, group: list[str], at: str, least: int = 3) -> DataFrame:
     """Anchors, without those less than so many characters after the last one kept."""
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at, kind="stable")
-        out, last = [], None
-        for i, x in zip(pdf.index, pdf[at], strict=True):
-            if last is None or x - last >= least:
-                out.append(i)
-                last = x
-        return pdf.loc[out]
+    def begin():
+        last = None
+
+        def step(x) -> bool:
+            nonlocal last
+            if last is not None and x - last < least:
+                return False
+            last = x
+            return True
 
-    return rows.groupBy(*group).applyInPandas(keep, rows.schema)
+        return step
+
+    return _folded(rows, group, [at], [at], begin)
 
 
 def chapter_paths(rows: DataFrame, group: list[str], order: str, level: str, title: str, most: int = 4) -> DataFrame:
     """Each line's chapter path: a title of level n (from 0) follows the first n titles of the
     path so far; lines without a level keep it."""
-    schema = f"{rows.schema.simpleString()[7:-1]},path:string".replace(":", " ")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").copy()
+    def begin():
         path: list[str] = []
-        paths = []
-        for lv, name in zip(pdf[level], pdf[title], strict=True):
-            if not pd.isna(lv):
-                path = [*path[: int(lv)], name][-most:]
-            paths.append("/".join(path))
-        pdf["path"] = paths
-        return pdf
 
-    return rows.groupBy(*group).applyInPandas(walk, schema)
+        def step(n, name) -> str:
+            nonlocal path
+            if n is not None:
+                path = [*path[: int(n)], name or ""][-most:]
+            return "/".join(path)
+
+        return step
+
+    return _folded(rows, group, [order], [level, title], begin, "path", StringType())
+
+
+def clustered_boxes(rows: DataFrame, group: list[str], margin: float) -> DataFrame:
+    """Each box put into the first cluster with which it, grown by a margin, shares area, from
+    the top down; adds column cluster."""
+
+    def begin():
+        clusters: list[tuple] = []
+
+        def step(x0, y0, x1, y1) -> int:
+            for k, c in enumerate(clusters):
+                if x0 - margin < c[2] and x1 + margin > c[0] and y0 - margin < c[3] and y1 + margin > c[1]:
+                    clusters[k] = (min(c[0], x0), min(c[1], y0), max(c[2], x1), max(c[3], y1))
+                    return k
+            clusters.append((x0, y0, x1, y1))
+            return len(clusters) - 1
+
+        return step
+
+    return _folded(rows, group, ["y0", "x0", "x1", "y1"], ["x0", "y0", "x1", "y1"], begin, "cluster", IntegerType())
 
 
 def merged_boxes(rows: DataFrame, group: list[str], gap: float, overlap: float = 0.6) -> DataFrame:
@@ -62,25 +112,3 @@ def merged_boxes(rows: DataFrame, group: list[str], gap: float, overlap: float =
         return pd.DataFrame(head | {"part": range(len(out))} | cols)
 
     return rows.groupBy(*group).applyInPandas(merge, schema)
-
-
-def clustered_boxes(rows: DataFrame, group: list[str], margin: float) -> DataFrame:
-    """Each box put into the first cluster with which it, grown by a margin, shares area, from
-    the top down; adds column cluster."""
-    schema = f"{rows.schema.simpleString()[7:-1]},cluster:int".replace(":", " ")
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "x1", "y1"], kind="stable").copy()
-        clusters: list[list[float]] = []
-        own = []
-        for x0, y0, x1, y1 in pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False):
-            k = next((k for k, c in enumerate(clusters) if x0 - margin < c[2] and x1 + margin > c[0] and y0 - margin < c[3] and y1 + margin > c[1]), len(clusters))
-            if k == len(clusters):
-                clusters.append([x0, y0, x1, y1])
-            c = clusters[k]
-            clusters[k] = [min(c[0], x0), min(c[1], y0), max(c[2], x1), max(c[3], y1)]
-            own.append(k)
-        pdf["cluster"] = own
-        return pdf
-
-    return rows.groupBy(*group).applyInPandas(assign, schema)
