@@ -95,3 +95,24 @@ def assigned(visuals: DataFrame, questions: DataFrame, materials: DataFrame, bot
     out = visuals.select("doc", "visual").join(given.unionByName(found), ["doc", "visual"], "left")
     warning = F.when(F.col("score").isNull(), F.lit("visual_unassigned")).when(F.col("score") < 65, F.lit("visual_assignment_low_confidence"))
     return out.withColumns({"confidence": F.when(F.col("score").isNotNull(), F.round(F.least(F.lit(1.0), F.col("score") / 100), 2)), "warning": warning})
+
+
+def backward_links(questions: DataFrame, materials: DataFrame) -> DataFrame:
+    """page, index and material of questions that a material further down is for as well.
+
+    questions: page, index, y0, y1 and material, that which each has; materials: page, place,
+    material and y0.  In order of place a material that some question at or below it has takes
+    the last question, by y0 and index, that ends above it and that has none yet.  A page's
+    questions and materials, which are few, are folded in one expression."""
+    of_page = lambda df, name, *c: df.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
+    both = of_page(questions, "_q", "y0", "index", "y1", "material").join(of_page(materials, "_m", "place", "material", "y0"), "page")
+    index, own = questions.schema["index"].dataType.simpleString(), materials.schema["material"].dataType.simpleString()
+
+    def step(links: Column, m: Column) -> Column:
+        wanted = F.exists("_q", lambda q: (q["material"] == m["material"]) & (q["y0"] >= m["y0"]))
+        free = F.filter("_q", lambda q: (q["y1"] <= m["y0"]) & q["material"].isNull() & ~F.exists(links, lambda x: x["index"] == q["index"]))
+        link = F.struct(F.get(F.transform(free, lambda q: q["index"]), F.size(free) - 1).alias("index"), m["material"].alias("material"))
+        return F.when(F.coalesce(wanted, F.lit(False)) & (F.size(free) > 0), F.concat(links, F.array(link))).otherwise(links)
+
+    links = F.aggregate("_m", F.array().cast(f"array<struct<index: {index}, material: {own}>>"), step)
+    return both.select("page", F.inline(links))

@@ -66,3 +66,32 @@ def linked_visuals(spark, sf_dir):
     of = F.when(F.col("l_returnflag") != "R", F.col("l_linenumber"))
     materials = rows.where("kind = 2").select("doc", F.col("id").alias("material"), F.col("order").alias("first"), (F.col("order") + 3).alias("last"), F.col("page").alias("page_start"), (F.col("page") + F.col("l_linenumber") % 2).alias("page_end"), of.alias("low"), (of + 30).alias("high"))
     return L.assigned(visuals, questions, materials, bottoms).withColumn("score", F.col("score").cast("long"))
+
+
+@query(
+    """WITH RECURSIVE l AS (
+        SELECT CAST(floor(l_orderkey / 5) AS BIGINT) AS page, row_number() OVER (PARTITION BY floor(l_orderkey / 5) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id,
+               l_partkey % 100 * 10.0 AS y0, l_linenumber AS h, l_suppkey AS s FROM lineitem),
+    q AS (SELECT page, id AS idx, y0, y0 + h * 5 AS y1, if(s % 2 = 0, NULL, s % 6) AS material FROM l WHERE id % 4 <> 0),
+    m AS (SELECT page, min(id) AS place, s % 6 AS material, min_by(y0, id) AS y0 FROM l WHERE id % 4 = 0 GROUP BY page, s % 6),
+    k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY place) AS n FROM m),
+    g AS (SELECT page, list({'y0': y0, 'idx': idx, 'y1': y1, 'material': material} ORDER BY y0, idx) AS qs FROM q GROUP BY 1),
+    r AS (
+        SELECT page, 0::BIGINT AS n, qs, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS BIGINT) AS material FROM g
+        UNION ALL
+        SELECT page, n, qs, if(hit IS NULL, taken, list_append(taken, hit)), hit, material
+        FROM (
+            SELECT r.page, k.n, qs, taken, k.material,
+                   if(len(list_filter(qs, lambda q: q.material = k.material AND q.y0 >= k.y0)) > 0,
+                      list_filter(qs, lambda q: q.y1 <= k.y0 AND q.material IS NULL AND NOT list_contains(taken, q.idx))[-1].idx, NULL) AS hit
+            FROM r JOIN k ON k.page = r.page AND k.n = r.n + 1))
+    SELECT page, idx AS index, material FROM r WHERE idx IS NOT NULL""",
+    prelude=False,
+)
+def backward_links(spark, sf_dir):
+    page = F.floor(F.col("l_orderkey") / 5)
+    number = F.row_number().over(Window.partitionBy(page).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")
+    rows = T.read(spark, sf_dir, "lineitem").withColumns({"page": page, "id": number, "y0": F.col("l_partkey") % 100 * 10.0, "of": F.col("l_suppkey") % 6})
+    questions = rows.where("id % 4 <> 0").select("page", F.col("id").alias("index"), "y0", (F.col("y0") + F.col("l_linenumber") * 5).alias("y1"), F.when(F.col("l_suppkey") % 2 != 0, F.col("of")).alias("material"))
+    materials = rows.where("id % 4 = 0").groupBy("page", F.col("of").alias("material")).agg(F.min("id").alias("place"), F.min_by("y0", "id").alias("y0"))
+    return L.backward_links(questions, materials)

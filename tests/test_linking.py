@@ -52,3 +52,14 @@ def test_nothing(spark):
     got = L.assigned(v, q.limit(0), m.limit(0), b.limit(0)).first()
     assert got.warning == "visual_unassigned"
     assert L.assigned(v, q, m, b).count() == 1
+
+
+def test_backward_links(spark):
+    questions = [(1, 1, 10.0, 20.0, None), (1, 2, 30.0, 40.0, None), (1, 3, 90.0, 99.0, "a"), (1, 4, 95.0, 99.0, "b"), (2, 5, 0.0, 9.0, None), (2, 6, 5.0, 9.0, "c"), (3, 7, 0.0, 9.0, None), (1, 8, 41.0, 51.0, None)]
+    materials = [(1, 1, "a", 50.0), (1, 2, "b", 60.0), (1, 3, "z", 80.0), (2, 1, "c", 50.0), (3, 1, "d", 50.0)]
+    q = spark.createDataFrame(questions, "page int, index int, y0 double, y1 double, material string")
+    m = spark.createDataFrame(materials, "page int, place int, material string, y0 double")
+    got = sorted(tuple(r) for r in L.backward_links(q, m).collect())
+    # 8 ends below a, so a takes 2, and b what is left above it: 8; z and d are no question's, c's question is above it
+    assert got == [(1, 2, "a"), (1, 8, "b")]
+    assert L.backward_links(q.limit(0), m).count() == 0
