@@ -26,10 +26,13 @@ MARK = "struct<start: int, end: int, index: int, label: string>"
 def found(text: Column, form: str) -> Column:
     """start, label, index and line (up to its end) of each place where a form is, in order.
     The form has one group, a number; lines end with a line feed only."""
-    # the text's end counts as a place too, or a search without one would begin anew at each character
+    # the text's end counts as a place too, or a search without one would begin anew at each character;
+    # one pass marks all places with two characters that are no white space, others like them aside
     pattern = F.lit(rf"(?Udsm)(.*?)(?:({form})(?=([^\n]*))|\z)")
-    before, label, number, rest = (F.regexp_extract_all(text, pattern, F.lit(g)) for g in (1, 2, 3, 4))
-    rows = F.arrays_zip(before.alias("b"), label.alias("l"), number.alias("n"), rest.alias("r"))
+    cut = F.regexp_replace(F.translate(text, "\x01\x02", "\x03\x03"), pattern, F.lit("$1\x01$2\x01$3\x01$4\x02"))
+    rows = F.transform(F.split(cut, "\x02"), lambda p: F.split(p, "\x01"))
+    names = ("b", "l", "n", "r")
+    rows = F.transform(F.filter(rows, lambda p: F.size(p) == 4), lambda p: F.struct(*[p[k].alias(c) for k, c in enumerate(names)]))
     empty = F.array().cast("array<struct<start: int, label: string, index: int, line: string>>")
 
     def step(state: Column, x: Column) -> Column:
