@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -31,27 +32,28 @@ other:
 """
 
 
+LINE = re.compile(r"(?P<step> *)(?P<key>[^:#]*)(?P<colon>:?)(?P<value>[^#]*)")
+
+
 def entries(text):
     """(question, key, value) in order, and the line that fits nowhere."""
-    out, section, question = [], None, None
+    out, place = [], (None, None)
     for raw in text.splitlines():
-        line = raw.split("#", 1)[0].rstrip()
-        if not line.strip():
+        m = LINE.match(raw)
+        key, value, colon = m["key"].strip(), m["value"].strip(), bool(m["colon"])
+        if not (key or value or colon):
             continue
-        indent, bare = len(line) - len(line.lstrip(" ")), line.strip()
-        key, _, value = (x.strip() for x in bare.partition(":"))
-        if indent == 0 and ":" in bare:
-            section, question = (None if value else key), None
-            if value:
-                out.append((None, key, value))
-        elif section == "questions" and indent == 2 and bare.endswith(":"):
-            question = bare[:-1]
-            out.append((question, None, None))
-        elif section == "questions" and question and indent >= 4 and ":" in bare:
-            if value:
-                out.append((question, key, value))
-        else:
-            return out, raw
+        match len(m["step"]), place, colon:
+            case 0, _, True:
+                place = (None if value else key, None)
+                out += [(None, key, value)] if value else []
+            case 2, ("questions", _), True if not value:
+                place = ("questions", key)
+                out.append((key, None, None))
+            case n, ("questions", str(question)), True if n > 3:
+                out += [(question, key, value)] if value else []
+            case _:
+                return out, raw
     return out, None
 
 

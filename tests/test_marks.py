@@ -18,17 +18,17 @@ TEXTS = [
 
 
 def plain(text):
-    """start, end, index of the marks kept, form by form in Python."""
-    spans = set()
+    """start, end and index of the marks kept: the longest of a place, if its line is a question's
+    and the mark kept before is far enough."""
+    text, at = text or "", {}
     for form in K.FORMS:
-        for m in re.finditer("(?m)" + form, text or ""):
-            line = text[m.start() :].split("\n", 1)[0].strip()
-            if not re.match(K.CONTENTS_LINE, line) and not re.match(K.HEADING_LINE, line):
-                spans.add((m.start(), -m.end(), int(m[1])))
+        for m in re.finditer("(?m)" + form, text):
+            at.setdefault(m.start(), []).append((m.end(), int(m[1])))
+    lines = {start: text[start:].partition("\n")[0].strip() for start in at}
     out = []
-    for start, end, index in sorted(spans):
-        if not out or start - out[-1][0] >= K.NEAR:
-            out.append((start, -end, index))
+    for start in sorted(s for s, line in lines.items() if not re.match(f"{K.CONTENTS_LINE}|{K.HEADING_LINE}", line)):
+        if not out or start >= out[-1][0] + K.NEAR:
+            out.append((start, *max(at[start])))
     return out
 
 
