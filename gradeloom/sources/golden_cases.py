@@ -1,6 +1,6 @@
 """Golden cases: small files of ``key: value`` lines, with questions two steps in, many at once.
 
-Each file's lines are folded in order, with the section and the question they stand in; what
+Lines are rows, with the section and the question they stand in from running windows; what
 comes out are entries, a row a key, and the first line that fits nowhere.
 """
 
@@ -9,48 +9,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ENTRY = "struct<n: int, question: string, key: string, value: string>"
 #: What a question's lists are called.
 LISTS = ("expected_visuals", "expected_content_texts", "expected_child_visuals", "expected_absorbed_texts", "must_not_overlap_visuals")
 
 
-def _step(state: Column, line: Column, n: Column) -> Column:
-    text = F.regexp_replace(F.substring_index(line, "#", 1), r"(?U)\s+$", "")
-    bare = F.regexp_replace(text, r"(?U)^\s+", "")
-    indent = F.length(text) - F.length(F.regexp_replace(text, "^ +", ""))
-    key = F.trim(F.substring_index(bare, ":", 1))
-    value = F.nullif(F.trim(F.substring(bare, F.locate(":", bare) + 1, F.length(bare))), F.lit(""))
-    has_key = F.contains(bare, F.lit(":"))
-    inside = state["section"].eqNullSafe("questions")
-    top = (indent == 0) & has_key
-    opens = inside & (indent == 2) & bare.endswith(":")
-    own = inside & (indent >= 4) & state["question"].isNotNull() & has_key & ~opens
-    blank = bare == ""
-    question = F.when(opens, F.substring(bare, F.lit(1), F.length(bare) - 1)).when(top, F.lit(None)).otherwise(state["question"])
-    entry = F.struct(n.alias("n"), F.when(~top, question).alias("question"), F.when(~opens, key).alias("key"), F.when(~opens, value).alias("value")).cast(_ENTRY)
-    told = opens | ((top | own) & value.isNotNull())
-    return F.when(blank, state).otherwise(
-        F.struct(
-            F.when(top, F.when(value.isNull(), key)).otherwise(state["section"]).alias("section"),
-            question.alias("question"),
-            F.when(told, F.concat(state["out"], F.array(entry))).otherwise(state["out"]).alias("out"),
-            F.when(state["fault"].isNull() & ~(top | opens | own), F.concat(F.lit("Unsupported case line: "), line)).otherwise(state["fault"]).alias("fault"),
-        ).cast(_STATE)
-    )
-
-
-_STATE = f"struct<section: string, question: string, out: array<{_ENTRY}>, fault: string>"
+def told(files: DataFrame) -> DataFrame:
+    """A row for each line of ``files`` (path, unique, and text): path, n (from 0), question, key
+    and value of the entry it makes, told, whether it makes one, and fault, if it fits nowhere.
+
+    The section and the question that a line stands in are those of the last line before it
+    that began one: running windows over a file's lines, which stream by."""
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n")).alias("n", "_x")
+    text = F.regexp_replace(F.substring_index("_x", "#", 1), r"(?U)\s+$", "")
+    bare = F.regexp_replace("_t", r"(?U)^\s+", "")
+    indent = F.length("_t") - F.length(F.regexp_replace("_t", "^ +", ""))
+    b = F.col("_b")
+    key = F.trim(F.substring_index(b, ":", 1))
+    value = F.nullif(F.trim(F.substring(b, F.locate(":", b) + 1, F.length(b))), F.lit(""))
+    rows = files.select("path", lines).withColumn("_t", text).withColumns({"_b": bare, "_indent": indent})
+    rows = rows.select("path", "n", "_x", "_b", "_indent", key.alias("_k"), value.alias("_v"), F.contains(b, F.lit(":")).alias("_has_key"))
+    before = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c: F.last(c, ignorenulls=True).over(before)
+    top = (F.col("_indent") == 0) & F.col("_has_key")
+    rows = rows.withColumn("_section", last(F.when(top, F.struct(F.when(F.col("_v").isNull(), F.col("_k")).alias("name")))))
+    inside = F.col("_section.name").eqNullSafe("questions")
+    opens = inside & (F.col("_indent") == 2) & b.endswith(":")
+    opened = F.substring(b, F.lit(1), F.length(b) - 1)
+    begun = F.when(opens, F.struct(opened.alias("name"))).when(top, F.struct(F.lit(None).cast("string").alias("name")))
+    rows = rows.withColumn("_question", last(begun))
+    own = inside & (F.col("_indent") >= 4) & F.col("_question.name").isNotNull() & F.col("_has_key") & ~opens
+    makes = opens | ((top | own) & F.col("_v").isNotNull())
+    question = F.when(opens, opened).when(~top, F.col("_question.name"))
+    fault = F.when((b != "") & ~(top | opens | own), F.concat(F.lit("Unsupported case line: "), "_x"))
+    return rows.select("path", "n", question.alias("question"), F.when(~opens, F.col("_k")).alias("key"), F.when(~opens, F.col("_v")).alias("value"), makes.alias("told"), fault.alias("fault"))
+
+
+def _names(name: str) -> Column:
+    """Whether one of a file's entries, outside of its questions, has this key."""
+    return F.coalesce(F.bool_or(F.col("told") & F.col("question").isNull() & (F.col("key") == name)), F.lit(False))
 
 
 def parsed(files: DataFrame) -> DataFrame:
     """``files`` (path and text) with entries and fault: what is wrong with a file, or null."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n"), lambda x, n: F.struct(x.alias("x"), n.alias("n")))
-    none = F.lit(None).cast("string")
-    start = F.struct(none.alias("section"), none.alias("question"), F.array().cast(f"array<{_ENTRY}>").alias("out"), none.alias("fault")).cast(_STATE)
-    rows = files.withColumn("_s", F.aggregate(lines, start, lambda s, x: _step(s, x["x"], x["n"])))
-    named = lambda k: F.exists("_s.out", lambda e: e["question"].isNull() & (e["key"] == k))
-    fault = F.coalesce("_s.fault", F.when(~(named("name") & named("pdf")), F.lit("case must define name and pdf")))
-    return rows.select("path", F.col("_s.out").alias("entries"), fault.alias("fault"))
+    entry = F.struct("n", "question", "key", "value")
+    out = told(files).groupBy("path").agg(F.array_sort(F.collect_list(F.when(F.col("told"), entry))).alias("entries"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("n"))).alias("fault"), (_names("name") & _names("pdf")).alias("_named"))
+    fault = F.coalesce("fault", F.when(~F.col("_named"), F.lit("case must define name and pdf")))
+    return out.select("path", "entries", fault.alias("fault"))
+
+
+def sound(files: DataFrame) -> DataFrame:
+    """path, n, question, key and value of all entries of files without a fault, a row each, so
+    that no file's are gathered."""
+    rows = told(files)
+    verdict = rows.groupBy("path").agg((F.count("fault") == 0).alias("_sound"), (_names("name") & _names("pdf")).alias("_named"))
+    good = verdict.where(F.col("_sound") & F.col("_named")).select("path")
+    return rows.where("told").join(good, "path", "left_semi").select("path", "n", "question", "key", "value")
 
 
 def _bare(value: Column) -> Column:
@@ -67,11 +80,15 @@ def listed(value: Column) -> Column:
 
 
 def expectations(cases: DataFrame) -> DataFrame:
-    """Of ``parsed`` files without a fault, what each question is expected to have: layout (the
+    """Of ``parsed`` files without a fault, what each question is expected to have (``expected``)."""
+    return expected(cases.where(F.col("fault").isNull()).select("path", F.inline("entries")))
+
+
+def expected(rows: DataFrame) -> DataFrame:
+    """Of ``sound`` entries, what each question is expected to have: layout (the
     case's name), question, index, the ``LISTS`` and must_not_overlap_questions, as indexes: a
     name stands for its question's in the same file.  Of a repeated key or question the last
     counts."""
-    rows = cases.where(F.col("fault").isNull()).select("path", F.inline("entries"))
     name = rows.where(F.col("question").isNull() & (F.col("key") == "name")).groupBy("path").agg(F.max_by(_bare(F.col("value")), "n").alias("layout"))
     own = rows.where(F.col("question").isNotNull())
     begun = F.max(F.when(F.col("key").isNull(), F.col("n"))).over(Window.partitionBy("path", "question"))

@@ -93,3 +93,12 @@ def test_lists_and_names(spark):
     got = {r.question: r for r in G.expectations(G.parsed(spark.createDataFrame([("a", text)], "path string, text string"))).collect()}
     assert got["q1"].expected_visuals == ["v1", "v 2", "v3"] and got["q1"].expected_content_texts == []
     assert got["q1"].must_not_overlap_questions == [7, 20] and got["q2"].must_not_overlap_questions is None
+
+
+def test_long_file(spark):
+    n = 30_000
+    text = "name: long\npdf: a\nquestions:\n" + "".join(f"  q{k}:\n    index: {k}\n" for k in range(n))
+    df = spark.createDataFrame([("a", text), ("b", "name: x\n  stray\npdf: y"), ("c", "name: x")], "path string, text string")
+    rows = G.sound(df)
+    assert (rows.count(), rows.where("path <> 'a'").count()) == (2 * n + 2, 0)
+    assert [r["index"] for r in G.expected(rows).where(f"question IN ('q0', 'q{n - 1}')").orderBy("index").collect()] == [0, n - 1]
