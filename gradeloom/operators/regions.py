@@ -7,11 +7,16 @@ so nothing has to be made distinct.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gradeloom.functions import geometry as G
 from gradeloom.sources.shared import written
@@ -112,47 +117,130 @@ STEP = 28.0
 BEGINS = r"(?U)^\s*(?:(?:【\s*)?例\s*\d+|第\s*\d+\s*题|[A-D][.．、])"
 
 
-def _climbed(seeds: DataFrame, captions: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
-    """Captions that seeds absorb above them, a row of captions a round, all seeds at once, until
-    no seed finds another."""
-    key, cell = [*on, "id"], 32.0
-    at = lambda c: F.floor(c / cell)
-    texts = captions.select(*on, "text_id", F.col("box").alias("_c"), at(F.col("box")[3]).alias("_b"))
-    walls = blocks.select(*on, F.col("box").alias("_w"), at(F.col("box")[1]).alias("_b"))
-    now = written(seeds.select(*key, "box", F.col("box")[1].alias("top")))
-    taken: list[DataFrame] = []
-    while True:
-        top, low = F.col("top"), F.col("_c")[3]
-        met = now.withColumn("_b", F.explode(F.sequence(at(top - STEP), at(top + 1)))).join(texts, [*on, "_b"]).drop("_b")
-        met = met.where((low <= top + 1) & (top - low <= STEP) & G.near_in_x(F.col("box"), F.col("_c")))
-        if taken:
-            met = met.join(reduce(DataFrame.unionByName, taken), [*key, "text_id"], "left_anti")
-        between = met.withColumns({"_l": F.least(low, top) - 0.5, "_h": F.greatest(low, top) + 0.5})
-        between = between.withColumn("_b", F.explode(F.sequence(at(F.col("_l")), at(F.col("_h"))))).join(walls, [*on, "_b"])
-        shut = between.where((F.col("_w")[1] >= F.col("_l")) & (F.col("_w")[3] <= F.col("_h"))).select(*key, "text_id").distinct()
-        free = met.join(shut, [*key, "text_id"], "left_anti").withColumn("_near", F.max(low).over(Window.partitionBy(*key)))
-        band = F.array(F.col("_c")[0], F.col("_near") - 2, F.col("_c")[2], F.col("_near") + 2)
-        row = written(free.where((F.abs(low - F.col("_near")) <= 2) | (G.y_overlap(F.col("_c"), band) > 0)).select(*key, "text_id", "box", "top", F.col("_c")[1].alias("_top")))
-        if row.isEmpty():
-            break
-        taken.append(row.select(*key, "text_id"))
-        # a seed that found nothing is done
-        now = written(row.groupBy(*key).agg(F.first("box").alias("box"), F.least(F.min("top"), F.min("_top")).alias("top")))
-    return reduce(DataFrame.unionByName, taken) if taken else now.select(*key, F.lit(None).cast(captions.schema["text_id"].dataType).alias("text_id")).limit(0)
+def _climbed(starts: np.ndarray, groups: np.ndarray, boxes: np.ndarray, captions: np.ndarray, walls: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of captions that seeds (rows ``starts``) absorb above them, as pairs of seed and
+    caption: a row of captions a round, all seeds at once, until no seed finds another.  Pairs
+    of a group are made ``most`` at a time, or a seed's."""
+    first, counts = np.searchsorted(groups[captions], groups[starts]), np.searchsorted(groups[captions], groups[starts], "right")
+    counts -= first
+    done = 0
+    while done < len(starts):
+        end = done + max(1, int(np.searchsorted(np.cumsum(counts[done:]), most, "right")))
+        some, n = starts[done:end], counts[done:end]
+        of = np.repeat(np.arange(len(some)), n)
+        text = captions[np.repeat(first[done:end] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        done = end
+        a, c = boxes[some[of]], boxes[text]
+        both = np.maximum(np.maximum(a[:, 2], c[:, 2]) - np.minimum(a[:, 0], c[:, 0]), 1.0)
+        wide = np.maximum(np.maximum(a[:, 2] - a[:, 0], c[:, 2] - c[:, 0]), 1.0)
+        near = (np.minimum(a[:, 2], c[:, 2]) - np.maximum(a[:, 0], c[:, 0]) >= -36.0) | (wide / both >= 0.55)
+        of, text = of[near], text[near]
+        top = boxes[some, 1]
+        while len(of):
+            low = boxes[text, 3]
+            # tops only rise, so what is below one stays below; the rest may be met later
+            ahead = low <= top[of] + 1
+            of, text, low = of[ahead], text[ahead], low[ahead]
+            reach = np.flatnonzero(top[of] - low <= STEP)
+            reach = reach[~_walled(np.minimum(low, top[of])[reach] - 0.5, np.maximum(low, top[of])[reach] + 0.5, groups[text[reach]], groups, boxes, walls)]
+            nearest = np.full(len(some), -np.inf)
+            np.maximum.at(nearest, of[reach], low[reach])
+            at = nearest[of[reach]]
+            taken = reach[(np.abs(low[reach] - at) <= 2) | ((np.minimum(low[reach], at + 2) - np.maximum(boxes[text[reach], 1], at - 2)) > 0)]
+            if not len(taken):
+                break
+            yield some[of[taken]], text[taken]
+            np.minimum.at(top, of[taken], boxes[text[taken], 1])
+            # a seed that found nothing is done
+            left = np.zeros(len(some), bool)
+            left[of[taken]] = True
+            rest = left[of]
+            rest[taken] = False
+            of, text = of[rest], text[rest]
+
+
+def _walled(low: np.ndarray, high: np.ndarray, group: np.ndarray, groups: np.ndarray, boxes: np.ndarray, walls: np.ndarray) -> np.ndarray:
+    """Whether a wall of the group lies between low and high: the lowest of those that end by
+    high begins at low or later.  Walls are sorted by group and end."""
+    out = np.zeros(len(low), bool)
+    if not len(walls):
+        return out
+    # walls and ends in one order, a wall before an end that it just meets
+    g, y = np.concatenate([groups[walls], group]), np.concatenate([boxes[walls, 3], high])
+    order = np.lexsort((np.arange(len(g)) >= len(walls), y, g))
+    begins = np.concatenate([boxes[walls, 1], np.full(len(low), -np.inf)])[order]
+    parts = g[order]
+    best = pd.Series(begins).groupby(parts).cummax().to_numpy()
+    place = np.empty(len(g), np.int64)
+    place[order] = np.arange(len(g))
+    return best[place[len(walls) :]] >= low
 
 
 def absorbed_captions(seeds: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
-    """on, id and text_id of the captions that each seed (id, box) takes in, from the nearest row
-    above and below on, as long as the next is within 28 of what it has, near it in x, and no
-    question or option stands between.  texts: on, text_id (unique in a group), type, text, box."""
+    """on, id and text_id of the captions that each seed (id, box; id is unique in a group) takes
+    in, from the nearest row above and below on, as long as the next is within 28 of what it has,
+    near it in x, and no question or option stands between.  texts: on, text_id (unique in a
+    group), type, text, box.  What isn't a box of four numbers takes no part.
+
+    One shuffle: a group's seeds and texts lie together and stream by in batches of whole groups."""
     asks = F.col("type").isin("question_marker", "option") | F.rlike(F.coalesce("text", F.lit("")), F.lit(BEGINS))
-    asks = F.coalesce(asks, F.lit(False))
-    rows = written(texts.where(F.size("box") == 4).select(*on, "text_id", "box", asks.alias("_asks"), (F.col("type") == "caption").alias("_caption")))
-    captions, blocks = rows.where(F.col("_caption") & ~F.col("_asks")), rows.where("_asks")
-    own = seeds.where(F.size("box") == 4)
-    # what lies below lies above once the page is turned over
-    turned = lambda df: df.withColumn("box", F.array(F.col("box")[0], -F.col("box")[3], F.col("box")[2], -F.col("box")[1]))
-    return _climbed(own, captions, blocks, on).unionByName(_climbed(turned(own), turned(captions), turned(blocks), on)).distinct()
+    part = F.when(F.coalesce(asks, F.lit(False)), 2).when(F.col("type") == "caption", 1)
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    corners = F.transform("box", lambda v: v.cast("double"))
+    rows = seeds.select(*on, F.lit(0).alias("_part"), "id", none(texts, "text_id"), corners.alias("box"))
+    rows = rows.unionByName(texts.select(*on, part.alias("_part"), none(seeds, "id"), "text_id", corners.alias("box")))
+    given = reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in ("_part", *on)])
+    rows = rows.where(given & (F.size("box") == 4) & F.forall("box", lambda v: v.isNotNull() & ~F.isnan(v)))
+    rows = rows.select(*on, "_part", "id", "text_id", *[F.col("box")[i].alias(f"_{i}") for i in range(4)])
+    out = StructType([*(rows.schema[c] for c in (*on, "id", "text_id"))])
+
+    def met(t: pa.Table) -> pa.Table:
+        groups = np.cumsum(_begins(t, on)) - 1
+        boxes = np.stack([t.column(f"_{i}").to_numpy() for i in range(4)], axis=1)
+        kind = t.column("_part").to_numpy()
+        own, captions, walls = (np.flatnonzero(kind == k) for k in range(3))
+        # what lies below lies above once the page is turned over
+        pairs = [p for b in (boxes, boxes[:, [0, 3, 2, 1]] * [1, -1, 1, -1]) for p in _climbed(own, groups, b, captions, walls)]
+        codes = np.unique(np.concatenate([s * len(kind) + c for s, c in pairs])) if pairs else np.empty(0, np.int64)
+        seed, text = (pa.array(x) for x in np.divmod(codes, max(1, len(kind))))
+        return pa.Table.from_arrays([*(t.column(c).take(seed) for c in (*on, "id")), t.column("text_id").take(text)], names=[*on, "id", "text_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, waiting = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept.append(b)
+            waiting += b.num_rows
+            if waiting < CHUNK or not (last := _last_group(kept, on)):
+                continue
+            t = pa.Table.from_batches(kept)
+            yield from met(t.slice(0, last)).to_batches()
+            kept = t.slice(last).to_batches()
+            waiting = t.num_rows - last
+        if kept:
+            yield from met(pa.Table.from_batches(kept)).to_batches()
+
+    return rows.repartition(*on).sortWithinPartitions(*on, "_part").mapInArrow(run, out)
+
+
+#: Rows that are looked at together.
+CHUNK = 1 << 16
+
+
+def _begins(t: pa.Table, on: list[str]) -> np.ndarray:
+    """Whether a row is the first of its group, in sorted rows."""
+    out = np.ones(t.num_rows, bool)
+    same = [pc.equal(c.slice(1), c.slice(0, t.num_rows - 1)) for c in (t.column(g).combine_chunks() for g in on)]
+    out[1:] = ~reduce(np.logical_and, [s.to_numpy(zero_copy_only=False) for s in same])
+    return out
+
+
+def _last_group(batches: list[pa.RecordBatch], on: list[str]) -> int:
+    """Where the last batch's last group begins, in rows of all; 0 if there is no other before it."""
+    t = pa.Table.from_batches(batches[-2:])
+    at = int(np.flatnonzero(_begins(t, on))[-1])
+    return at + sum(b.num_rows for b in batches[:-2]) if at else 0
 
 
 #: Fixed value: texts that are a question's.

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions import geometry as G
@@ -142,3 +144,17 @@ def test_absorbed_captions(spark):
     got = {(r.page, r.id, r.text_id) for r in V.absorbed_captions(s, t, ["page"]).collect()}
     assert got == want and len(want) > 20
     assert V.absorbed_captions(s, t.limit(0), ["page"]).count() == 0
+
+
+def test_captions_of_many_pages(spark):
+    # more rows than are looked at together, and one shuffle for all rounds
+    pages = spark.range(9000).select(F.col("id").alias("page"))
+    box = lambda x, y, w, h: F.array(*[(F.lit(float(v)) + F.col("page") % 3) for v in (x, y, x + w, y + h)])
+    s = pages.select("page", F.lit(1).alias("id"), box(0, 100, 60, 40).alias("box"))
+    texts = [(1, "caption", 80), (2, "caption", 62), (3, "caption", 10), (4, "option", 160), (5, "caption", 175), (6, "text", 90), *((k, "text", 500) for k in range(7, 10))]
+    t = reduce(DataFrame.unionByName, [pages.select("page", F.lit(k).alias("text_id"), F.lit(kind).alias("type"), F.lit("words").alias("text"), box(0, y, 90, 9).alias("box")) for k, kind, y in texts])
+    out = V.absorbed_captions(s, t, ["page"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    got = out.groupBy("text_id").count().collect()
+    assert {(r["text_id"], r["count"]) for r in got} == {(1, 9000), (2, 9000)}
