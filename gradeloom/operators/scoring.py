@@ -49,11 +49,14 @@ def match_status(score: Column, candidates: Column, is_fallback: Column) -> Colu
 def matched_sources(sources: DataFrame, questions: DataFrame) -> DataFrame:
     """Each answer source (source_id, bank_id, question_index, section_key, question_anchor,
     text, confidence, is_fallback) with its best question (question_id, bank_id, index_num,
-    anchor, text) by score, and its status.  Candidates are the bank's questions of that index."""
-    q = questions.select("bank_id", "question_id", F.col("index_num").alias("_index"), F.col("anchor").alias("_anchor"), F.col("text").alias("_text"), X.significant_tokens(F.col("text")).alias("_tokens"))
+    anchor, text) by score, and its status.  Candidates are the bank's questions of that index.
+    Those of one anchor and text score alike: the first of them stands for all, with their number,
+    so copies don't meet all with all."""
+    alike = questions.groupBy("bank_id", F.col("index_num").alias("_index"), F.col("anchor").alias("_anchor"), F.col("text").alias("_text"))
+    q = alike.agg(F.min("question_id").alias("question_id"), F.count("question_id").alias("_alike")).withColumn("_tokens", X.significant_tokens(F.col("_text")))
     s = sources.withColumn("_own", X.significant_tokens(F.col("text")))
     both = s.join(q, (s["bank_id"] == q["bank_id"]) & (s["question_index"] == q["_index"]), "left").drop(q["bank_id"])
-    n = F.count("question_id").over(Window.partitionBy("source_id"))
+    n = F.sum(F.coalesce("_alike", F.lit(0))).over(Window.partitionBy("source_id"))
     both = both.withColumn("candidates", n)
     evidence = text_evidence(X.overlap(F.col("_tokens"), F.col("_own")), F.size("_tokens"))
     section = F.contains("_text", F.col("section_key"))

@@ -188,3 +188,13 @@ def test_streaming(spark, tmp_path):
     q = counters(callback_stream(spark, str(src), QUESTION).withColumn("status", F.lit("done")), "event_time", "status").writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counted").first()["done"] == 8
+
+
+def test_copies_of_questions_stand_for_one(spark):
+    n = 3000
+    q = spark.range(n).select(F.lit("b").alias("bank_id"), F.format_string("q%05d", "id").alias("question_id"), F.lit(1).alias("index_num"), F.lit("x").alias("anchor"), F.lit("alpha beta gamma delta").alias("text"))
+    s = spark.range(n).select(F.col("id").alias("source_id"), F.lit("b").alias("bank_id"), F.lit(1).alias("question_index"), F.lit("k").alias("section_key"), F.lit("x").alias("question_anchor"), F.lit("alpha beta gamma").alias("text"), F.lit(90.0).alias("confidence"), F.lit(False).alias("is_fallback"))
+    out = S.matched_sources(s, q)
+    # copies are counted before sources meet them
+    assert "min(question_id" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.groupBy("question_id", "candidates", "score", "status").count().collect()] == [("q00000", n, 70, "ambiguous", n)]
