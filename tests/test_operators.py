@@ -198,3 +198,13 @@ def test_copies_of_questions_stand_for_one(spark):
     # copies are counted before sources meet them
     assert "min(question_id" in out._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in out.groupBy("question_id", "candidates", "score", "status").count().collect()] == [("q00000", n, 70, "ambiguous", n)]
+
+
+def test_merged_boxes_of_many_pages(spark):
+    b = spark.range(30_000).select((F.col("id") / 3).cast("int").alias("page"), F.lit(0.0).alias("x0"), (F.col("id") % 3 * 15.0).alias("y0"), F.lit(10.0).alias("x1"), (F.col("id") % 3 * 15.0 + 10).alias("y1"))
+    out = Q.merged_boxes(b.where("id % 3 < 2").unionByName(b.where("id % 3 = 2").withColumn("y0", F.lit(90.0)).withColumn("y1", F.lit(99.0))), ["page"], 5)
+    # pages stream by, none is a group of its own in pandas
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in out.groupBy("part", "y0", "y1", "n").count().collect()} == {(0, 0.0, 25.0, 2, 10_000), (1, 90.0, 99.0, 1, 10_000)}
+    holes = spark.createDataFrame([(1, None, 0.0, 9.0, 9.0), (1, 0.0, 1.0, 9.0, 9.0)], "page int, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(r.n for r in Q.merged_boxes(holes, ["page"], 5).collect()) == [1, 1]
