@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ SLOTS = {
 VISUAL_ROLES = ["chart", "table", "image", "visual", "question_visual"]
 
 
+def image(**fields: Column) -> Column:
+    """An image with these fields, the others null."""
+    names = [f.split(":")[0] for f in IMAGE[len("struct<") : -1].split(",")]
+    return F.struct(*[fields.get(n, F.lit(None)).alias(n) for n in names]).cast(IMAGE)
+
+
 def _text(c: Column) -> Column:
     """A text, null where it is blank to the platform: missing or empty."""
     return F.nullif(c, F.lit(""))
@@ -75,6 +83,11 @@ def in_slot(a: Column, slot: str, otherwise: str = "stem") -> Column:
     return F.filter(images_of(a), lambda i: slot_of(i, otherwise) == slot)
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def key_of(image: Column) -> Column:
     return F.coalesce(_text(image["url"]), _text(image["ref"]), _text(image["base64"]))
 
@@ -94,23 +107,33 @@ def added(a: Column, image: Column) -> Column:
     return ordered(F.array_append(images_of(a), image))
 
 
+def _placed(a: Column, key: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of the images of an array and of the place of that with a key."""
+    return _named(images_of(a), lambda own: _named(place_of(own, key), lambda at: use(own, at)))
+
+
 def removed(a: Column, key: Column) -> Column:
     """Without the first image that has a key."""
-    own = images_of(a)
-    return ordered(F.filter(own, lambda _, k: F.coalesce(k != place_of(own, key), F.lit(True))))
+    return _placed(a, key, lambda own, at: ordered(F.filter(own, lambda _, k: F.coalesce(k != at, F.lit(True)))))
 
 
 def moved(a: Column, target: Column, key: Column, question: Column) -> tuple[Column, Column]:
     """The images of a question and of the one that its image with a key moves to."""
-    own = images_of(a)
-    going = F.get(own, place_of(own, key).cast("int"))
-    arrived = F.array_append(images_of(target), going.withField("moved_from_question_id", question.cast("string")))
-    return removed(a, key), ordered(F.when(going.isNotNull(), arrived).otherwise(images_of(target)))
+    going = _placed(a, key, lambda own, at: F.get(own, at.cast("int")))
+
+    def arrived(image: Column) -> Column:
+        own = images_of(target)
+        return ordered(F.when(image.isNotNull(), F.array_append(own, image.withField("moved_from_question_id", question.cast("string")))).otherwise(own))
+
+    return removed(a, key), _named(going, arrived)
 
 
 def grouped(a: Column, key: Column, group: Column) -> Column:
     """An image and the one after it become one visual: the first's group, the second's, or a new one."""
-    own = images_of(a)
-    at = place_of(own, key)
-    name = F.coalesce(_text(F.get(own, at.cast("int"))["same_visual_group_id"]), _text(F.get(own, (at + 1).cast("int"))["same_visual_group_id"]), group)
-    return ordered(F.transform(own, lambda i, k: F.when(k.between(at, at + 1) & (at + 1 < F.size(own)), i.withField("same_visual_group_id", name)).otherwise(i)))
+
+    def joined(own: Column, at: Column) -> Column:
+        of = lambda k: _text(F.get(own, k.cast("int"))["same_visual_group_id"])
+        one = lambda name: F.transform(own, lambda i, k: F.when(k.between(at, at + 1) & (at + 1 < F.size(own)), i.withField("same_visual_group_id", name)).otherwise(i))
+        return ordered(_named(F.coalesce(of(at), of(at + 1), group), one))
+
+    return _placed(a, key, joined)

@@ -333,7 +333,7 @@ def answer_suggestions(spark, sf_dir):
 
 def _image(**fields):
     """An image with these fields."""
-    return F.from_json(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])), I.IMAGE)
+    return I.image(**fields)
 
 
 def _images(spark, sf_dir):

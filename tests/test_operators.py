@@ -208,3 +208,17 @@ def test_merged_boxes_of_many_pages(spark):
     assert {tuple(r) for r in out.groupBy("part", "y0", "y1", "n").count().collect()} == {(0, 0.0, 25.0, 2, 10_000), (1, 90.0, 99.0, 1, 10_000)}
     holes = spark.createDataFrame([(1, None, 0.0, 9.0, 9.0), (1, 0.0, 1.0, 9.0, 9.0)], "page int, x0 double, y0 double, x1 double, y1 double")
     assert sorted(r.n for r in Q.merged_boxes(holes, ["page"], 5).collect()) == [1, 1]
+
+
+def test_image_places_are_worked_out_once(spark):
+    from gradeloom.functions import images as I
+
+    a = F.array(*[I.image(url=F.lit(u)) for u in "abc"])
+    of = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
+    own, other = I.moved(a, F.lit(None).cast(f"array<{I.IMAGE}>"), F.lit("b"), F.lit(7))
+    assert [(i.url, i.image_order) for i in of(own)] == [("a", 1), ("c", 2)] and [(i.url, i.moved_from_question_id) for i in of(other)] == [("b", "7")]
+    assert of(I.moved(a, a, F.lit("z"), F.lit(7))[1]) == of(I.ordered(a)) and len(of(I.removed(a, F.lit("z")))) == 3
+    assert [i.same_visual_group_id for i in of(I.grouped(a, F.lit("b"), F.lit("g")))] == [None, "g", "g"]
+    assert [i.same_visual_group_id for i in of(I.grouped(a, F.lit("c"), F.lit("g")))] == [None, None, None]
+    plan = spark.range(1).select(I.removed(a, F.lit("b")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_position") == 1
