@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from gradeloom.functions import geometry as G
 from gradeloom.sources.shared import written
@@ -78,26 +78,104 @@ def visual_elements(images: DataFrame, drawings: DataFrame) -> DataFrame:
     return seen.withColumn("type", F.lit("image")).unionByName(tables.withColumn("type", F.lit("table"))).select("page", "type", "box")
 
 
-def _runs(cells: DataFrame, group: list[str]) -> DataFrame:
-    """Cells with the run of neighbours in their row, known by the row and its first cell."""
-    row = Window.partitionBy(*group, "y").orderBy("x")
-    apart = F.col("x") - F.row_number().over(row)
-    return cells.withColumn("_apart", apart).withColumn("run", F.struct(F.col("y"), F.min("x").over(Window.partitionBy(*group, "y", "_apart")).alias("x"))).drop("_apart")
+#: Rows that are looked at together.
+CHUNK = 1 << 16
+
+
+def _begins(t: pa.Table, on: list[str]) -> np.ndarray:
+    """Whether a row is the first of its group, in sorted rows."""
+    out = np.ones(t.num_rows, bool)
+    same = [pc.equal(c.slice(1), c.slice(0, t.num_rows - 1)) for c in (t.column(g).combine_chunks() for g in on)]
+    out[1:] = ~reduce(np.logical_and, [s.to_numpy(zero_copy_only=False) for s in same])
+    return out
+
+
+def _last_group(batches: list[pa.RecordBatch], on: list[str]) -> int:
+    """Where the last batch's last group begins, in rows of all; 0 if there is no other before it."""
+    t = pa.Table.from_batches(batches[-2:])
+    at = int(np.flatnonzero(_begins(t, on))[-1])
+    return at + sum(b.num_rows for b in batches[:-2]) if at else 0
+
+
+def _in_groups(rows: DataFrame, on: list[str], order: list[str], met: Callable[[pa.Table], pa.Table], schema: StructType) -> DataFrame:
+    """What ``met`` makes of rows in batches of whole groups, sorted by group and order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, waiting = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept.append(b)
+            waiting += b.num_rows
+            if waiting < CHUNK or not (last := _last_group(kept, on)):
+                continue
+            t = pa.Table.from_batches(kept)
+            yield from met(t.slice(0, last)).to_batches()
+            kept = t.slice(last).to_batches()
+            waiting = t.num_rows - last
+        if kept:
+            yield from met(pa.Table.from_batches(kept)).to_batches()
+
+    return rows.repartition(*on).sortWithinPartitions(*on, *order).mapInArrow(run, schema)
+
+
+#: Rows of a grid whose cells are joined together in one place.
+BAND = 1024
 
 
-def connected_cells(cells: DataFrame, group: list[str]) -> DataFrame:
+def _labelled(cells: DataFrame, group: list[str], band: int = BAND) -> DataFrame:
+    """Distinct cells with the first cell (run, by row) of their component within their band of
+    rows: labels fall along rows and columns, and from label to label, until none falls."""
+    own = [*group, "_band"]
+    rows = cells.select(*group, F.floor(F.col("y") / band).alias("_band"), "y", "x").where(reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in (*group, "y", "x")]))
+    first = [StructField("_y", rows.schema["y"].dataType), StructField("_x", rows.schema["x"].dataType)]
+    out = StructType([*(rows.schema[c] for c in (*group, "y", "x")), *first])
+
+    def met(t: pa.Table) -> pa.Table:
+        g, y, x = np.cumsum(_begins(t, own)), t.column("y").to_numpy().astype(np.int64), t.column("x").to_numpy().astype(np.int64)
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1])
+        rows_ = np.flatnonzero(new)
+        g, y, x = g[rows_], y[rows_], x[rows_]
+        by_column = np.lexsort((y, x, g))
+        n = np.arange(len(g))
+        beside = n[1:][(g[1:] == g[:-1]) & (y[1:] == y[:-1]) & (x[1:] == x[:-1] + 1)]
+        gc, yc, xc = g[by_column], y[by_column], x[by_column]
+        below = np.flatnonzero((gc[1:] == gc[:-1]) & (xc[1:] == xc[:-1]) & (yc[1:] == yc[:-1] + 1))
+        u, v = np.concatenate([beside - 1, by_column[below]]), np.concatenate([beside, by_column[below + 1]])
+        label = n.copy()
+        while len(u):
+            a, b = label[u], label[v]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label != (up := label[label])).any():
+                label = up
+            apart = label[u] != label[v]
+            u, v = u[apart], v[apart]
+        mine, its = pa.array(rows_), pa.array(rows_[label])
+        columns = [*(t.column(c).take(mine) for c in (*group, "y", "x")), t.column("y").take(its), t.column("x").take(its)]
+        return pa.Table.from_arrays(columns, names=out.names)
+
+    return _in_groups(rows, own, ["y", "x"], met, out).withColumn("run", F.struct(F.col("_y").alias("y"), F.col("_x").alias("x"))).drop("_y", "_x")
+
+
+def connected_cells(cells: DataFrame, group: list[str], band: int = BAND) -> DataFrame:
     """Distinct cells (x, y) of a group's grid with their component of 4 neighbours, from 0 in
     the order of first cells, by row.
 
-    Runs of a row are the nodes, cells above one another their links.  In each round a run joins
+    Components of a band of rows are the nodes, cells above one another across bands their
+    links, which grids of one band have none of.  In each round a node joins
     the neighbour that a hash of the round puts first, links move to what their ends joined, and
     repeats go, until none is left: all groups at once, a third or so of a chain's nodes a
     round.  Nothing is gathered but the number of links."""
-    runs = written(_runs(cells.select(*group, "x", "y").distinct(), group))
+    runs = written(_labelled(cells, group, band))
     at = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
-    below = runs.alias("a").join(runs.alias("b"), reduce(lambda p, q: p & q, [*at, F.col("a.x") == F.col("b.x"), F.col("a.y") + 1 == F.col("b.y")]))
+    last, next_ = runs.where(F.pmod(F.col("y") + 1, F.lit(band)) == 0).alias("a"), runs.where(F.pmod("y", F.lit(band)) == 0).alias("b")
+    below = last.join(next_, reduce(lambda p, q: p & q, [*at, F.col("a.x") == F.col("b.x"), F.col("a.y") + 1 == F.col("b.y")]))
     pairs = below.select(*[F.col(f"a.{g}") for g in group], F.col("a.run").alias("u"), F.col("b.run").alias("v")).distinct()
     links = written(pairs.unionByName(pairs.select(*group, F.col("v").alias("u"), F.col("u").alias("v"))))
+    place = lambda c: F.dense_rank().over(Window.partitionBy(*group).orderBy(c)) - 1
+    if links.isEmpty():
+        return runs.withColumn("component", place("run")).drop("run")
     named = runs.select(*group, "run").distinct().withColumn("name", F.col("run"))
     turn = 0
     while links.count():
@@ -108,7 +186,7 @@ def connected_cells(cells: DataFrame, group: list[str]) -> DataFrame:
         named = written(moved(named, "name"))
         turn += 1
     first = named.join(named.groupBy(*group, "name").agg(F.min("run").alias("first")), [*group, "name"])
-    numbered = first.withColumn("component", F.dense_rank().over(Window.partitionBy(*group).orderBy("first")) - 1)
+    numbered = first.withColumn("component", place("first"))
     return runs.join(numbered.select(*group, "run", "component"), [*group, "run"]).drop("run")
 
 
@@ -205,42 +283,7 @@ def absorbed_captions(seeds: DataFrame, texts: DataFrame, on: list[str]) -> Data
         seed, text = (pa.array(x) for x in np.divmod(codes, max(1, len(kind))))
         return pa.Table.from_arrays([*(t.column(c).take(seed) for c in (*on, "id")), t.column("text_id").take(text)], names=[*on, "id", "text_id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, waiting = [], 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            kept.append(b)
-            waiting += b.num_rows
-            if waiting < CHUNK or not (last := _last_group(kept, on)):
-                continue
-            t = pa.Table.from_batches(kept)
-            yield from met(t.slice(0, last)).to_batches()
-            kept = t.slice(last).to_batches()
-            waiting = t.num_rows - last
-        if kept:
-            yield from met(pa.Table.from_batches(kept)).to_batches()
-
-    return rows.repartition(*on).sortWithinPartitions(*on, "_part").mapInArrow(run, out)
-
-
-#: Rows that are looked at together.
-CHUNK = 1 << 16
-
-
-def _begins(t: pa.Table, on: list[str]) -> np.ndarray:
-    """Whether a row is the first of its group, in sorted rows."""
-    out = np.ones(t.num_rows, bool)
-    same = [pc.equal(c.slice(1), c.slice(0, t.num_rows - 1)) for c in (t.column(g).combine_chunks() for g in on)]
-    out[1:] = ~reduce(np.logical_and, [s.to_numpy(zero_copy_only=False) for s in same])
-    return out
-
-
-def _last_group(batches: list[pa.RecordBatch], on: list[str]) -> int:
-    """Where the last batch's last group begins, in rows of all; 0 if there is no other before it."""
-    t = pa.Table.from_batches(batches[-2:])
-    at = int(np.flatnonzero(_begins(t, on))[-1])
-    return at + sum(b.num_rows for b in batches[:-2]) if at else 0
+    return _in_groups(rows, on, ["_part"], met, out)
 
 
 #: Fixed value: texts that are a question's.

@@ -158,3 +158,13 @@ def test_captions_of_many_pages(spark):
     assert plan.count("Exchange ") == 1
     got = out.groupBy("text_id").count().collect()
     assert {(r["text_id"], r["count"]) for r in got} == {(1, 9000), (2, 9000)}
+
+
+def test_components_across_bands(spark):
+    rng = random.Random(4)
+    snake = [(x, y) for y in range(13) for x in range(9) if y % 2 == 0 or x == (8 if y % 4 == 1 else 0)]
+    pages = {1: snake, 2: [(rng.randrange(12), rng.randrange(-9, 12)) for _ in range(150)], 3: [(0, 3), (0, 4)], 4: [(0, 0)]}
+    df = spark.createDataFrame([(p, x, y) for p, cells in pages.items() for x, y in cells], "page int, x int, y int")
+    want = {(p, x, y): c for p, cells in pages.items() for (x, y), c in flood(set(cells)).items()}
+    for band in (1, 4, 1024):
+        assert {(r.page, r.x, r.y): r.component for r in V.connected_cells(df, ["page"], band).collect()} == want
