@@ -74,7 +74,9 @@ def visual_elements(images: DataFrame, drawings: DataFrame) -> DataFrame:
     table, unless an image shares area with it."""
     b = F.col("box")
     seen = images.where((b[2] - b[0] > 5) & (b[3] - b[1] > 5)).select("page", "box")
-    tables = box_join(tables_of(drawings), seen, ["page"], G.intersects, "left_anti")
+    # a page has one table at most, so each image meets one
+    at, box = (F.col("a.page") == F.col("b.page")), G.intersects(F.col("a.box"), F.col("b.box"))
+    tables = tables_of(drawings).alias("a").join(seen.alias("b"), at & box, "left_anti")
     return seen.withColumn("type", F.lit("image")).unionByName(tables.withColumn("type", F.lit("table"))).select("page", "type", "box")
 
 

@@ -168,3 +168,12 @@ def test_components_across_bands(spark):
     want = {(p, x, y): c for p, cells in pages.items() for (x, y), c in flood(set(cells)).items()}
     for band in (1, 4, 1024):
         assert {(r.page, r.x, r.y): r.component for r in V.connected_cells(df, ["page"], band).collect()} == want
+
+
+def test_tables_meet_images_once(spark):
+    lines = spark.range(600).select((F.col("id") / 6).cast("int").alias("page"), F.lit("line").alias("form"), F.lit(None).cast("string").alias("kind"), F.lit(0.0).alias("x0"), (F.col("id") % 6 * 300.0).alias("y0"), F.lit(2000.0).alias("x1"), (F.col("id") % 6 * 300.0).alias("y1"))
+    images = spark.range(0, 100, 2).select(F.col("id").cast("int").alias("page"), G.box(10, 10, 1900, 20).alias("box"))
+    out = V.visual_elements(images, lines)
+    # neither side is dealt to the buckets of a grid
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.page, r.type) for r in out.collect()} == {(k, "table" if k % 2 else "image") for k in range(100)}
