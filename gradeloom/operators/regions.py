@@ -85,9 +85,9 @@ CHUNK = 1 << 16
 
 
 def _begins(t: pa.Table, on: list[str]) -> np.ndarray:
-    """Whether a row is the first of its group, in sorted rows."""
+    """Whether a row is the first of its group, in sorted rows.  A null is like no other."""
     out = np.ones(t.num_rows, bool)
-    same = [pc.equal(c.slice(1), c.slice(0, t.num_rows - 1)) for c in (t.column(g).combine_chunks() for g in on)]
+    same = [pc.fill_null(pc.equal(c.slice(1), c.slice(0, t.num_rows - 1)), False) for c in (t.column(g).combine_chunks() for g in on)]
     out[1:] = ~reduce(np.logical_and, [s.to_numpy(zero_copy_only=False) for s in same])
     return out
 

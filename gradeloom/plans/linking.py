@@ -59,13 +59,15 @@ def linked_visuals(spark, sf_dir):
     number = F.row_number().over(Window.partitionBy(doc).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     rows = T.read(spark, sf_dir, "lineitem").withColumns({"doc": doc, "id": number.cast("long"), "order": F.col("l_partkey") % 400})
     rows = rows.withColumns({"page": F.floor(F.col("order") / 40).cast("int"), "kind": F.col("id") % 3})
-    visuals = rows.where("kind = 0").select("doc", F.col("id").alias("visual"), "order", "page", (F.col("order") % 40 * 20.0).alias("y0"), F.expr(CONTEXT).alias("context"))
-    last = F.col("order") + F.col("l_linenumber")
-    questions = rows.where("kind = 1").select("doc", F.col("id").alias("question"), F.col("l_quantity").cast("int").alias("index"), "page", F.col("order").alias("first"), last.alias("last"), F.expr(STEM).alias("stem"))
-    bottoms = questions.select("doc", "page", (F.col("last") % 40 * 20.0 + 10).alias("bottom"))
-    of = F.when(F.col("l_returnflag") != "R", F.col("l_linenumber"))
-    materials = rows.where("kind = 2").select("doc", F.col("id").alias("material"), F.col("order").alias("first"), (F.col("order") + 3).alias("last"), F.col("page").alias("page_start"), (F.col("page") + F.col("l_linenumber") % 2).alias("page_end"), of.alias("low"), (of + 30).alias("high"))
-    return L.assigned(visuals, questions, materials, bottoms).withColumn("score", F.col("score").cast("long"))
+    order, page, of = F.col("order"), F.col("page"), F.when(F.col("l_returnflag") != "R", F.col("l_linenumber"))
+    last = order + F.col("l_linenumber")
+    own = lambda kind, *c: F.when(F.col("kind") == kind, F.struct(*c))
+    visual = own(0, F.col("id").alias("visual"), "order", "page", (order % 40 * 20.0).alias("y0"), F.expr(CONTEXT).alias("context"))
+    question = own(1, F.col("id").alias("question"), F.col("l_quantity").cast("int").alias("index"), "page", order.alias("first"), last.alias("last"), F.expr(STEM).alias("stem"))
+    bottom = own(1, "page", (last % 40 * 20.0 + 10).alias("bottom"))
+    material = own(2, F.col("id").alias("material"), order.alias("first"), (order + 3).alias("last"), page.alias("page_start"), (page + F.col("l_linenumber") % 2).alias("page_end"), of.alias("low"), (of + 30).alias("high"))
+    rows = rows.select("doc", visual.alias("visual"), question.alias("question"), material.alias("material"), bottom.alias("bottom"))
+    return L.assigned_elements(rows).withColumn("score", F.col("score").cast("long"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from gradeloom.operators import linking as L
 
 V = "doc int, visual long, page int, order int, y0 double, context string"
@@ -63,3 +65,34 @@ def test_backward_links(spark):
     # 8 ends below a, so a takes 2, and b what is left above it: 8; z and d are no question's, c's question is above it
     assert got == [(1, 2, "a"), (1, 8, "b")]
     assert L.backward_links(q.limit(0), m).count() == 0
+
+
+def made(spark):
+    rng = random.Random(4)
+    text = lambda: rng.choice([None, ""] + [" ".join(rng.choice(["甲乙", "丙丁", "戊己", "上图", "w1"]) for _ in range(3)) for _ in range(6)])
+    some = lambda n: n if rng.random() < 0.9 else None
+    docs = [1, 2, None]
+    visuals = [(rng.choice(docs), k, some(rng.randrange(6)), some(rng.randrange(60)), some(rng.random() * 300), text()) for k in range(90)]
+    questions = [(rng.choice(docs), k, some(rng.randrange(60)), rng.randrange(6), f := rng.randrange(60), f + rng.randrange(4), text()) for k in range(60)]
+    materials = [(rng.choice(docs), k, f := rng.randrange(60), f + 3, p := rng.randrange(6), p + rng.randrange(2), some(20), some(40)) for k in range(40)]
+    bottoms = [(rng.choice(docs), p, some(rng.random() * 200)) for p in range(6)]
+    return [spark.createDataFrame(r, s) for r, s in ((visuals, V), (questions, Q), (materials, M), (bottoms, "doc int, page int, bottom double"))]
+
+
+def test_one_shuffle(spark):
+    plan = L.assigned(*made(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_all_visuals_once(spark):
+    v, *rest = made(spark)
+    got = L.assigned(v, *rest).collect()
+    assert sorted((str(r.doc), r.visual) for r in got) == sorted((str(r.doc), r.visual) for r in v.collect())
+    assert all(r.warning == "visual_unassigned" for r in got if r.doc is None) and sum(r.target is not None for r in got) > 20
+
+
+def test_pairs_in_slices(spark, monkeypatch):
+    rows = L._flat(L.elements(*made(spark))).orderBy("doc").toArrow()
+    whole = L._assigned(rows)
+    monkeypatch.setattr(L, "MOST", 1)
+    assert L._assigned(rows).equals(whole)
