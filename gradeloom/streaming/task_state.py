@@ -8,6 +8,9 @@ that is taken up again from its checkpoint ends like one that was never stopped.
 
 While a task is paused its messages are ignored, as the platform does it, or, if asked for,
 held and applied when it goes on.
+
+A call of Python and its state cost milliseconds, whatever is in them.  So tasks are dealt to
+buckets by a hash, and a bucket's tasks are one group of the stream with one state.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ _FIELDS = ("status", "progress", "done", "total", "linked", "material_sum", "ign
 _MESSAGE = ("seq", "kind", "temp_id", "material_id", "amount", "announced")
 _WAITING = "array<struct<seq: long, kind: string, temp_id: string, material_id: long, amount: long, announced: long>>"
 STATE = (
-    "status string, progress int, done long, total long, linked long, material_sum long, ignored long, repeats long, applied long, "
-    f"temp_ids array<string>, material_ids array<long>, early {_WAITING}, held {_WAITING}"
+    "tasks array<struct<task: long, status: string, progress: int, done: long, total: long, linked: long, material_sum: long, ignored: long, repeats: long, applied: long, "
+    f"temp_ids: array<string>, material_ids: array<long>, early: {_WAITING}, held: {_WAITING}>>"
 )
+#: Buckets, which a checkpoint is bound to; messages of one, where a table's number is known.
+BUCKETS, OF_BUCKET = 256, 8192
 
 
 class _Task:
@@ -93,34 +98,46 @@ class _Task:
             self.status, self.progress = "failed", 100
 
 
+def _values(column: pd.Series, kind: type) -> list:
+    return [None if pd.isna(v) else kind(v) for v in column.tolist()]
+
+
 def _fold(hold: bool):
+    kinds = (int, str, str, int, int, int)
+    names = [c.split()[0] for c in RESULT.split(", ")]
+
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        task = _Task(state.get if state.exists else None, hold)
-        none = lambda v: None if pd.isna(v) else v
+        tasks = {t[0]: _Task(tuple(t)[1:], hold) for t in state.get[0]} if state.exists else {}
+        touched = {}
         for pdf in batches:
-            for row in pdf[list(_MESSAGE)].itertuples(index=False):
-                seq, kind, temp_id, *numbers = row
-                task.arrive((int(seq), kind, none(temp_id), *(None if pd.isna(n) else int(n) for n in numbers)))
-        state.update(task.saved())
-        out = {"task": key[0], "materials": len(task.materials), "waiting": len(task.early) + len(task.held)} | {f: getattr(task, f) for f in _FIELDS}
-        yield pd.DataFrame([out])[[c.split()[0] for c in RESULT.split(", ")]]
+            columns = [_values(pdf[c], kind) for c, kind in zip(_MESSAGE, kinds, strict=True)]
+            for name, *message in zip(_values(pdf["task"], int), *columns, strict=True):
+                task = tasks.get(name)
+                if task is None:
+                    task = tasks[name] = _Task(None, hold)
+                touched[name] = task
+                task.arrive(tuple(message))
+        state.update(([(name, *task.saved()) for name, task in tasks.items()],))
+        out = [{"task": name, "materials": len(t.materials), "waiting": len(t.early) + len(t.held)} | {f: getattr(t, f) for f in _FIELDS} for name, t in touched.items()]
+        yield pd.DataFrame(out, columns=names, dtype=object)
 
     return fold
 
 
-def task_states(messages: DataFrame, hold: bool = False) -> DataFrame:
+def task_states(messages: DataFrame, hold: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """A row for each task that a batch of the stream ``messages`` touches: its state after it."""
-    return messages.groupBy("task").applyInPandasWithState(_fold(hold), RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
+    dealt = messages.withColumn("bucket", F.pmod(F.xxhash64("task"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(_fold(hold), RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(messages: DataFrame, folder: str, hold: bool = False) -> None:
+def run_to_end(messages: DataFrame, folder: str, hold: bool = False, buckets: int = BUCKETS) -> None:
     """Takes up the stream where its checkpoint in ``folder`` ended, and follows it to its
     present end.  A batch writes a folder of its own, again if it is replayed."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/states/{number:08d}")
 
-    query = task_states(messages, hold).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query = task_states(messages, hold, buckets).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -131,12 +148,13 @@ def last_states(spark, folder: str) -> DataFrame:
     return rows.groupBy(F.col("task").alias("_task")).agg(F.max_by(row, "batch").alias("_row")).select("_row.*")
 
 
-def replayed(messages: DataFrame, files: int = 4, hold: bool = False) -> DataFrame:
-    """States of all tasks after a table of messages is streamed from files, a file a batch, in
-    which a task's messages lie in any order."""
+def replayed(messages: DataFrame, batches: int = 4, hold: bool = False) -> DataFrame:
+    """States of all tasks after a table of messages is streamed from files in so many batches,
+    in which a task's messages lie in any order."""
     spark = messages.sparkSession
-    folder = shared_dir(spark)
-    messages.repartition(files).write.parquet(f"{folder}/messages")
-    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/messages")
-    run_to_end(stream, folder, hold)
+    folder, files = shared_dir(spark), spark.sparkContext.defaultParallelism
+    messages.repartition(batches * files).write.parquet(f"{folder}/messages")
+    buckets = max(64, spark.read.parquet(f"{folder}/messages").count() // OF_BUCKET)
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/messages")
+    run_to_end(stream, folder, hold, buckets)
     return last_states(spark, folder)

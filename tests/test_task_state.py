@@ -67,3 +67,16 @@ def test_restart_from_checkpoint(spark, tmp_path):
     before = sorted(str(p) for p in (tmp_path / "parts" / "states").iterdir())
     S.run_to_end(again(), parts)
     assert sorted(str(p) for p in (tmp_path / "parts" / "states").iterdir()) == before
+
+
+def test_tasks_of_a_bucket(spark, tmp_path):
+    """One group's state keeps all tasks of a bucket apart, and a batch returns those it touches."""
+    rows = [(t, *m[1:]) for t in range(20) for m in MESSAGES[: len(NEWS)]] + [(None, 0, *NEWS[0])]
+    found = []
+    for buckets in (1, 7):
+        folder = str(tmp_path / f"{buckets}")
+        S.run_to_end(stream(spark, folder, [rows[:50], rows[50:]]), folder, buckets=buckets)
+        assert spark.read.parquet(f"{folder}/states/*").count() == 21 + 1  # a task lies in both files
+        found.append(states(S.last_states(spark, folder)))
+    assert found[0] == found[1] and len(found[0]) == 21
+    assert found[0][None]["materials"] == 1 and {found[0][t]["done"] for t in range(20)} == {6}
