@@ -160,9 +160,9 @@ def _labelled(cells: DataFrame, group: list[str], band: int = BAND) -> DataFrame
     return _in_groups(rows, own, ["y", "x"], met, out).withColumn("run", F.struct(F.col("_y").alias("y"), F.col("_x").alias("x"))).drop("_y", "_x")
 
 
-def connected_cells(cells: DataFrame, group: list[str], band: int = BAND) -> DataFrame:
-    """Distinct cells (x, y) of a group's grid with their component of 4 neighbours, from 0 in
-    the order of first cells, by row.
+def _components(cells: DataFrame, group: list[str], band: int = BAND) -> DataFrame:
+    """Distinct cells (x, y) of a group's grid with first, the first cell (y, x) of their
+    component of 4 neighbours.
 
     Components of a band of rows are the nodes, cells above one another across bands their
     links, which grids of one band have none of.  In each round a node joins
@@ -175,9 +175,8 @@ def connected_cells(cells: DataFrame, group: list[str], band: int = BAND) -> Dat
     below = last.join(next_, reduce(lambda p, q: p & q, [*at, F.col("a.x") == F.col("b.x"), F.col("a.y") + 1 == F.col("b.y")]))
     pairs = below.select(*[F.col(f"a.{g}") for g in group], F.col("a.run").alias("u"), F.col("b.run").alias("v")).distinct()
     links = written(pairs.unionByName(pairs.select(*group, F.col("v").alias("u"), F.col("u").alias("v"))))
-    place = lambda c: F.dense_rank().over(Window.partitionBy(*group).orderBy(c)) - 1
     if links.isEmpty():
-        return runs.withColumn("component", place("run")).drop("run")
+        return runs.withColumnRenamed("run", "first")
     named = runs.select(*group, "run").distinct().withColumn("name", F.col("run"))
     turn = 0
     while links.count():
@@ -188,8 +187,14 @@ def connected_cells(cells: DataFrame, group: list[str], band: int = BAND) -> Dat
         named = written(moved(named, "name"))
         turn += 1
     first = named.join(named.groupBy(*group, "name").agg(F.min("run").alias("first")), [*group, "name"])
-    numbered = first.withColumn("component", place("first"))
-    return runs.join(numbered.select(*group, "run", "component"), [*group, "run"]).drop("run")
+    return runs.join(first.select(*group, "run", "first"), [*group, "run"]).drop("run")
+
+
+def connected_cells(cells: DataFrame, group: list[str], band: int = BAND) -> DataFrame:
+    """Distinct cells (x, y) of a group's grid with their component of 4 neighbours, from 0 in
+    the order of first cells, by row."""
+    place = F.dense_rank().over(Window.partitionBy(*group).orderBy("first")) - 1
+    return _components(cells, group, band).withColumn("component", place).drop("first")
 
 
 #: How near a caption is to what has absorbed so far, and texts that begin a question or an option.
@@ -314,16 +319,17 @@ def dark_regions(cells: DataFrame, existing: DataFrame, words: DataFrame, cell:
     dark; it is at least 100 x 50, no known box takes more than a quarter of it, words cover a
     quarter at most and are 18 at most, and none of them reads like a question.  A page has four
     at most, by first cell."""
-    found = connected_cells(cells.where(F.col("dark") > 0.08), ["page"])
+    found = _components(cells.where(F.col("dark") > 0.08), ["page"])
     edge = lambda f, c, d: (f(c) + d) * cell / scale
-    regions = found.groupBy("page", "component").agg(
+    regions = found.groupBy("page", "first").agg(
         G.box(edge(F.min, "x", 0), edge(F.min, "y", 0), edge(F.max, "x", 1), edge(F.max, "y", 1)).alias("box")
     )
     b = F.col("box")
-    regions = regions.where((b[2] - b[0] >= 100) & (b[3] - b[1] >= 50))
+    # few are left, and three joins need them
+    regions = written(regions.where((b[2] - b[0] >= 100) & (b[3] - b[1] >= 50)))
     share = lambda a, o: G.overlap(a, o) / F.greatest(G.area(a), F.lit(1.0))
     free = box_join(regions, existing.select("page", "box"), ["page"], lambda a, o: share(a, o) > 0.25, "left_anti")
-    read = text_in(free.select("page", "component", "box"), words, ["page"], question)
+    read = text_in(free.select("page", "first", "box"), words, ["page"], question)
     kept = read.where((F.col("coverage") <= 0.25) & (F.col("words") <= 18) & ~F.col("asks"))
-    place = F.row_number().over(Window.partitionBy("page").orderBy("component"))
+    place = F.row_number().over(Window.partitionBy("page").orderBy("first"))
     return kept.select("page", place.alias("n"), "box").where(F.col("n") <= most)

@@ -177,3 +177,13 @@ def test_tables_meet_images_once(spark):
     # neither side is dealt to the buckets of a grid
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.page, r.type) for r in out.collect()} == {(k, "table" if k % 2 else "image") for k in range(100)}
+
+
+def test_dark_cells_are_not_ranked(spark):
+    """Cells become regions before anything is sorted, and regions are worked out once."""
+    cells = spark.createDataFrame([(1, x, y, 0.5) for x in range(9) for y in range(5)], "page int, x int, y int, dark double")
+    boxes = spark.createDataFrame([], "page int, text string, box array<double>")
+    got = V.dark_regions(cells, boxes, boxes)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "dense_rank" not in plan and "dark" not in plan
+    assert [r.n for r in got.collect()] == [1]
