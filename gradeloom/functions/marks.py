@@ -23,26 +23,42 @@ NEAR = 3
 MARK = "struct<start: int, end: int, index: int, label: string>"
 
 
-def found(text: Column, form: str) -> Column:
-    """start, label, index and line (up to its end) of each place where a form is, in order.
-    The form has one group, a number; lines end with a line feed only."""
-    # the text's end counts as a place too, or a search without one would begin anew at each character;
-    # one pass marks all places with two characters that are no white space, others like them aside
-    pattern = F.lit(rf"(?Udsm)(.*?)(?:({form})(?=([^\n]*))|\z)")
-    cut = F.regexp_replace(F.translate(text, "\x01\x02", "\x03\x03"), pattern, F.lit("$1\x01$2\x01$3\x01$4\x02"))
-    rows = F.transform(F.split(cut, "\x02"), lambda p: F.split(p, "\x01"))
-    names = ("b", "l", "n", "r")
-    rows = F.transform(F.filter(rows, lambda p: F.size(p) == 4), lambda p: F.struct(*[p[k].alias(c) for k, c in enumerate(names)]))
-    empty = F.array().cast("array<struct<start: int, label: string, index: int, line: string>>")
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["b"])
-        line = F.when(F.contains(x["l"], F.lit("\n")), F.substring_index(x["l"], "\n", 1)).otherwise(F.concat(x["l"], x["r"]))
-        own = F.struct(start.alias("start"), x["l"].alias("label"), x["n"].try_cast("int").alias("index"), line.alias("line"))
-        return F.struct((start + F.length(x["l"])).alias("at"), F.concat(state["out"], F.array(own)).alias("out"))
-
-    found_ = F.filter(rows, lambda x: x["n"] != "")
-    return F.aggregate(found_, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+def unmarked(text: Column) -> Column:
+    """The text without the two characters that ``places`` marks places with, which few texts have."""
+    return F.when(F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02")), F.translate(text, "\x01\x02", "\x03\x03")).otherwise(text)
+
+
+def places(text: Column, forms: tuple[str, ...]) -> Column:
+    """start, line (up to its end, if forms begin at lines' starts only) and hits, label and index
+    in order of the forms, of each place where a form is, each form's finds apart from one
+    another.  A form has one group, a number, and begins at a line's start or with a character
+    of its own; lines end with a line feed only."""
+    # one pass for all forms: a text is looked at where lines or the forms' characters begin, and passed over up to
+    # the next such place, a run of white space at once; places are marked with two characters that are no white space
+    # of the lines' starts in white space only the first and the last two can be a find's, as finds take what follows them.
+    # (a class that leaves out characters beyond ASCII is many times slower than these two)
+    chars = "|".join(sorted({f[0] for f in forms} - {"^"}))
+    step = r"\n|[^\n]" + (rf"(?:[\x00-\x09\x0b-\x7f]++|(?!{chars})[^\n])*+" if chars else r"[^\n]*+")
+    none = "|".join(f.replace("(\\d", "(?:\\d") for f in forms)
+    looks = "".join(rf"(?:(?=({f}))|)" for f in forms)
+    pattern = F.lit(rf"(?Udsm)((?:(?!{none})(?:^\s++|{step}))*+){looks}((?:^\s*\n(?=[^\S\n]*\n)|{step})?+)")
+    last = 2 * len(forms) + 2
+    cut = F.regexp_replace(unmarked(text), pattern, F.lit("\x01".join(f"${k}" for k in range(1, last + 1)) + "\x02"))
+    rows = F.filter(F.transform(F.split(cut, "\x02"), lambda p: F.split(p, "\x01")), lambda p: F.size(p) == last)
+    empty = F.array().cast("array<struct<start: int, line: string, hits: array<struct<label: string, index: int>>>>")
+    ends = [f"end{k}" for k in range(len(forms))]
+
+    def fold(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x[0])
+        labels = [x[2 * k + 1] for k in range(len(forms))]
+        is_hit = [(label != "") & (start >= state[e]) for label, e in zip(labels, ends, strict=True)]
+        hits = [F.when(h, F.struct(label.alias("label"), x[2 * k + 2].try_cast("int").alias("index"))) for k, (h, label) in enumerate(zip(is_hit, labels, strict=True))]
+        own = F.struct(start.alias("start"), F.substring_index(x[last - 1], "\n", 1).alias("line"), F.array_compact(F.array(*hits)).alias("hits"))
+        moved = [F.when(h, start + F.length(label)).otherwise(state[e]).alias(e) for h, label, e in zip(is_hit, labels, ends, strict=True)]
+        return F.struct((start + F.length(x[last - 1])).alias("at"), *moved, F.concat(state["out"], F.array(own)).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), *[F.lit(0).alias(e) for e in ends], empty.alias("out"))
+    return F.filter(F.aggregate(rows, begin, fold, lambda s: s["out"]), lambda m: F.size(m["hits"]) > 0)
 
 
 def _is_none(line: Column) -> Column:
@@ -53,14 +69,14 @@ def _is_none(line: Column) -> Column:
 def question_marks(text: Column) -> Column:
     """The marks of a text, in order; a null text has none.  Of marks at one place the longest
     counts, and one less than three characters after a kept one doesn't."""
-    text = F.coalesce(text, F.lit(""))
-    spans = [F.filter(found(text, f), lambda m: ~_is_none(m["line"])) for f in FORMS]
-    ends = lambda m: m["start"] + F.length(m["label"])
-    ordered = F.array_sort(F.transform(F.concat(*spans), lambda m: F.struct(m["start"].alias("start"), (-ends(m)).alias("minus_end"), m["index"].alias("index"), m["label"].alias("label"))))
+    own = F.filter(places(F.coalesce(text, F.lit("")), FORMS), lambda m: ~_is_none(m["line"]))
+    longest = lambda m: F.reduce(m["hits"], m["hits"][0], lambda a, h: F.when(F.length(h["label"]) > F.length(a["label"]), h).otherwise(a))
+    ordered = F.transform(own, lambda m: F.struct(m["start"].alias("start"), longest(m).alias("hit")))
     kept = F.array().cast(f"array<{MARK}>")
 
     def step(state: Column, m: Column) -> Column:
-        own = F.struct(m["start"].alias("start"), (-m["minus_end"]).alias("end"), m["index"].alias("index"), m["label"].alias("label"))
+        label = m["hit"]["label"]
+        own = F.struct(m["start"].alias("start"), (m["start"] + F.length(label)).alias("end"), m["hit"]["index"].alias("index"), label.alias("label"))
         near = m["start"] < state["free"]
         return F.struct(F.when(near, state["free"]).otherwise(m["start"] + NEAR).alias("free"), F.when(near, state["out"]).otherwise(F.concat(state["out"], F.array(own))).alias("out"))
 

@@ -198,11 +198,10 @@ def let(value: Column, body) -> Column:
 def anchors_in(text: Column) -> Column:
     """Anchors in a text, in order: start, index and label; where two forms start at one place
     the first form's counts."""
-    from gradeloom.functions.marks import found
+    from gradeloom.functions.marks import places
 
-    rows = [F.transform(found(text, f), lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("form"), m["index"].alias("index"), F.trim(m["label"]).alias("label"))) for k, f in enumerate(ANCHORS)]  # noqa: B023
-    first = lambda ordered: F.filter(ordered, lambda m, i: (i == 0) | (F.get(ordered, i - 1)["start"] < m["start"]))
-    return F.transform(let(F.array_sort(F.concat(*rows)), first), lambda m: m.dropFields("form"))
+    own = lambda m, hit: F.struct(m["start"].alias("start"), hit["index"].alias("index"), F.trim(hit["label"]).alias("label"))
+    return F.transform(places(text, ANCHORS), lambda m: own(m, m["hits"][0]))
 
 
 def cut_at_anchors(text: Column) -> Column:

@@ -63,3 +63,20 @@ def test_chapter_level(spark):
     lines = ["第一章 x", "三、乙", "12.丙", "考法三", "12. 丙丙丙丙丙", "文", "第一章" + "长" * 60, "12. 丙"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "k int, t string")
     assert [r.v for r in df.orderBy("k").select(X.chapter_level(df.t).alias("v")).collect()] == [0, 1, 2, 3, None, None, None, 2]
+
+
+def test_one_pass_over_a_text(spark):
+    df = spark.createDataFrame([("1、a",)], "t string")
+    for c in (K.question_marks(df.t), X.anchors_in(df.t)):
+        assert df.select(c.alias("m"))._jdf.queryExecution().analyzed().toString().count("regexp_replace(CASE") == 1
+
+
+def test_many_blank_lines(spark):
+    df = spark.createDataFrame([("\n" * 100_000 + "5、a",)], "t string")
+    assert [m.start for m in df.select(K.question_marks(df.t).alias("m")).first().m] == [0]
+
+
+def test_numbers_between_empty_lines(spark):
+    text = "5\n\n7\n\n\n \n8\n9"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert [(m.start, m.end, m["index"]) for m in df.select(K.question_marks(df.t).alias("m")).first().m] == plain(text)
