@@ -65,6 +65,26 @@ def test_chapter_level(spark):
     assert [r.v for r in df.orderBy("k").select(X.chapter_level(df.t).alias("v")).collect()] == [0, 1, 2, 3, None, None, None, 2]
 
 
+def plain_anchors(text):
+    """start, index and label of each form's finds; the first form's counts at one place."""
+    at = {}
+    for k, form in enumerate(X.ANCHORS):
+        for m in re.finditer("(?m)" + form, text):
+            at.setdefault(m.start(), []).append((k, int(m[1]), m[0].strip(" ")))
+    return [(start, *min(at[start])[1:]) for start in sorted(at)]
+
+
+def test_anchors_against_python(spark):
+    parts = ["【例 3】", "例 %d：", "第 2 题", "第二题", "%d. ", "%d、", "\n", " ", "例", "【", "文é", "a.b", "12 ", "\x01\x02"]
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(parts).replace("%d", str(rng.randrange(2000))) for _ in range(40)) for _ in range(60)]
+    texts += ["\n\n  5. x\n 例 6: 例 7：", "4、\n   5、x\n\n6、"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.m for r in df.select("id", X.anchors_in(df.t).alias("m")).collect()}
+    for k, text in enumerate(texts):
+        assert [tuple(m) for m in got[k]] == plain_anchors(text), text
+
+
 def test_one_pass_over_a_text(spark):
     df = spark.createDataFrame([("1、a",)], "t string")
     for c in (K.question_marks(df.t), X.anchors_in(df.t)):
