@@ -20,12 +20,18 @@ def text_evidence(shared: Column, size: Column) -> Column:
     return F.when(size > 0, out).otherwise(F.lit(0))
 
 
+#: Questions whose pairs with sources are counted in one task.
+OF_TASK = 2048
+
+
 def evidence_pairs(questions: DataFrame, sources: DataFrame, q: tuple[str, str], s: tuple[str, str]) -> DataFrame:
     """Pairs of a question and a source, all with all, that have points for words in common:
     both ids, shared and evidence.  ``q`` and ``s`` name id and token list (distinct) of each
     side.  They meet by their words, so those without a common one never do."""
     (qid, qt), (sid, st) = q, s
-    left = questions.select(qid, F.size(qt).alias("_size"), F.explode(qt).alias("_w"))
+    # a task holds the pairs of its questions: so many at most, more or less, and all in one place
+    dealt = questions.select(qid, qt).repartition(-(-questions.count() // OF_TASK) or 1, qid)
+    left = dealt.select(qid, F.size(qt).alias("_size"), F.explode(qt).alias("_w"))
     shared = left.join(sources.select(sid, F.explode(st).alias("_w")), "_w").groupBy(qid, sid).agg(F.count(F.lit(1)).alias("shared"), F.first("_size").alias("_size"))
     return shared.select(qid, sid, "shared", text_evidence(F.col("shared"), F.col("_size")).alias("evidence")).where(F.col("evidence") > 0)
 

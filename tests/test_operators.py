@@ -222,3 +222,15 @@ def test_image_places_are_worked_out_once(spark):
     assert [i.same_visual_group_id for i in of(I.grouped(a, F.lit("c"), F.lit("g")))] == [None, None, None]
     plan = spark.range(1).select(I.removed(a, F.lit("b")).alias("v"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("array_position") == 1
+
+
+def test_evidence_pairs_in_small_tasks(spark, monkeypatch):
+    from gradeloom.operators import scoring
+
+    monkeypatch.setattr(scoring, "OF_TASK", 10)
+    words = [f"w{k}" for k in range(12)]
+    q = spark.createDataFrame([(k, words[: 1 + k % 12]) for k in range(95)], "q long, t array<string>")
+    s = spark.createDataFrame([(7, words), (8, words[:3])], "s long, t array<string>")
+    got = scoring.evidence_pairs(q, s, ("q", "t"), ("s", "t"))
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.q, r.s, r.shared) for r in got.collect()} == {(k, x, min(n, 1 + k % 12)) for k in range(95) for x, n in ((7, 12), (8, 3)) if min(n, 1 + k % 12) >= 3 and min(n, 1 + k % 12) / (1 + k % 12) >= 0.15}
