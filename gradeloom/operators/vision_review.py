@@ -7,7 +7,7 @@ before it left, in one fold; images are changed or added inside their array by t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import arrays as A
@@ -137,11 +137,16 @@ VISUAL = ("visual_id", "belongs", "linked_by", "link_reason", "role", "summary",
 def matched_reviews(questions: DataFrame, reviews: DataFrame) -> DataFrame:
     """Reviews with place, that of their question; those of no question go."""
     names = F.array(F.col("id"), F.col("index").cast("string"), F.concat(F.lit("q"), F.col("index").cast("string")))
-    aliases = questions.select("layout", "place", F.explode(F.array_distinct(F.array_compact(names))).alias("_alias")).where(F.trim("_alias") != "")
-    aliases = aliases.groupBy("layout", "_alias").agg(F.min("place").alias("_place"))
-    asked = reviews.withColumns({"_by_id": _text(F.col("question_id")), "_by_no": F.concat(F.lit("q"), _text(F.col("question_no").cast("string")))})
+    aliases = questions.select(F.col("layout").alias("_layout"), F.col("place").alias("_place"), F.explode(F.array_distinct(F.array_compact(names))).alias("_alias")).where(F.trim("_alias") != "")
+    # hardly a name recurs: they are dealt as they are read, and a name's first place is found as the join's sort streams by
+    first = F.row_number().over(Window.partitionBy("_layout", "_alias").orderBy(F.asc_nulls_last("_place")))
+    aliases = aliases.repartition("_layout", "_alias").withColumn("_n", first).where(F.col("_n") == 1)
+    number = F.concat(F.lit("q"), _text(F.col("question_no").cast("string")))
+    # a review without an id is looked for by its number at once
+    asked = reviews.withColumns({"_by_id": F.coalesce(F.nullif(_text(F.col("question_id")), F.lit("")), number), "_by_no": number})
     for k in ("id", "no"):
-        asked = asked.join(aliases.select("layout", F.col("_alias").alias(f"_by_{k}"), F.col("_place").alias(f"_at_{k}")), ["layout", f"_by_{k}"], "left")
+        own = aliases.select("_layout", "_alias", F.col("_place").alias(f"_at_{k}"))
+        asked = asked.join(own, (F.col("layout") == F.col("_layout")) & (F.col(f"_by_{k}") == F.col("_alias")), "left").drop("_layout", "_alias")
     return asked.withColumn("place", F.coalesce("_at_id", "_at_no")).where(F.col("place").isNotNull()).drop("_by_id", "_by_no", "_at_id", "_at_no")
 
 
@@ -150,16 +155,23 @@ def reviewed(questions: DataFrame, reviews: DataFrame, visuals: DataFrame) -> Da
     needs_review and others) with all of ``STATE`` after their reviews; one without a review
     has its own values and nulls.  visuals: layout, ref and role of what the pages have."""
     own = matched_reviews(questions, reviews)
-    key = ["layout", "place", "page", "n"]
-    each = own.select(*key, F.posexplode_outer("visuals").alias("_k", "_v"))
-    known = visuals.groupBy("layout", "ref").agg(F.min("role").alias("known_role"))
-    known = known.select(F.col("layout").alias("_layout"), F.col("ref").alias("known_ref"), "known_role")
-    each = each.join(known, (F.col("layout") == F.col("_layout")) & (F.trim("_v.visual_id") == F.col("known_ref")), "left")
-    shown = F.struct("_k", *[F.col(f"_v.{c}").alias(c) for c in VISUAL], "known_ref", "known_role")
-    lists = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull(), shown))).alias("_visuals"))
-    full = own.drop("visuals").join(lists, key).select("layout", "place", F.struct("page", "n", "question_no", *REVIEW, F.col("_visuals").alias("visuals")).alias("_r"))
-    order = lambda a, b: F.when(F.struct(a["page"], a["n"]) < F.struct(b["page"], b["n"]), -1).otherwise(1)
-    told = full.groupBy("layout", "place").agg(F.array_sort(F.collect_list("_r"), order).alias("_reviews"))
+    said = F.struct("page", "n", "question_no", *REVIEW)
+    each = own.select("layout", "place", "page", "n", said.alias("_r"), F.posexplode_outer("visuals").alias("_k", "_v"))
+    # a review travels with its first visual; one without a visual of a name is dealt by place, not all of a layout to one task
+    ref = F.nullif(F.trim("_v.visual_id"), F.lit(""))
+    each = each.withColumns({"_r": F.when(F.coalesce("_k", F.lit(0)) == 0, F.col("_r")), "_ref": ref, "_at": F.when(ref.isNull(), F.col("place"))})
+    known = visuals.repartition("layout", "ref").groupBy("layout", "ref").agg(F.min("role").alias("known_role"))
+    known = known.select(F.col("layout").alias("_layout"), F.col("ref").alias("known_ref"), "known_role", F.lit(None).cast("long").alias("_none"))
+    same = (F.col("layout") == F.col("_layout")) & F.col("_ref").eqNullSafe(F.col("known_ref")) & F.col("_at").eqNullSafe(F.col("_none"))
+    each = each.join(known, same, "left")
+    shown = F.when(F.col("_k").isNotNull(), F.struct(*[F.col(f"_v.{c}").alias(c) for c in VISUAL], "known_ref", "known_role"))
+    told = each.groupBy("layout", "place").agg(F.array_sort(F.collect_list(F.struct("page", "n", "_k", shown.alias("_v"), "_r"))).alias("_rows"))
+
+    def whole(x: Column) -> Column:
+        of = F.filter("_rows", lambda v: v["page"].eqNullSafe(x["page"]) & v["n"].eqNullSafe(x["n"]) & v["_v"].isNotNull())
+        return F.struct(*[x["_r"][c].alias(c) for c in ("page", "n", "question_no", *REVIEW)], F.transform(of, lambda v: v["_v"]).alias("visuals"))
+
+    told = told.select("layout", "place", F.transform(F.filter("_rows", lambda x: x["_r"].isNotNull()), whole).alias("_reviews"))
     rows = questions.join(told, ["layout", "place"], "left")
     brought = {"images": F.coalesce("images", F.array().cast(STATE["images"])), "flags": F.coalesce("flags", F.array().cast("array<string>")), "warnings": F.coalesce("warnings", F.array().cast("array<string>")), "needs_review": F.coalesce("needs_review", F.lit(False))}
     empty = {"points": F.array(), "corrections": F.array()}

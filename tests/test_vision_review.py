@@ -89,3 +89,19 @@ def test_status_of_several(spark, statuses, want):
 def test_nothing(spark):
     assert run(spark, [question(1, None)], [review(1, 0, "", "")])[1].corrections == []
     assert run(spark, [], [review(1, 0, "id1")]) == {}
+
+
+def test_without_id_or_visual(spark):
+    reviews = [review(1, 0, " ", "3", [visual("", summary="S")]), review(1, 1, None, "gone"), review(1, 2, "id8", None, [visual(" new ", summary="N")]), review(2, 0, "none", " 3 ")]
+    got = run(spark, [question(7, 3, [image("a")]), question(8, 4), question(9, 3)], reviews, [(None, "stem"), ("", "stem"), ("new", "stem"), ("new", "material")])
+    assert [len(got[k].corrections) for k in (7, 8, 9)] == [2, 1, 0]  # the first place of a number counts
+    assert [(i.ref, i.summary) for i in got[7].images] == [("a", "S")] and [(i.ref, i.role, i.summary) for i in got[8].images] == [("new", "material", "N")]
+
+
+def test_bounded_tasks(spark):
+    """Tasks that read questions count no names, and reviews are read once."""
+    q, r = spark.createDataFrame([], QUESTION), spark.createDataFrame([], REVIEW)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan(V.matched_reviews(q, r))
+    v = spark.createDataFrame([], "layout int, ref string, role string")
+    assert sum("audit_verdict" in x and "LogicalRDD" in x for x in plan(V.reviewed(q, r, v)).splitlines()) == 1
