@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gradeloom.functions.text import let
+
 # fixed values: forms of a question's number at a line's start, the surest first, and lines that only look like it
 FORMS = (
     r"^\s*【\s*例\s*(\d{1,4})\s*】\s*",
@@ -28,6 +30,27 @@ def unmarked(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02")), F.translate(text, "\x01\x02", "\x03\x03")).otherwise(text)
 
 
+def root(n: Column) -> Column:
+    """About the square root of a size, at least 1."""
+    return F.ceil(F.sqrt(F.greatest(n, F.lit(1)))).cast("int")
+
+
+def folded(rows: Column, begin: Column, fold) -> Column:
+    """What a fold collects in its state's field out.  A state is copied at each step, so slices of
+    about the square root of the rows collect apart, and what was collected is copied once a slice."""
+
+    def sliced(own: Column) -> Column:
+        width = root(F.size(own))
+
+        def one(state: Column, k: Column) -> Column:
+            part = F.aggregate(F.slice(own, k * width + 1, width), state.withField("out", begin["out"]), fold)
+            return let(part, lambda p: p.withField("out", F.concat(state["out"], p["out"])))
+
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(own) / width).cast("int")), begin, one, lambda s: s["out"])
+
+    return let(rows, sliced)
+
+
 def places(text: Column, forms: tuple[str, ...]) -> Column:
     """start, line (up to its end, if forms begin at lines' starts only) and hits, label and index
     in order of the forms, of each place where a form is, each form's finds apart from one
@@ -58,7 +81,7 @@ def places(text: Column, forms: tuple[str, ...]) -> Column:
         return F.struct((start + F.length(x[last - 1])).alias("at"), *moved, F.concat(state["out"], F.array(own)).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), *[F.lit(0).alias(e) for e in ends], empty.alias("out"))
-    return F.filter(F.aggregate(rows, begin, fold, lambda s: s["out"]), lambda m: F.size(m["hits"]) > 0)
+    return F.filter(folded(rows, begin, fold), lambda m: F.size(m["hits"]) > 0)
 
 
 def _is_none(line: Column) -> Column:
@@ -80,4 +103,4 @@ def question_marks(text: Column) -> Column:
         near = m["start"] < state["free"]
         return F.struct(F.when(near, state["free"]).otherwise(m["start"] + NEAR).alias("free"), F.when(near, state["out"]).otherwise(F.concat(state["out"], F.array(own))).alias("out"))
 
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("free"), kept.alias("out")), step, lambda s: s["out"])
+    return folded(ordered, F.struct(F.lit(0).alias("free"), kept.alias("out")), step)

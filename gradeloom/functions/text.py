@@ -208,10 +208,20 @@ def cut_at_anchors(text: Column) -> Column:
     """A text's parts from each anchor to the next, as structs of index, label and block, the
     white space around it gone; what stands before the first anchor is no part."""
 
+    from gradeloom.functions.marks import root
+
     def parts(own: Column) -> Column:
+        n, width = F.size(own), root(F.size(own))
         end = lambda i: F.coalesce(F.get(own, i + 1)["start"], F.length(text))
-        block = lambda m, i: F.regexp_replace(F.substring(text, m["start"] + 1, end(i) - m["start"]), r"(?U)^\s+|\s+$", "")
-        return F.transform(own, lambda m, i: F.struct(m["index"].alias("index"), m["label"].alias("label"), block(m, i).alias("block")))
+
+        def run(k: Column) -> Column:
+            # characters are counted from a text's beginning: a run of parts is cut out first, and then cut up
+            at = F.get(own, k * width)["start"]
+            whole = F.substring(text, at + 1, end(F.least(n, (k + 1) * width) - 1) - at)
+            block = lambda c, m, i: F.regexp_replace(F.substring(c, m["start"] - at + 1, end(k * width + i) - m["start"]), r"(?U)^\s+|\s+$", "")
+            return let(whole, lambda c: F.transform(F.slice(own, k * width + 1, width), lambda m, i: F.struct(m["index"].alias("index"), m["label"].alias("label"), block(c, m, i).alias("block"))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / width).cast("int")), run))
 
     return let(anchors_in(text), parts)
 

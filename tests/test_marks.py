@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from gradeloom.functions import marks as K
 from gradeloom.functions import text as X
@@ -100,3 +101,13 @@ def test_numbers_between_empty_lines(spark):
     text = "5\n\n7\n\n\n \n8\n9"
     df = spark.createDataFrame([(text,)], "t string")
     assert [(m.start, m.end, m["index"]) for m in df.select(K.question_marks(df.t).alias("m")).first().m] == plain(text)
+
+
+def test_many_marks(spark):
+    """Marks of a long text take time as its length, nearly; not as its square."""
+    lines = [f"{k % 9000}、 é some words of a line" for k in range(16_000)]
+    df = spark.createDataFrame([("\n".join(lines),)], "t string")
+    began = time.monotonic()
+    parts, marks = df.select(X.cut_at_anchors(df.t), K.question_marks(df.t)).first()
+    assert time.monotonic() - began < 45
+    assert [p.block for p in parts] == lines and [m["index"] for m in marks] == [p["index"] for p in parts] == [k % 9000 for k in range(16_000)]
