@@ -111,3 +111,15 @@ def test_many_marks(spark):
     parts, marks = df.select(X.cut_at_anchors(df.t), K.question_marks(df.t)).first()
     assert time.monotonic() - began < 45
     assert [p.block for p in parts] == lines and [m["index"] for m in marks] == [p["index"] for p in parts] == [k % 9000 for k in range(16_000)]
+
+
+def test_slices(spark):
+    """Marks and parts are the same where they lie in several slices."""
+    text = "\n".join(made(random.Random(k)) for k in range(8))
+    df = spark.createDataFrame([(text,)], "t string")
+    marks, parts = df.select(K.question_marks(df.t), X.cut_at_anchors(df.t)).first()
+    assert [(m.start, m.end, m["index"]) for m in marks] == plain(text) and len(marks) > 60
+    anchors = plain_anchors(text)
+    ends = [a[0] for a in anchors[1:]] + [len(text)]
+    assert len(parts) > 30
+    assert [(p["index"], p.label, p.block) for p in parts] == [(a[1], a[2], text[a[0] : e].strip()) for a, e in zip(anchors, ends, strict=True)]
