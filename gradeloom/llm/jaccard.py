@@ -16,8 +16,15 @@ are in any node's hash-order prefix (powers of two), then by hash.  It is a func
 shingle alone, so the prefixes are exact; the counts, over all documents, are kept in a table
 of fixed size, in which a collision only moves a shingle back.
 
-A list emits no pairs, but a star of each set of members that could be similar.  The stars'
-components are groups, and a group's sets meet, each sent once, in one task.  A group of more
+A list in which few members could be similar by size and place emits their pairs.  Members of
+any other list meet again with a sketch each, which tells most of them apart, and emit stars of
+those that could still be similar, no pairs.  A sketch has the parity of a set's shingles in
+each of its slots: sets differ by as many shingles at least as their sketches by bits, so what
+differs by too many bits isn't similar.  Pairs are told apart by whole sketches, members of lists
+by ``DENSE`` bits of them.  Without this, passages that many documents share, and shingles that
+are shared by chance, would bring together ever more of the documents as the input grows.
+
+The links' components are groups, and a group's sets meet, each sent once, in one task.  A group of more
 than ``TILE`` sets or ``SHINGLES`` shingles is first compared, block by block, with ``HUBS`` sets
 of its own, which joins what is alike in one step whose cost is the group's size.  What that
 leaves apart meets in blocks: of a class of sets that are joined already, or of single ones,
@@ -50,8 +57,13 @@ from gradeloom.llm.shared import batch, mixed, small_batches, tidy, written
 TILE, SHINGLES = 256, 200_000
 #: Sets of a large group that all others are compared with first.
 HUBS = 8
-#: Members of a list whose possible pairs are told apart one by one; longer lists are one star.
-LIST = 256
+#: Members of a list whose possible pairs are told apart one by one where it is first read;
+#: longer lists' members, and those with more than ``SPARSE`` pairs a member, meet with their sketches.
+LIST, SPARSE = 256, 2
+#: Members of a list that are compared by sketches; a longer one is one star.
+LONG = 2**17
+#: Bits of a sketch in lists, and of the longest sketch.
+DENSE, SKETCH = 512, 2**16
 #: Of the hash range, the part whose shingles are ordered by frequency.
 REGION = np.uint64(2**62)
 #: Light sets are smaller than this, whatever the cost.
@@ -105,6 +117,20 @@ def set_hash(s: np.ndarray) -> int:
         return int(mixed(np.array([mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Bytes of the parities of a set's shingles in slots, of which there are as many as shingles
+    or more (``DENSE`` to ``SKETCH``, a power of two); halves can be laid upon each other."""
+    bits = DENSE
+    while bits < min(len(s), SKETCH):
+        bits *= 2
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool))
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of so many bytes from one of as many or more."""
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+
+
 class Threshold:
     """Jaccard similarity of at least num / den, in whole numbers."""
 
@@ -119,6 +145,10 @@ class Threshold:
         """The least intersection of sets of a and b."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
+    def apart(self, a, b):
+        """The most shingles that are in one of similar sets of a and b only."""
+        return a + b - 2 * self.both(a, b)
+
     def prefix(self, n):
         return n - self.subset(n) + 1
 
@@ -176,22 +206,24 @@ def boundary(sizes: dict[int, int], t: Threshold, length: float) -> int:
 
 
 def _sets(n: int, t: Threshold):
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("own", pa.binary())])
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("own", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches):
         seen: set[int] = set()  # a set's shingles leave a task once
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                sizes, nodes, own = [], [], []
+                sizes, nodes, own, sketches = [], [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingle_set(text, n)
                     node = set_hash(s) if len(s) else None
                     sizes.append(len(s))
                     nodes.append(node)
-                    own.append(None if node is None or node in seen else stored(s, t).tobytes())
+                    new = node is not None and node not in seen
+                    own.append(stored(s, t).tobytes() if new else None)
+                    sketches.append(sketch(s).tobytes() if new else None)
                     seen.add(node)
-                yield batch(schema, [part.column("uid").to_pylist(), part.column("doc_id").to_pylist(), sizes, nodes, own])
+                yield batch(schema, [part.column("uid").to_pylist(), part.column("doc_id").to_pylist(), sizes, nodes, own, sketches])
 
     return tidy(run, _WORDS.clear)
 
@@ -277,34 +309,44 @@ def _postings(t: Threshold, levels, light: int):
     return tidy(run)
 
 
-def _star(nodes: np.ndarray, n: np.ndarray, place: np.ndarray, t: Threshold, long: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each member that may be similar to another to the least of those it may be
-    similar to, directly or through others.  Members come in ascending size."""
-    count = len(nodes)
-    if count == 1:
-        return nodes[:0], nodes[:0]
+def _runs(nodes: np.ndarray, n: np.ndarray, t: Threshold) -> np.ndarray:
+    """The least node of each member's run of sizes without a gap too wide."""
+    label = np.concatenate([[0], np.cumsum(n[1:] > t.largest(n[:-1]))])
+    first = np.full(label[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, label, nodes)
+    return first[label]
+
+
+def _star(nodes: np.ndarray, n: np.ndarray, place: np.ndarray, t: Threshold, long: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, kept): members that may be similar, pair by pair if they are few; else, of all members
+    that may be similar to another, each beside the least of those it may be similar to, directly
+    or through others, and its number in the list.  Members come in ascending size."""
+    count, none = len(nodes), np.zeros(0, np.int64)
     if long or count > LIST:
-        # one star for each run of sizes without a gap too wide
-        label = np.concatenate([[0], np.cumsum(n[1:] > t.largest(n[:-1]))])
-        first = np.full(label[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, label, nodes)
-        hub = first[label]
-    else:
-        rest = n - place
-        able = (n[None] <= t.largest(n[:, None])) & (n[:, None] <= t.largest(n[None])) & (np.minimum(rest[:, None], rest[None]) >= t.both(n[:, None], n[None]))
-        hub = nodes.copy()
-        while True:
-            least = np.where(able, hub[None], hub[:, None]).min(axis=1)
-            least = np.minimum(least, hub)
-            if (least == hub).all():
-                break
-            hub = least
-    keep = hub != nodes
-    return nodes[keep], hub[keep]
+        return nodes, _runs(nodes, n, t), np.arange(count)
+    rest = n - place
+    able = (n[None] <= t.largest(n[:, None])) & (n[:, None] <= t.largest(n[None])) & (np.minimum(rest[:, None], rest[None]) >= t.both(n[:, None], n[None]))
+    one, two = np.nonzero(np.triu(able, 1))
+    if len(one) <= SPARSE * count:
+        return nodes[one], nodes[two], none
+    hub = nodes.copy()
+    while True:
+        least = np.where(able, hub[None], hub[:, None]).min(axis=1)
+        least = np.minimum(least, hub)
+        if (least == hub).all():
+            break
+        hub = least
+    np.fill_diagonal(able, False)
+    kept = np.flatnonzero(able.any(axis=1))
+    return nodes[kept], hub[kept], kept
+
+
+#: A pair that may be similar (key is null); or a member a of a list, with b the hub of its star.
+FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
 
 
 def _lists(t: Threshold):
-    """Links of the stars of each key's list; rows come sorted by key, size and node."""
+    """Rows of ``FOUND`` of each key's list; rows come sorted by key, size and node."""
 
     def stars(key, node, n, place, long=()):
         if len(key):
@@ -312,10 +354,19 @@ def _lists(t: Threshold):
             key, node, n, place = (x[~same] for x in (key, node, n, place))
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
         size = np.diff(np.concatenate([start, [len(key)]]))
-        found = [_star(node[s : s + c], n[s : s + c], place[s : s + c], t, key[s] in long) for s, c in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True)]
-        if not found:
-            return np.zeros((0, 2), np.int64)
-        return np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
+        pairs, members = [np.zeros((0, 2), np.int64)], []
+        for s, c in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            a, b, kept = _star(node[s : s + c], n[s : s + c], place[s : s + c], t, key[s] in long)
+            if len(kept):
+                members.append((a, b, key[s + kept], n[s + kept], place[s + kept]))
+            elif len(a):
+                pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        if len(pairs):
+            null = lambda kind: pa.nulls(len(pairs), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), null(pa.int64()), null(pa.int32()), null(pa.int32())], schema=FOUND)
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*members, strict=True)], schema=FOUND)
 
     def run(batches):
         held, long = None, None  # rows that wait; the key of a list that is a star already
@@ -330,19 +381,146 @@ def _lists(t: Threshold):
             last = int(np.argmax(now[0] == key))
             if len(now[0]) - last > 8 * LIST:
                 # the rest of the list that was a star before may be in this batch, too
-                links = stars(*now, long=(long, key))
+                yield from stars(*now, long=(long, key))
                 held, long = [x[-1:] for x in now], key
             else:
-                links = stars(*(x[:last] for x in now), long=(long,))
+                yield from stars(*(x[:last] for x in now), long=(long,))
                 held = [x[last:] for x in now]
-            if len(links):
-                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
-        if held is not None and len(links := stars(*held, long=(long,))):
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+        if held is not None:
+            yield from stars(*held, long=(long,))
+
+    return tidy(run)
+
+
+def linked_by_sketch(n: np.ndarray, place: np.ndarray, sketches: np.ndarray, t: Threshold, cells: int = 200_000) -> np.ndarray:
+    """A number for each member of a list, the same for those that size, place and sketch allow to
+    be similar, directly or through others.  Members come in ascending size; sketches are rows of
+    64-bit words."""
+    count, rest = len(n), n - place
+    forest = _Forest(count)
+    label = np.zeros(count, np.int64)
+
+    def meet(rows: np.ndarray, columns: np.ndarray) -> None:
+        """All of some members with all of others; what is joined already is left out."""
+        step = max(1, cells // max(1, len(rows)))
+        for at in range(0, len(columns), step):
+            right = columns[at : at + step]
+            low, high = np.minimum(n[rows][:, None], n[right][None]), np.maximum(n[rows][:, None], n[right][None])
+            able = (label[rows][:, None] != label[right][None]) & (high <= t.largest(low)) & (np.minimum(rest[rows][:, None], rest[right][None]) >= t.both(low, high))
+            i, j = np.nonzero(able)
+            i, j = rows[i], right[j]
+            near = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64) <= t.apart(n[i], n[j])
+            for a, b in np.unique(np.stack([label[i[near]], label[j[near]]], axis=1), axis=0).tolist():
+                forest.join(a, b)
+
+    def relabel() -> np.ndarray:
+        return np.array([forest.top(x) for x in range(count)], np.int64)
+
+    label = np.arange(count)
+    if count * count <= cells:
+        meet(label, label)
+        return relabel()
+    some = np.unique(np.linspace(0, count - 1, HUBS).astype(int))
+    for k in some.tolist():  # a list of near copies is joined by these
+        meet(np.array([k]), np.arange(np.searchsorted(n, t.subset(n[k])), np.searchsorted(n, t.largest(n[k]), "right")))
+    label = relabel()
+    names, often = np.unique(label, return_counts=True)
+    main = label == names[np.argmax(often)]  # these needn't meet one another
+    at = 0
+    while at < count:
+        stop = min(count, at + 64)
+        until = int(np.searchsorted(n, t.largest(n[stop - 1]), "right"))
+        rows, columns = np.arange(at, stop), np.arange(at, until)
+        meet(rows[~main[rows]], columns)
+        meet(rows[main[rows]], columns[~main[columns]])
+        at = stop
+    return relabel()
+
+
+def _dense(t: Threshold):
+    """Links of stars of lists' members, which come sorted by key, size and node."""
+    names = ("key", "node", "n", "place")
+
+    def stars(key, node, n, place, sketches, long=None):
+        same = np.concatenate([[False], (key[1:] == key[:-1]) & (node[1:] == node[:-1])])
+        key, node, n, place, sketches = (x[~same] for x in (key, node, n.astype(np.int64), place.astype(np.int64), sketches))
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        out = []
+        for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+            if key[s] == long:
+                hub = _runs(node[s:e], n[s:e], t)
+            else:
+                label = linked_by_sketch(n[s:e], place[s:e], sketches[s:e], t)
+                hub = node[s:e][label]
+            out.append(np.stack([node[s:e], hub], axis=1)[hub != node[s:e]])
+        links = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    def run(batches):
+        held, waits, long = [], 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append([b.column(c).to_numpy() for c in names] + [np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(b.num_rows, -1)])
+            waits += b.num_rows
+            key = held[-1][0][-1]
+            if held[0][0][0] == key and waits <= LONG:
+                continue  # all that waits is one list, which may go on
+            now = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = int(np.argmax(now[0] == key))
+            if waits - last > LONG:
+                if last:
+                    yield stars(*(x[:last] for x in now), long=long)
+                long = key
+                yield stars(*(x[last:] for x in now), long=long)
+                last = waits - 1
+            elif last:
+                yield stars(*(x[:last] for x in now), long=long)
+            held, waits = [[x[last:] for x in now]], waits - last
+        if held:
+            yield stars(*(np.concatenate(x) for x in zip(*held, strict=True)), long=long)
 
     return tidy(run)
 
 
+def _near_pairs(t: Threshold):
+    """Pairs that their sketches allow to be similar."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= t.apart(n, m))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _short(batches):
+    """Sketches of ``DENSE`` bits."""
+    for b in batches:
+        short = [folded(np.frombuffer(x, np.uint8), DENSE // 8).tobytes() for x in b.column("sketch").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(short, pa.binary())], names=["node", "sketch"])
+
+
+def candidates(postings: DataFrame, own: DataFrame, t: Threshold) -> DataFrame:
+    """Links that connect what any similar pairs of nodes connect, from ``postings`` and the nodes'
+    sketches in ``own`` (node, n, sketch)."""
+    found = written(postings.mapInArrow(_lists(t), "a long, b long, key long, n int, place int"))
+    sketches = written(own.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    pairs = found.where(F.col("key").isNull()).select("a", "b").distinct()
+    pairs = pairs.join(sketches.select(F.col("node").alias("a"), "n", F.col("sketch").alias("x")), "a")
+    pairs = pairs.join(sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+    members = found.where(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), "n", "place")
+    members = members.join(sketches.select("node", "sketch").mapInArrow(_short, "node long, sketch binary"), "node")
+    members = members.repartition("key").sortWithinPartitions("key", "n", "node")
+    near = pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(_near_pairs(t), "a long, b long")
+    with small_batches(own.sparkSession, 2000):
+        return written(near.unionByName(members.mapInArrow(_dense(t), "a long, b long")))
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -543,7 +721,7 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> t
     t = Threshold(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.xxhash64("doc_id", "text"))
     with small_batches(spark, 2000):
-        rows = written(docs.select("uid", "doc_id", "text").mapInArrow(_sets(words, t), "uid long, doc_id long, n int, node long, own binary"))
+        rows = written(docs.select("uid", "doc_id", "text").mapInArrow(_sets(words, t), "uid long, doc_id long, n int, node long, own binary, sketch binary"))
     own = rows.where(F.col("own").isNotNull())
     table, length = frequency_levels(own.select("n", "own").mapInArrow(_hash_prefixes(t), "key long"))
     sizes = {r["n"]: r["count"] for r in own.where(F.col("n") < SMALL).groupBy("n").count().collect()}
@@ -551,7 +729,7 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> t
     levels = spark.sparkContext.broadcast(table)  # of fixed size
     postings = own.select("own", "n", "node").mapInArrow(_postings(t, levels, light), "key long, node long, n int, place int")
     postings = postings.repartition("key").sortWithinPartitions("key", "n", "node")
-    groups = components(postings.mapInArrow(_lists(t), "a long, b long"))
+    groups = components(candidates(postings, own, t))
 
     # one document of each node in a group brings its set
     bring = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("uid").alias("uid"), F.first("n").alias("n"))

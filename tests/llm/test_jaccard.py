@@ -179,3 +179,69 @@ def test_components(spark, few):
     chain = [(k, k + 1) for k in range(0, 300)] + [(1000, 1000 + k) for k in range(1, 50)]
     got = components(spark.createDataFrame(chain, "a long, b long"), few).groupBy("component").agg(F.collect_set("node").alias("n")).collect()
     assert sorted(sorted(r["n"]) for r in got) == [list(range(301)), list(range(1000, 1050))]
+
+
+def test_a_passage_brings_no_documents_together(spark, monkeypatch):
+    """Documents that share a passage, more than a list's bound, aren't one group to be compared
+    all with all."""
+    monkeypatch.setattr(J, "LIST", 8)
+    monkeypatch.setattr(J, "TILE", 16)
+
+    def large(*_):
+        raise AssertionError("a group of documents that a passage has brought together")
+
+    monkeypatch.setattr(J, "large_links", large)
+    rng = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(70))
+    rows = [(k, passage + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(40)), None, None, None) for k in range(60)]
+    rows += family(rng, 6, 110, 1, 100)
+    check(spark, rows)
+
+
+def some_sets(rng, count):
+    """Sets of about 10 to 3000, near ones among them."""
+    out = []
+    while len(out) < count:
+        base = [rng.getrandbits(64) for _ in range(rng.choice([10, 50, 90, 100, 110, 400, 900, 3000]))]
+        for _ in range(rng.randrange(1, 6)):
+            own = set(base[: len(base) - rng.randrange(1 + len(base) // 6)]) | {rng.getrandbits(64) for _ in range(rng.randrange(1 + len(base) // 10))}
+            out.append(np.sort(np.array(sorted(own), np.uint64)))
+    return out[:count]
+
+
+def test_sketches_differ_by_no_more_than_their_sets():
+    rng = random.Random(3)
+    sets = some_sets(rng, 60)
+    marks = [J.sketch(s) for s in sets]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            size = min(len(marks[i]), len(marks[j]))
+            apart = int(np.bitwise_count(J.folded(marks[i], size) ^ J.folded(marks[j], size)).sum())
+            assert apart <= len(np.setxor1d(a, b))
+            if not len(np.intersect1d(a, b)) and 80 * max(len(a), len(b)) <= 100 * min(len(a), len(b)):
+                assert apart > J.Threshold(80, 100).apart(len(a), len(b))
+
+
+@pytest.mark.parametrize(("cells", "long", "rows"), [(10**6, 2**17, 1000), (300, 2**17, 7), (300, 50, 7), (300, 50, 1000)])
+def test_lists_by_sketches(monkeypatch, cells, long, rows):
+    """Whatever the batches and bounds, similar members of a list stay connected."""
+    monkeypatch.setattr(J, "LONG", long)
+    monkeypatch.setattr(J.linked_by_sketch, "__defaults__", (cells,))
+    t, rng = J.Threshold(80, 100), random.Random(rows + cells)
+    sets = some_sets(rng, 150)
+    short = [J.folded(J.sketch(s), J.DENSE // 8).tobytes() for s in sets]
+    members = sorted((key, len(sets[k]), k) for key, part in enumerate((range(3), range(3, 140), range(100, 150))) for k in part)
+    table = pa.table({"key": pa.array([m[0] for m in members], pa.int64()), "node": pa.array([m[2] for m in members], pa.int64()), "n": pa.array([m[1] for m in members], pa.int32()), "place": pa.array([0] * len(members), pa.int32()), "sketch": [short[m[2]] for m in members]})
+    forest = J._Forest(len(sets))
+    links = 0
+    for out in J._dense(t)(iter(table.to_batches(rows))):
+        links += out.num_rows
+        for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            forest.join(a, b)
+    for key, _, a in members:
+        for other, _, b in members:
+            if key == other and a < b and 100 * len(both := np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - len(both)):
+                assert forest.top(a) == forest.top(b)
+    if long > 1000:  # sets that have nothing in common are apart, but for those too large for so few bits
+        groups = Counter(forest.top(k) for k in range(len(sets)) if len(sets[k]) < 1200)
+        assert max(groups.values()) <= 5
