@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.components import components
-from gradeloom.llm.shared import batch, mixed, small_batches, tidy, written
+from gradeloom.llm.shared import batch, free, mixed, small_batches, tidy, written
 
 #: Sets and shingles of one task's block; a larger group is dealt out in pairs of blocks.
 TILE, SHINGLES = 256, 200_000
@@ -724,12 +724,14 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> t
         rows = written(docs.select("uid", "doc_id", "text").mapInArrow(_sets(words, t), "uid long, doc_id long, n int, node long, own binary, sketch binary"))
     own = rows.where(F.col("own").isNotNull())
     table, length = frequency_levels(own.select("n", "own").mapInArrow(_hash_prefixes(t), "key long"))
+    free(spark)
     sizes = {r["n"]: r["count"] for r in own.where(F.col("n") < SMALL).groupBy("n").count().collect()}
     light = boundary(sizes, t, length)
     levels = spark.sparkContext.broadcast(table)  # of fixed size
     postings = own.select("own", "n", "node").mapInArrow(_postings(t, levels, light), "key long, node long, n int, place int")
     postings = postings.repartition("key").sortWithinPartitions("key", "n", "node")
     groups = components(candidates(postings, own, t))
+    free(spark)
 
     # one document of each node in a group brings its set
     bring = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("uid").alias("uid"), F.first("n").alias("n"))
@@ -751,6 +753,7 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> t
             large = written(brought(bring.where("large")).dropDuplicates(["node"]).select("group", "node", "n", "shingles"))
         links = written(links.unionByName(large_links(large, t)))
     named = components(links)
+    free(spark)
     firsts = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(named, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = firsts.groupBy("component").agg(F.min("first").alias("component_id"))

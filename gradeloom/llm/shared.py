@@ -54,6 +54,13 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Shuffle files that nothing refers to any more go now; else they stay until the driver
+    happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def file_system(uri: str):
     """pyarrow's file system and path of a URI, on the driver or in a task."""
     from pyarrow import fs

@@ -245,3 +245,20 @@ def test_lists_by_sketches(monkeypatch, cells, long, rows):
     if long > 1000:  # sets that have nothing in common are apart, but for those too large for so few bits
         groups = Counter(forest.top(k) for k in range(len(sets)) if len(sets[k]) < 1200)
         assert max(groups.values()) <= 5
+
+
+def test_keep_one_of_documents_that_share_a_passage(spark, monkeypatch):
+    """As above, with the pipeline's words and threshold."""
+    monkeypatch.setattr(J, "LIST", 8)
+    monkeypatch.setattr(J, "TILE", 16)
+
+    def large(*_):
+        raise AssertionError("a group of documents that a passage has brought together")
+
+    monkeypatch.setattr(J, "large_links", large)
+    rng = random.Random(13)
+    passage = " ".join(f"p{k}" for k in range(70))
+    rows = [(k, passage + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(50))) for k in range(60)]
+    rows += [(100 + k, text + " more") for k, text in rows[:5]]
+    got = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(60))
